@@ -189,26 +189,36 @@ def create_log_features(df: DataFrame, targets=LOG_TARGETS) -> DataFrame:
     return df.withColumns({f"log_{c}": F.log1p(clip_lower(c, 0.0)) for c in targets})
 
 
-def clean_and_validate(df: DataFrame, exclude=("txn_id",)) -> DataFrame:
+def finite_extremes(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One-row table ``_mx_<c>, _mn_<c>``: max / min of the finite values of
+    each column (one global aggregate with partial aggregation)."""
+    inf = F.lit(float("inf"))
+    aggs = []
+    for c in cols:
+        fin = F.when(~F.isnan(c) & (F.abs(F.col(c)) != inf), F.col(c))
+        aggs += [F.max(fin).alias(f"_mx_{c}"), F.min(fin).alias(f"_mn_{c}")]
+    return df.agg(*aggs)
+
+
+def clean_and_validate(df: DataFrame, extremes: DataFrame | None = None,
+                       exclude=("txn_id",)) -> DataFrame:
     """±inf → the max/min of the finite values of that column, then
     NaN/NULL → 0 in every numeric column.
 
-    The finite extremes come from ONE global aggregate (partial aggregation,
-    a one-row result) attached by a broadcast cross join.  When ``df`` ends
-    in shuffles, the two uses of its plan share those exchanges
-    (ReusedExchange), so the shuffles run once.  The reference's two asserts
-    (no NaN, no inf left) hold by construction of the projection below."""
+    The finite extremes are a one-row table attached by a broadcast cross
+    join.  By default they are aggregated from ``df`` itself; callers that
+    know where each column comes from pass ``extremes`` computed on cheaper
+    inputs (``feature_matrix`` aggregates row-wise columns on the base table
+    and group columns on the small per-key tables, so the joins run once).
+    The reference's two asserts (no NaN, no inf left) hold by construction
+    of the projection below."""
     num = [f for f in df.schema.fields
            if isinstance(f.dataType, NumericType) and f.name not in exclude]
     fl = [f.name for f in num if isinstance(f.dataType, (DoubleType, FloatType))]
+    numeric = {f.name for f in num}
     if fl:
-        inf = F.lit(float("inf"))
-        aggs = []
-        for c in fl:
-            fin = F.when(~F.isnan(c) & (F.abs(F.col(c)) != inf), F.col(c))
-            aggs += [F.max(fin).alias(f"_mx_{c}"), F.min(fin).alias(f"_mn_{c}")]
-        ext = F.broadcast(df.agg(*aggs))
-        df = df.crossJoin(ext)
+        ext = finite_extremes(df, fl) if extremes is None else extremes
+        df = df.crossJoin(F.broadcast(ext))
     outs = []
     for f in df.schema.fields:
         c = f.name
@@ -221,7 +231,7 @@ def clean_and_validate(df: DataFrame, exclude=("txn_id",)) -> DataFrame:
                   .otherwise(x))
             x = F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))
             outs.append(x.cast(f.dataType).alias(c))
-        elif any(c == g.name for g in num):
+        elif c in numeric:
             outs.append(F.coalesce(F.col(c), F.lit(0)).cast(f.dataType).alias(c))
         else:
             outs.append(F.col(c))
@@ -235,31 +245,63 @@ def select_features(df: DataFrame, keep_key: bool = True) -> DataFrame:
     return df.select(*cols)
 
 
+def _row_features(df: DataFrame) -> DataFrame:
+    """The row-wise groups (no shuffle, stream-compatible)."""
+    return (drop_leakage(df)
+            .transform(create_basic_features)
+            .transform(create_balance_error_features)
+            .transform(create_type_features)
+            .transform(create_temporal_features)
+            .transform(create_log_features))
+
+
+_ROW_FLOATS = ["amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest",
+               "balance_diff_orig", "balance_diff_dest", "amount_to_balance_ratio",
+               "error_orig", "error_dest", "abs_error_orig", "abs_error_dest"] + \
+              [f"log_{c}" for c in LOG_TARGETS]
+_SV_FLOATS = ["avg_amount_sender", "max_amount_sender", "std_amount_sender", "amt_per_step_sender"]
+_RV_FLOATS = ["avg_amount_receiver"]
+
+
 def feature_matrix(df: DataFrame, group_strategy: str = "join",
                    hot_rows: int = HOT_ROWS) -> DataFrame:
-    """the full feature pipeline in the reference's order.
-
-    Physical plan choices: F5 and F7 are attached with ONE join keyed by
-    (nameOrig, step) (``sender_velocity_table``); F6 adds the second detail
-    shuffle.  ``group_strategy="window"`` uses the window form instead (two
-    sort-based exchanges, not skew-safe)."""
-    df = (drop_leakage(df)
-          .transform(create_basic_features)
-          .transform(create_balance_error_features)
-          .transform(create_type_features)
-          .transform(create_temporal_features))
+    """the full feature pipeline (41 features + target, txn_id carried).
+
+    Plan (``group_strategy="join"``, the default):
+
+    * row-wise groups F1-F4, F9 are one projection of the base table;
+    * F5 + F7 come from ONE per-(nameOrig, step) table and are attached with
+      ONE skew-safe join; F6's per-receiver table with a second one.  Both
+      tables are aggregated from the base table (partial aggregation), so
+      the two detail joins form a linear chain;
+    * the p95 for F8 is an exact one-row table (bracketed quantile);
+    * F10's finite extremes are aggregated where each column is born — the
+      base table for row-wise columns, the small per-key tables for group
+      columns — so no join is re-run to clean the result.
+
+    ``group_strategy="window"`` attaches F5-F7 with window aggregates
+    instead: fewer shuffles, but every row of a key lands in one task."""
+    base = _row_features(df)
     if group_strategy == "window":
-        df = (df.transform(lambda d: create_sender_features(d, "window"))
-                .transform(lambda d: create_velocity_features(d, "window"))
-                .transform(lambda d: create_receiver_features(d, "window")))
-    else:
-        key = ["txn_id"] if "txn_id" in df.columns else None
-        df = create_sender_velocity_features(df, hot_rows, key)
-        df = create_receiver_features(df, "join", hot_rows)
-    df = (df.transform(create_interaction_features)
-            .transform(create_log_features)
-            .transform(drop_unused_columns))
-    return clean_and_validate(select_features(df))
+        out = (base.transform(lambda d: create_sender_features(d, "window"))
+                   .transform(lambda d: create_velocity_features(d, "window"))
+                   .transform(lambda d: create_receiver_features(d, "window")))
+        out = out.transform(create_interaction_features).transform(drop_unused_columns)
+        return clean_and_validate(select_features(out))
+    key = ["txn_id"] if "txn_id" in base.columns else None
+    a = F.col("amount")
+    sv = sender_velocity_table(base)
+    rv = base.groupBy("nameDest").agg(F.count(a).alias("txn_count_receiver"),
+                                      F.avg(a).alias("avg_amount_receiver"),
+                                      F.count(F.lit(1)).alias("_rows"))
+    out = salted_left_join(base, sv, ["nameOrig", "step"], "_rows", hot_rows, key)
+    out = salted_left_join(out, rv, ["nameDest"], "_rows", hot_rows, key)
+    out = create_interaction_features(out, amount_p95(base))
+    out = select_features(drop_unused_columns(out))
+    ext = (finite_extremes(base, _ROW_FLOATS)
+           .crossJoin(finite_extremes(sv.where(F.col("nameOrig").isNotNull()), _SV_FLOATS))
+           .crossJoin(finite_extremes(rv.where(F.col("nameDest").isNotNull()), _RV_FLOATS)))
+    return clean_and_validate(out, ext)
 
 
 # --- B1 ------------------------------------------------------------------
