@@ -118,31 +118,25 @@ def create_velocity_features(df: DataFrame, strategy: str = "join",
 def sender_velocity_table(df: DataFrame) -> DataFrame:
     """F5 + F7 aggregates as ONE table keyed by (nameOrig, step).
 
-    Velocity groups are aggregated first (partial aggregation before the
-    shuffle); sender statistics are then merged from the velocity rows over a
-    ``Window.partitionBy(nameOrig)`` on the *aggregated* table, whose groups
-    hold one row per distinct step of a sender, not one per transaction.  The
-    sample std is merged exactly with the pairwise (Chan) formula
-    M2 = Σ M2_i + Σ n_i (mean_i − mean)²."""
+    Both groupings are plain ``groupBy`` aggregates of the detail rows
+    (partial aggregation before each shuffle, so a hot sender is reduced
+    map-side).  The per-sender row is then joined onto the per-(sender, step)
+    rows — a join of two aggregated tables whose per-sender fan-out is the
+    number of distinct steps of that sender, not its transactions.  The
+    detail rows are then joined only once, on (nameOrig, step)."""
     a = F.col("amount")
     v = df.groupBy("nameOrig", "step").agg(
         F.count(a).alias("txn_per_step_sender"),
         F.sum(a).alias("amt_per_step_sender"),
-        F.max(a).alias("_mx"),
-        (F.var_pop(a) * F.count(a)).alias("_m2"),
         F.count(F.lit(1)).alias("_rows"))
-    w = Window.partitionBy("nameOrig")
-    v = (v.withColumn("txn_count_sender", F.sum("txn_per_step_sender").over(w))
-          .withColumn("avg_amount_sender",
-                      F.try_divide(F.sum("amt_per_step_sender").over(w), F.col("txn_count_sender")))
-          .withColumn("max_amount_sender", F.max("_mx").over(w)))
-    dev = F.try_divide(F.col("amt_per_step_sender"), F.col("txn_per_step_sender")) - F.col("avg_amount_sender")
-    v = v.withColumn("_M2", F.sum(F.col("_m2") + F.col("txn_per_step_sender") * dev * dev).over(w))
-    std = F.coalesce(F.sqrt(F.greatest(F.try_divide(F.col("_M2"), F.col("txn_count_sender") - 1),
-                                       F.lit(0.0))), F.lit(0.0))
-    return v.select("nameOrig", "step", "txn_count_sender", "avg_amount_sender",
-                    "max_amount_sender", std.alias("std_amount_sender"),
-                    "txn_per_step_sender", "amt_per_step_sender", "_rows")
+    s = df.groupBy("nameOrig").agg(
+        F.count(a).alias("txn_count_sender"),
+        F.avg(a).alias("avg_amount_sender"),
+        F.max(a).alias("max_amount_sender"),
+        F.coalesce(F.stddev_samp(a), F.lit(0.0)).alias("std_amount_sender"))
+    return v.join(s, "nameOrig", "left").select(
+        "nameOrig", "step", "txn_count_sender", "avg_amount_sender", "max_amount_sender",
+        "std_amount_sender", "txn_per_step_sender", "amt_per_step_sender", "_rows")
 
 
 def create_sender_velocity_features(df: DataFrame, hot_rows: int = HOT_ROWS,
