@@ -362,3 +362,22 @@ def feature_stats(spark, sf):
 def night_fraud_rate(spark, sf):
     """D24 on the feature matrix's is_night flag."""
     return P.night_vs_day(FE.feature_matrix(transactions(spark, sf)))
+
+
+@register("stream_row_features", rnd(with_txn(
+    f"SELECT txn_id, {_BASIC}, {_ERRORS}, {_TEMPORAL} FROM transactions"),
+    "balance_diff_orig", "balance_diff_dest", "amount_to_balance_ratio", "error_orig",
+    "error_dest", "abs_error_orig", "abs_error_dest"))
+def stream_row_features(spark, sf):
+    """F1/F2/F4 through Structured Streaming: the payment table is written
+    as parquet files, consumed by a file stream (availableNow) into an
+    exactly-once parquet sink, and the sink is read back."""
+    from ..sources.files import scratch_path
+    from ..streaming.features import run_parquet_stream
+    src, sink, ck = (scratch_path(spark, n) for n in ("stream-src", "stream-sink", "stream-ckpt"))
+    transactions(spark, sf).write.parquet(src)
+    run_parquet_stream(spark, src, sink, ck)
+    return spark.read.parquet(sink).select(
+        "txn_id", "balance_diff_orig", "balance_diff_dest", "amount_to_balance_ratio",
+        "is_zero_balance", "error_orig", "error_dest", "abs_error_orig", "abs_error_dest",
+        "hour", "day", "is_night")
