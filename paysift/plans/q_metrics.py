@@ -245,3 +245,32 @@ def select_model(spark, sf):
     sc, opt, m = _model_comparison(spark, sf)
     ovf = K.overfit_check(sc, opt)
     return K.select_model(m.join(ovf.select("model", "gap"), "model"))
+
+
+@register("top_models_by_recall", _q(
+    f"SELECT model, split, recall FROM (SELECT *, {_RATES} FROM ({_COUNTS.format(t=0.5, src='sc')}) k) "
+    "WHERE split = 'test' ORDER BY recall DESC, model LIMIT 2", "recall"))
+def top_models_by_recall(spark, sf):
+    """The two best models by test recall (model name breaks ties)."""
+    m = K.threshold_metrics(pseudo_scores(spark, sf), 0.5, ["model", "split"])
+    return (m.where(F.col("split") == "test").select("model", "split", "recall")
+             .orderBy(F.desc("recall"), "model").limit(2))
+
+
+@register("worst_case", rnd(with_txn("""
+SELECT arg_min(model || '/' || split, (recall, model || '/' || split)) AS worst_recall_group,
+       min(recall) AS worst_recall,
+       arg_max(model || '/' || split, (abs(f1 - (SELECT avg(f1) FROM m)), model || '/' || split))
+         AS max_f1_deviation_group
+FROM m""", SC, f"m AS (SELECT *, {_RATES} FROM ({_COUNTS.format(t=0.5, src='sc')}) k)"), "worst_recall"))
+def worst_case(spark, sf):
+    """Arg-min recall and arg-max |F1 − mean F1| over (model, split)."""
+    m = K.threshold_metrics(pseudo_scores(spark, sf), 0.5, ["model", "split"]) \
+         .withColumn("grp", F.concat_ws("/", "model", "split"))
+    mean_f1 = m.agg(F.avg("f1").alias("_mf1"))
+    j = m.crossJoin(F.broadcast(mean_f1))
+    return j.agg(
+        F.min_by("grp", F.struct("recall", "grp")).alias("worst_recall_group"),
+        F.min("recall").alias("worst_recall"),
+        F.max_by("grp", F.struct(F.abs(F.col("f1") - F.col("_mf1")), F.col("grp")))
+         .alias("max_f1_deviation_group"))
