@@ -95,3 +95,14 @@ def existing(df: DataFrame, cols) -> list[str]:
     """Keep-columns-that-exist guard."""
     have = set(df.columns)
     return [c for c in cols if c in have]
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where NULL matches NULL (``<=>``), keeping one
+    copy of each key column — group keys may legitimately be NULL."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_r_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])

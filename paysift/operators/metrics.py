@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.core import join_null_safe
+
 SCORE_BUCKETS = 1 << 20
 
 
@@ -79,7 +81,7 @@ def score_cumulants(scores: DataFrame, by=(), label: str = "label", score: str =
             .drop("_bp", "_bn"))
     win = (Window.partitionBy(*by, "_b").orderBy(F.desc("_s"))
                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (d.join(bt, by + ["_b"])
+    return (join_null_safe(d, bt, by + ["_b"])
              .withColumn("cpos", F.col("_op") + F.sum("pos").over(win))
              .withColumn("cneg", F.col("_on") + F.sum("neg").over(win))
              .select(*by, F.col("_s").alias("threshold"), "pos", "neg", "cpos", "cneg", "P", "N"))
@@ -171,14 +173,38 @@ def optimal_threshold(sweep: DataFrame, by=(), min_precision: float = 0.20,
 
 def compute_metrics(scores: DataFrame, threshold, by=(), label="label", score="score") -> DataFrame:
     """Recall, precision, F1, ROC-AUC, PR-AUC, FPR, tp, fp, fn, tn per
-    group.  (The reference zeroes all counts when only one class occurs in
-    both labels and predictions; true counts are kept here.)"""
+    group, in ONE pass over the rows: the confusion counts at ``threshold``
+    are read off the distinct-score table that the AUCs need anyway.
+
+    ``threshold`` is a number, or the NAME of a column that is constant
+    within each group (e.g. a per-model threshold joined in).  (The
+    reference zeroes all counts when only one class occurs in both labels
+    and predictions; true counts are kept here.)"""
     by = list(by)
-    m = threshold_metrics(scores, threshold, by, label, score)
-    a = auc_scores(scores, by, label, score)
-    j = m.join(a, by, "left") if by else m.crossJoin(a)
-    return j.select(*by, "recall", "precision", "f1", "roc_auc", "pr_auc", "fpr",
-                    "tp", "fp", "fn", "tn")
+    if isinstance(threshold, Column):
+        m = threshold_metrics(scores, threshold, by, label, score)
+        a = auc_scores(scores, by, label, score)
+        j = m.join(a, by, "left") if by else m.crossJoin(a)
+        return j.select(*by, "recall", "precision", "f1", "roc_auc", "pr_auc", "fpr",
+                        "tp", "fp", "fn", "tn")
+    keys = by + ([threshold] if isinstance(threshold, str) else [])
+    t = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
+    c = score_cumulants(scores, keys, label, score)
+    roc_term = F.col("neg") * ((F.col("cpos") - F.col("pos")) + F.col("pos") * 0.5)
+    ap_term = F.col("pos") * (F.col("cpos") / (F.col("cpos") + F.col("cneg")))
+    hit = F.col("threshold") >= t
+    g = c.groupBy(*keys).agg(
+        F.sum(roc_term).alias("_roc"), F.sum(ap_term).alias("_ap"),
+        F.max("P").alias("_P"), F.max("N").alias("_N"),
+        F.coalesce(F.sum(F.when(hit, F.col("pos"))), F.lit(0)).cast("bigint").alias("tp"),
+        F.coalesce(F.sum(F.when(hit, F.col("neg"))), F.lit(0)).cast("bigint").alias("fp"))
+    ok = (F.col("_P") > 0) & (F.col("_N") > 0)
+    g = (g.withColumn("fn", (F.col("_P") - F.col("tp")).cast("bigint"))
+          .withColumn("tn", (F.col("_N") - F.col("fp")).cast("bigint"))
+          .withColumn("roc_auc", F.when(ok, F.col("_roc") / (F.col("_P").cast("double") * F.col("_N"))))
+          .withColumn("pr_auc", F.when(ok, F.col("_ap") / F.col("_P"))))
+    return with_rates(g).select(*by, "recall", "precision", "f1", "roc_auc", "pr_auc", "fpr",
+                                "tp", "fp", "fn", "tn")
 
 
 def overfit_check(scores: DataFrame, thresholds: DataFrame, model: str = "model",

@@ -46,6 +46,19 @@ def noise_inject(df: DataFrame, amount_sigma: float, balance_sigma: float, level
     return df.withColumns(cols) if cols else df
 
 
+def noise_inject_by_level(df: DataFrame, level_col: str, amount_sigma_col: str,
+                          balance_sigma_col: str, key: str = "txn_id", seed: int = SEED) -> DataFrame:
+    """L2 for many levels at once: the level name and the two sigmas are
+    columns (rows exploded by level), so every level is one pass."""
+    cols = {}
+    for c, sig in [("amount", amount_sigma_col)] + [(b, balance_sigma_col) for b in BALANCE_COLS]:
+        if c in df.columns:
+            z = hash_normal(F.col(key), seed, "noise", F.col(level_col), c)
+            noisy = _finite_or_zero(F.greatest(F.col(c) * (1 + F.col(sig) * z), F.lit(0.0)))
+            cols[c] = F.when(F.col(sig) > 0, noisy).otherwise(F.col(c))
+    return df.withColumns(cols)
+
+
 def drift_scale(df: DataFrame, factor: float = 3.0, col: str = "amount",
                 label: str = TARGET) -> DataFrame:
     """Label-conditional scaling (fraud amounts × factor)."""

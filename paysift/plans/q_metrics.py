@@ -198,7 +198,7 @@ def _model_comparison(spark, sf):
     sc, sw = _test_sweep(spark, sf)
     opt = K.optimal_threshold(sw, ["model"])
     test = sc.where(F.col("split") == "test").join(F.broadcast(opt.select("model", "optimal_threshold")), "model")
-    m = K.compute_metrics(test, F.col("optimal_threshold"), ["model"])
+    m = K.compute_metrics(test, "optimal_threshold", ["model"])
     return sc, opt, m.join(opt.select("model", "optimal_threshold"), "model")
 
 

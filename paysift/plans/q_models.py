@@ -138,7 +138,7 @@ def ml_model_comparison(spark, sf):
         M.score(m_rf, test, "random_forest", split="split"))
     opt = K.optimal_threshold(K.threshold_sweep(sc, by=["model"]), ["model"])
     s2 = sc.join(F.broadcast(opt.select("model", "optimal_threshold")), "model")
-    return K.compute_metrics(s2, F.col("optimal_threshold"), ["model"]).join(opt, "model")
+    return K.compute_metrics(s2, "optimal_threshold", ["model"]).join(opt, "model")
 
 
 # --- robustness on the fixed feature scorer -------------------------------------

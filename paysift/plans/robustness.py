@@ -60,29 +60,49 @@ def baseline(features: DataFrame, scorer: Scorer, threshold) -> DataFrame:
     return _metrics(scorer(features), threshold, "baseline")
 
 
+def _materialise(df: DataFrame) -> DataFrame:
+    """Cut lineage: a reliable checkpoint in the shared checkpoint folder, so
+    a sample feeding many scenarios is computed once and survives executor
+    loss (never ``localCheckpoint``)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def imbalance_test(features: DataFrame, scorer: Scorer, threshold,
                    ratios=IMBALANCE_RATIOS) -> DataFrame:
     """L1: all positives + negatives resampled to each target share; the
-    actual share is reported (the cap makes small targets collapse)."""
-    parts = [_metrics(scorer(features), threshold, "imbalance_base")
-             .withColumn("target_ratio", F.lit(None).cast("double"))
-             .crossJoin(features.agg(F.avg(TARGET).alias("actual_ratio")))]
-    for r in ratios:
-        d = S.rebalance_ratio(features, r)
-        parts.append(_metrics(scorer(d), threshold, f"imbalance_{r}")
-                     .withColumn("target_ratio", F.lit(r))
-                     .crossJoin(d.agg(F.avg(TARGET).alias("actual_ratio"))))
-    return S.union_samples(*parts)
+    actual share is reported (the cap makes small targets collapse).  All
+    targets share ONE hash rank and are evaluated in one grouped pass."""
+    counts = features.agg(F.count_if(F.col(TARGET) == 1).alias("_n1"),
+                          F.count_if(F.col(TARGET) == 0).alias("_n0"))
+    r = S.hash_rank(features, [TARGET], "txn_id", S.SEED, "ratio").crossJoin(F.broadcast(counts))
+    opts = [F.struct(F.lit("imbalance_base").alias("scenario"),
+                     F.lit(None).cast("double").alias("target_ratio"))]
+    opts += [F.struct(F.lit(f"imbalance_{x}").alias("scenario"), F.lit(x).alias("target_ratio"))
+             for x in ratios]
+    x = r.withColumn("_o", F.explode(F.array(*opts))).select("*", "_o.scenario", "_o.target_ratio")
+    need = F.least(F.floor(F.col("_n1") * (1.0 / F.col("target_ratio") - 1)), F.col("_n0"))
+    keep = F.col("target_ratio").isNull() | (F.col(TARGET) == 1) | (F.col("_rank") < need)
+    x = x.where(keep).drop("_o", "_rank", "_n1", "_n0")
+    m = K.compute_metrics(scorer(x).withColumnRenamed(TARGET, "label"), threshold,
+                          ["scenario", "target_ratio"])
+    pos = F.col("tp") + F.col("fn")
+    return m.withColumn("actual_ratio", pos / (pos + F.col("fp") + F.col("tn")))
 
 
 def noise_test(features: DataFrame, scorer: Scorer, threshold,
                sample_n: int = NOISE_SAMPLE) -> DataFrame:
-    """L2 + L13: noise levels on one hash sample; F1/recall degradation vs
-    the same rows without noise."""
-    sub = S.hash_sample_n(features, sample_n, salt="noise_sample")
-    parts = [_metrics(scorer(L.noise_inject(sub, a, b, lvl)), threshold, f"noise_{lvl}")
-             for lvl, (a, b) in L.NOISE_LEVELS.items()]
-    return _with_degradation(S.union_samples(*parts), "noise_none")
+    """L2 + L13: noise levels on one checkpointed hash sample, all levels in
+    one exploded scoring pass; F1/recall degradation vs the same rows
+    without noise."""
+    sub = _materialise(S.hash_sample_n(features, sample_n, salt="noise_sample"))
+    lv = F.explode(F.array(*[F.struct(F.lit(f"noise_{k}").alias("scenario"), F.lit(k).alias("lvl"),
+                                      F.lit(a).alias("sa"), F.lit(b).alias("sb"))
+                             for k, (a, b) in L.NOISE_LEVELS.items()]))
+    x = sub.withColumn("_l", lv).select("*", "_l.scenario", "_l.lvl", "_l.sa", "_l.sb").drop("_l")
+    x = L.noise_inject_by_level(x, "lvl", "sa", "sb").drop("lvl", "sa", "sb")
+    m = K.compute_metrics(scorer(x).withColumnRenamed(TARGET, "label"), threshold, ["scenario"])
+    return _with_degradation(m, "noise_none")
 
 
 def _with_degradation(tab: DataFrame, base_scenario: str) -> DataFrame:
@@ -96,15 +116,18 @@ def _with_degradation(tab: DataFrame, base_scenario: str) -> DataFrame:
 
 def drift_test(features: DataFrame, scorer: Scorer, threshold) -> DataFrame:
     """L3-L5 on the late period (I8): 3x fraud amounts, 30 % zeroed sender
-    balances, all-TRANSFER.  ``drift_impact`` = baseline F1 − scenario F1."""
+    balances, all-TRANSFER — one union, one grouped metrics pass.
+    ``drift_impact`` = baseline F1 − scenario F1."""
     late = S.time_split(features).where(F.col("period") == "late").drop("period")
     base_f1 = baseline(features, scorer, threshold).select(F.col("f1").alias("_bf1"))
-    parts = [_metrics(scorer(late), threshold, "drift_none"),
-             _metrics(scorer(L.drift_scale(late, 3.0)), threshold, "drift_3x_fraud_amount"),
-             _metrics(scorer(L.drift_zero(late, 0.3)), threshold, "drift_30pct_zero_balance"),
-             _metrics(scorer(L.drift_force_type(late)), threshold, "drift_all_transfer")]
-    return (S.union_samples(*parts).crossJoin(F.broadcast(base_f1))
-            .withColumn("drift_impact", F.col("_bf1") - F.col("f1")).drop("_bf1"))
+    parts = [late.withColumn("scenario", F.lit("drift_none")),
+             L.drift_scale(late, 3.0).withColumn("scenario", F.lit("drift_3x_fraud_amount")),
+             L.drift_zero(late, 0.3).withColumn("scenario", F.lit("drift_30pct_zero_balance")),
+             L.drift_force_type(late).withColumn("scenario", F.lit("drift_all_transfer"))]
+    x = S.union_samples(*parts)
+    m = K.compute_metrics(scorer(x).withColumnRenamed(TARGET, "label"), threshold, ["scenario"])
+    return (m.crossJoin(F.broadcast(base_f1))
+             .withColumn("drift_impact", F.col("_bf1") - F.col("f1")).drop("_bf1"))
 
 
 def adversarial_eval(features: DataFrame, scorer: Scorer, threshold,
@@ -129,28 +152,33 @@ def adversarial_eval(features: DataFrame, scorer: Scorer, threshold,
 def corruption_test(features: DataFrame, scorer: Scorer, threshold, feature_cols: list[str],
                     sample_n: int = NOISE_SAMPLE) -> DataFrame:
     """L8-L11 + L13: missing cells at each rate (zero-filled), swapped and
-    zeroed balances, 10 % within-column shuffle — F1 drop vs no corruption."""
-    sub = S.hash_sample_n(features, sample_n, salt="noise_sample")
-    parts = [_metrics(scorer(L.mask_missing(sub, r, feature_cols)), threshold, f"missing_{r}")
+    zeroed balances, 10 % within-column shuffle — F1 drop vs no corruption.
+    One checkpointed sample, one union, one grouped metrics pass."""
+    sub = _materialise(S.hash_sample_n(features, sample_n, salt="noise_sample"))
+    parts = [L.mask_missing(sub, r, feature_cols).withColumn("scenario", F.lit(f"missing_{r}"))
              for r in MISSING_RATES]
-    parts += [_metrics(scorer(L.swap_columns(sub)), threshold, "swap_balances"),
-              _metrics(scorer(L.zero_columns(sub)), threshold, "zero_balances"),
-              _metrics(scorer(L.shuffle_subset(sub, 0.10)), threshold, "shuffle_10pct")]
-    return _with_degradation(S.union_samples(*parts), "missing_0.0")
+    parts += [L.swap_columns(sub).withColumn("scenario", F.lit("swap_balances")),
+              L.zero_columns(sub).withColumn("scenario", F.lit("zero_balances")),
+              L.shuffle_subset(sub, 0.10).withColumn("scenario", F.lit("shuffle_10pct"))]
+    x = S.union_samples(*parts)
+    m = K.compute_metrics(scorer(x).withColumnRenamed(TARGET, "label"), threshold, ["scenario"])
+    return _with_degradation(m, "missing_0.0")
 
 
 def feature_sensitivity(features: DataFrame, scorer: Scorer, threshold, feature_cols: list[str],
                         sample_n: int = NOISE_SAMPLE) -> DataFrame:
-    """Zero one feature at a time and re-score — as ONE scoring pass
-    over the sample exploded by feature (no driver loop of 41 jobs); F1 drop
-    % per feature, sorted descending."""
-    sub = S.hash_sample_n(features, sample_n, salt="noise_sample")
-    x = sub.withColumn("zeroed_feature", F.explode(F.array(*[F.lit(c) for c in feature_cols])))
+    """Zero one feature at a time and re-score — ONE scoring pass over
+    the checkpointed sample exploded by feature (plus the unmodified copy as
+    the baseline), not a driver loop of 41 jobs; F1 drop % per feature,
+    sorted descending."""
+    sub = _materialise(S.hash_sample_n(features, sample_n, salt="noise_sample"))
+    names = ["__none__"] + list(feature_cols)
+    x = sub.withColumn("zeroed_feature", F.explode(F.array(*[F.lit(c) for c in names])))
     x = x.withColumns({c: F.when(F.col("zeroed_feature") == c, F.lit(0).cast(sub.schema[c].dataType))
                        .otherwise(F.col(c)) for c in feature_cols})
     m = K.compute_metrics(scorer(x).withColumnRenamed(TARGET, "label"), threshold, ["zeroed_feature"])
-    base = _metrics(scorer(sub), threshold, "base").select(F.col("f1").alias("_bf1"))
-    return (m.crossJoin(F.broadcast(base))
+    base = m.where(F.col("zeroed_feature") == "__none__").select(F.col("f1").alias("_bf1"))
+    return (m.where(F.col("zeroed_feature") != "__none__").crossJoin(F.broadcast(base))
              .select(F.col("zeroed_feature").alias("feature"), "f1", "recall",
                      K.degradation_pct(F.col("_bf1"), F.col("f1")).alias("f1_drop_pct"))
              .orderBy(F.desc("f1_drop_pct"), "feature"))
