@@ -76,3 +76,9 @@ def rnd(sql: str, *double_cols: str, dp: int = 6) -> str:
         return sql
     rep = ", ".join(f"CAST(round({c}, {dp}) AS DOUBLE) AS {c}" for c in double_cols)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) _q"
+
+
+def rnd_sig(sql: str, *double_cols: str) -> str:
+    """float32-precision twin of ``registry.finish(significant=True)``."""
+    rep = ", ".join(f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" for c in double_cols)
+    return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) _q"

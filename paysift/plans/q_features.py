@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as FE
 from ..operators import profile as P
-from ..oracle import rnd, with_events, with_txn
+from ..oracle import rnd, rnd_sig, with_events, with_txn
 from ..registry import register
 from ..sources.schema import FEATURE_COLUMNS, FEATURE_GROUPS, TARGET
 from ..sources.transactions import event_transactions, transactions
@@ -103,8 +103,9 @@ def feature_matrix_window(spark, sf):
     return FE.feature_matrix(transactions(spark, sf), group_strategy="window")
 
 
-@register("drop_leakage", with_txn(
-    "SELECT * EXCLUDE (isFlaggedFraud) FROM transactions"))
+@register("drop_leakage", rnd(with_txn(
+    "SELECT * EXCLUDE (isFlaggedFraud) FROM transactions"),
+    "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest"))
 def drop_leakage(spark, sf):
     return _txn(spark, sf)
 
@@ -346,10 +347,11 @@ def flag_lift(spark, sf):
     return P.flag_lift(FE.feature_matrix(transactions(spark, sf)), _FLAGS)
 
 
-@register("feature_stats", rnd(
+@register("feature_stats", rnd_sig(
     f"WITH fm AS ({_fm_cte()})\n" + "\nUNION ALL\n".join(
         f"SELECT '{c}' AS \"column\", avg({c}) AS mean, stddev_samp({c}) AS std, "
-        f"CAST(max({c}) AS DOUBLE) AS max FROM fm" for c in FEATURE_COLUMNS), "mean", "std", "max"))
+        f"CAST(max({c}) AS DOUBLE) AS max FROM fm" for c in FEATURE_COLUMNS), "mean", "std", "max"),
+    significant=True)
 def feature_stats(spark, sf):
     """Per-feature mean / std / max."""
     return P.feature_stats(FE.feature_matrix(transactions(spark, sf)), FEATURE_COLUMNS)

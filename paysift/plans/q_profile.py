@@ -96,10 +96,10 @@ def mean_hourly_fraud_rate(spark, sf):
     return P.mean_hourly_fraud_rate(transactions(spark, sf))
 
 
-@register("hourly_profile_events", with_events("""
+@register("hourly_profile_events", rnd(with_events("""
 SELECT CAST(step % 24 AS INT) AS hour, count(*) AS tx_count,
        CAST(sum(amount) AS DOUBLE) AS amount_sum
-FROM ev GROUP BY 1"""))
+FROM ev GROUP BY 1"""), "amount_sum"))
 def hourly_profile_events(spark, sf):
     """D5 on the second (timestamped) source: events as hour ticks."""
     ev = event_transactions(spark, sf)

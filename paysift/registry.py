@@ -17,17 +17,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def finish(df: DataFrame, dp: int = 6) -> DataFrame:
-    """Round every floating column to ``dp`` decimals (comparison form)."""
-    return df.select(*[F.round(F.col(f.name), dp).cast("double").alias(f.name)
+def finish(df: DataFrame, dp: int = 6, significant: bool = False) -> DataFrame:
+    """Round every floating column to ``dp`` decimals (comparison form), or
+    — for aggregates of large magnitudes — to float32 precision (~7
+    significant digits, IEEE round-to-nearest in both engines)."""
+    def r(c):
+        return F.col(c).cast("float").cast("double") if significant else F.round(F.col(c), dp).cast("double")
+    return df.select(*[r(f.name).alias(f.name)
                        if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
                        for f in df.schema.fields])
 
 
-def register(name: str, oracle: str | None = None, rounded: bool = True):
+def register(name: str, oracle: str | None = None, rounded: bool = True,
+             significant: bool = False):
     def deco(fn):
         if rounded:
-            QUERIES[name] = lambda spark, sf, _fn=fn: finish(_fn(spark, sf))
+            QUERIES[name] = lambda spark, sf, _fn=fn: finish(_fn(spark, sf), significant=significant)
         else:
             QUERIES[name] = fn
         if oracle is not None:
