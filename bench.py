@@ -82,11 +82,33 @@ def main() -> None:
     timed("feature_sensitivity",
           sink(R.feature_sensitivity(fm, R.feature_pseudo_scorer, 0.5, FEATURE_COLUMNS)))
 
+    # Modelling flow at the reference's training scale: 25 % stratified
+    # sample -> 80/20 split -> 3:1 undersample with balanced weights.
+    from paysift.operators import models as M
+    split_path, bal_path = f"{scratch}/split", f"{scratch}/balanced"
+    timed("prepare_training_sets", lambda: (
+        S.train_test_split(S.stratified_sample(fm, 0.25), 0.2).write.parquet(split_path),
+        S.with_weights(S.undersample(spark.read.parquet(split_path).where("split = 'train'"), 3))
+         .write.parquet(bal_path)))
+    bal = spark.read.parquet(bal_path).cache()
+    bal.count()
+    wsum = bal.agg(F.sum("weight")).first()[0]
+    fits = {}
+
+    def fit(name, pipe):
+        def run():
+            fits[name] = M.fit(pipe, bal)[0]
+        timed(name, run)
+    fit("lr_fit", M.logistic_pipeline(FEATURE_COLUMNS, "weight", 100, 1.0 / wsum))
+    fit("rf_fit", M.forest_pipeline(FEATURE_COLUMNS, 100, 10, "weight"))
+    fit("gbt_fit", M.gbt_pipeline(FEATURE_COLUMNS, 50, 5, 0.1, "weight"))
+    bal.unpersist()
+
     n = fm.count()
     t0 = time.time()
-    R.feature_pseudo_scorer(fm).write.format("noop").mode("overwrite").save()
+    R.model_scorer(fits["gbt_fit"])(fm).write.format("noop").mode("overwrite").save()
     sc_sec = time.time() - t0
-    times["score_all_rows"] = round(sc_sec, 3)
+    times["gbt_score_all_rows"] = round(sc_sec, 3)
 
     total = round(sum(times.values()), 3)
     print(json.dumps({
@@ -96,7 +118,8 @@ def main() -> None:
         "queries": times,
         "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
         "rows": n,
-        "scoring_rows_per_sec": round(n / sc_sec, 1) if sc_sec > 0 else None,
+        "gbt_scoring_rows_per_sec": round(n / sc_sec, 1) if sc_sec > 0 else None,
+        "n_train_balanced": bal.count(),
         "cpus": int(cpus),
     }))
     spark.stop()

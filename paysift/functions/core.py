@@ -66,9 +66,13 @@ def hash_uniform_open(*parts) -> Column:
 
 
 def hash_normal(*parts) -> Column:
-    """Standard normal by Box–Muller from two independent hash uniforms."""
-    u1 = hash_uniform_open(*parts, "n1")
-    u2 = hash_uniform_open(*parts, "n2")
+    """Standard normal by Box–Muller from the two disjoint 52-bit halves of
+    ONE md5 (hex digits 1-13 and 14-26), each mapped to (0, 1)."""
+    h = hash_key(*parts)
+    k1 = F.conv(F.substring(h, 1, 13), 16, 10).cast("double")
+    k2 = F.conv(F.substring(h, 14, 13), 16, 10).cast("double")
+    u1 = (k1 + 1) / F.lit(TWO52 + 1)
+    u2 = (k2 + 1) / F.lit(TWO52 + 1)
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
 
 

@@ -62,10 +62,10 @@ def u_open(parts_sql: str) -> str:
 
 
 def normal(key_sql: str) -> str:
-    """Box–Muller twin of ``hash_normal``; ``key_sql`` is the '|'-joined key
-    without the trailing salt."""
-    u1 = u_open(f"{key_sql} || '|n1'")
-    u2 = u_open(f"{key_sql} || '|n2'")
+    """Box–Muller twin of ``hash_normal``: both uniforms from one md5."""
+    h = f"md5({key_sql})"
+    u1 = f"((CAST(('0x' || substr({h}, 1, 13)) AS BIGINT) + 1) / 4503599627370497.0)"
+    u2 = f"((CAST(('0x' || substr({h}, 14, 13)) AS BIGINT) + 1) / 4503599627370497.0)"
     return f"(sqrt(-2.0 * ln({u1})) * cos(2 * pi() * {u2}))"
 
 
