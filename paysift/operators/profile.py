@@ -180,11 +180,16 @@ def error_by_class(df: DataFrame, label: str = TARGET) -> DataFrame:
 
 # --- D12 - D19, S1 - S3, U2 -------------------------------------------------
 
-def entity_stats(df: DataFrame, cols=("nameOrig", "nameDest")) -> DataFrame:
+def _distinct(c: str, approx: bool) -> Column:
+    return F.approx_count_distinct(c, 0.01) if approx else F.count_distinct(c)
+
+
+def entity_stats(df: DataFrame, cols=("nameOrig", "nameDest"), approx: bool = False) -> DataFrame:
     """Distinct entities and average transactions per entity (exact
-    ``count_distinct``; ``approx_count_distinct`` is the scale option)."""
+    ``count_distinct``; ``approx=True`` uses HyperLogLog++ sketches, which
+    merge map-side and never shuffle the keys)."""
     row = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.count_distinct(c).alias(f"u__{c}") for c in cols])
+                 *[_distinct(c, approx).alias(f"u__{c}") for c in cols])
     return row.select("_n", F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"u__{c}").alias("n_unique")) for c in cols
     ])).alias("_r")).select("_r.column", "_r.n_unique",
@@ -409,15 +414,16 @@ def nan_inf_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 
 # --- A9 -----------------------------------------------------------------------
 
-def dataset_overview(df: DataFrame, label: str = TARGET) -> DataFrame:
+def dataset_overview(df: DataFrame, label: str = TARGET, approx: bool = False) -> DataFrame:
     """Rows, ticks, types, senders, receivers, fraud count / %,
-    imbalance ratio (total // fraud), % of fraud that drained the sender."""
+    imbalance ratio (total // fraud), % of fraud that drained the sender.
+    ``approx=True`` counts distinct values with HyperLogLog++."""
     row = df.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count_distinct("step").alias("n_steps"),
-        F.count_distinct("type").alias("n_types"),
-        F.count_distinct("nameOrig").alias("n_senders"),
-        F.count_distinct("nameDest").alias("n_receivers"),
+        _distinct("step", approx).alias("n_steps"),
+        _distinct("type", approx).alias("n_types"),
+        _distinct("nameOrig", approx).alias("n_senders"),
+        _distinct("nameDest", approx).alias("n_receivers"),
         F.sum(label).cast("bigint").alias("fraud_count"),
         F.avg(F.when(F.col(label) == 1, as_flag(F.col("newbalanceOrig") == 0))).alias("_drain"))
     return row.select(
