@@ -288,3 +288,11 @@ def features_parquet_roundtrip(spark, sf):
     fm = feature_table(spark, sf)
     return fm.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(TARGET).alias("n_fraud"),
                   F.lit(len(fm.columns)).alias("n_columns"))
+
+
+@register("permutation_importance", rounded=False)
+def permutation_importance(spark, sf):
+    """M10 (any model): per-feature F1 drop under a within-column
+    permutation, all 41 features in one exploded pass."""
+    return R.permutation_importance(feature_table(spark, sf), R.feature_pseudo_scorer, THR,
+                                    FEATURE_COLUMNS)

@@ -111,3 +111,15 @@ def test_hash_randomness_matches_sql(spark):
     q = f"SELECT txn_id, {u(ku)} AS u, {normal(kz)} AS z FROM t"
     for tid, uu, zz in con.execute(q).fetchall():
         assert s[tid][0] == uu and abs(s[tid][1] - zz) < 1e-12
+
+
+def test_permutation_importance_properties(spark, txn):
+    """Permuting a feature the scorer ignores changes nothing; a feature it
+    uses moves F1."""
+    from paysift.operators.features import feature_matrix
+    from paysift.plans import robustness as R
+    fm = feature_matrix(txn)
+    out = {r.feature: r.f1_drop_pct for r in R.permutation_importance(
+        fm, R.feature_pseudo_scorer, 0.5, ["day", "is_high_risk_type"]).collect()}
+    assert out["day"] == 0.0
+    assert out["is_high_risk_type"] != 0.0
