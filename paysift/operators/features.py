@@ -115,7 +115,7 @@ def create_velocity_features(df: DataFrame, strategy: str = "join",
     }, strategy, hot_rows)
 
 
-def sender_velocity_table(df: DataFrame) -> DataFrame:
+def sender_velocity_table(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """F5 + F7 aggregates as ONE table keyed by (nameOrig, step).
 
     Both groupings are plain ``groupBy`` aggregates of the detail rows
@@ -133,8 +133,12 @@ def sender_velocity_table(df: DataFrame) -> DataFrame:
         F.count(a).alias("txn_count_sender"),
         F.avg(a).alias("avg_amount_sender"),
         F.max(a).alias("max_amount_sender"),
-        F.coalesce(F.stddev_samp(a), F.lit(0.0)).alias("std_amount_sender"))
-    return v.join(s, "nameOrig", "left").select(
+        F.coalesce(F.stddev_samp(a), F.lit(0.0)).alias("std_amount_sender"),
+        F.count(F.lit(1)).alias("_srows"))
+    # A sender's velocity rows are at most its transactions (_srows), so the
+    # same hot-key split bounds this join of the two aggregated tables too.
+    vs = salted_left_join(v, s, ["nameOrig"], "_srows", hot_rows, ["nameOrig", "step"])
+    return vs.select(
         "nameOrig", "step", "txn_count_sender", "avg_amount_sender", "max_amount_sender",
         "std_amount_sender", "txn_per_step_sender", "amt_per_step_sender", "_rows")
 
@@ -142,7 +146,7 @@ def sender_velocity_table(df: DataFrame) -> DataFrame:
 def create_sender_velocity_features(df: DataFrame, hot_rows: int = HOT_ROWS,
                                     row_key: list[str] | None = None) -> DataFrame:
     """F5 + F7 attached with a single join of the detail rows."""
-    stats = sender_velocity_table(df)
+    stats = sender_velocity_table(df, hot_rows)
     return salted_left_join(df, stats, ["nameOrig", "step"], "_rows", hot_rows, row_key)
 
 
@@ -284,7 +288,7 @@ def feature_matrix(df: DataFrame, group_strategy: str = "join",
         return clean_and_validate(select_features(out))
     key = ["txn_id"] if "txn_id" in base.columns else None
     a = F.col("amount")
-    sv = sender_velocity_table(base)
+    sv = sender_velocity_table(base, hot_rows)
     rv = base.groupBy("nameDest").agg(F.count(a).alias("txn_count_receiver"),
                                       F.avg(a).alias("avg_amount_receiver"),
                                       F.count(F.lit(1)).alias("_rows"))
