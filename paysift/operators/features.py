@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType, FloatType, IntegralType, NumericType
 from ..functions.core import as_flag, clip_lower, safe_div
 from ..functions.quantile import quantile_row
 from ..plans.skew import HOT_ROWS, attach_group_aggregates, salted_left_join
+from ..session import checkpoint_dir
 from ..sources.schema import (FEATURE_COLUMNS, HIGH_RISK_TYPES, LEAKAGE_COLS,
                               LOG_TARGETS, TARGET, TXN_TYPES)
 
@@ -262,7 +263,7 @@ _RV_FLOATS = ["avg_amount_receiver"]
 
 
 def feature_matrix(df: DataFrame, group_strategy: str = "join",
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+                   hot_rows: int = HOT_ROWS, materialise: bool = True) -> DataFrame:
     """the full feature pipeline (41 features + target, txn_id carried).
 
     Plan (``group_strategy="join"``, the default):
@@ -292,6 +293,12 @@ def feature_matrix(df: DataFrame, group_strategy: str = "join",
     rv = base.groupBy("nameDest").agg(F.count(a).alias("txn_count_receiver"),
                                       F.avg(a).alias("avg_amount_receiver"),
                                       F.count(F.lit(1)).alias("_rows"))
+    if materialise:
+        # Each per-key table feeds three consumers (hot-key list, replicated
+        # join side, cleaning extremes); a reliable checkpoint in the shared
+        # checkpoint folder computes it once instead of once per consumer.
+        checkpoint_dir(base.sparkSession)
+        sv, rv = sv.checkpoint(eager=True), rv.checkpoint(eager=True)
     out = salted_left_join(base, sv, ["nameOrig", "step"], "_rows", hot_rows, key)
     out = salted_left_join(out, rv, ["nameDest"], "_rows", hot_rows, key)
     out = create_interaction_features(out, amount_p95(base))
