@@ -1,93 +1,129 @@
-"""Exact quantiles without a single-task value map.
+"""Exact quantiles by distributed radix selection.
 
 Spark's exact ``percentile`` aggregate merges a value→count map of every
-distinct value of a group into one task — unbounded at 100 TB.  This helper
-keeps the exact answer (linear interpolation between order statistics, equal
-to DuckDB ``quantile_cont`` / NumPy ``linear``) but bounds the single-task work:
-
-1. one pass: ``count`` and a ``percentile_approx`` sketch per group give, for
-   each q, a value bracket [lo, hi] around the target ranks (mergeable sketch,
-   partial aggregation, relative rank error 1/accuracy);
-2. second pass: rows below ``lo`` are only counted; rows inside the bracket
-   are reduced to (value, count) — at most ~6·n/accuracy distinct values;
-3. a running count over that small bracket table locates the exact order
-   statistics.  Groups with at most ``accuracy`` rows use the whole group as
-   the bracket (the sketch's rank margin is below one row there).  If the sketch bracket ever missed the target rank the query
-   fails loudly (``raise_error``) instead of returning a wrong number.
+distinct value of a group into one task, and ``percentile_approx`` merges one
+sketch per partition into one task — both unbounded at 100 TB.  Here the
+answer is exact (linear interpolation between order statistics, equal to
+DuckDB ``quantile_cont`` / NumPy ``linear``) and every single-task step works
+on a bounded table:
+
+* every double gets two monotone bucket keys from one ``log2`` (coarse:
+  256 buckets per octave, fine: 2^30 per octave) — built-in functions only;
+* round 1 counts rows per coarse bucket (≤ ~2^19 buckets per group,
+  partial aggregation) and a running count locates, for each target rank,
+  its bucket and its rank inside the bucket;
+* round 2 re-scans only rows of those buckets (broadcast join with the
+  #groups × #quantiles × 2 targets) and counts fine buckets (≤ 2^22 per
+  coarse bucket);
+* round 3 reduces rows of the chosen fine buckets (values within a relative
+  width of ~6·10^-10) to distinct values with counts and picks the order
+  statistic.
+
+The two tiny target tables between rounds (bucket ids per target rank) are
+materialised as local relations, so each round scans the input once.
 
 ``by`` must be a low-cardinality grouping (class label, payment type): the
-per-(group, q) bracket table is broadcast, and its size is #groups × len(qs).
+target tables are broadcast and their size is #groups × len(qs) × 2.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 200_000
-_MARGIN = 3.0 / ACCURACY
 
 
-def quantiles(df: DataFrame, value, qs, by=(), accuracy: int = ACCURACY) -> DataFrame:
+_OFF1 = 1 << 20      # > 256 * 1075 (log2 of the smallest subnormal is -1074)
+_OFF2 = 1 << 42      # > 2^30 * 1075
+
+
+def with_log_keys(df: DataFrame, x: str) -> DataFrame:
+    """Append two monotone (non-decreasing in ``x``) bucket keys:
+    ``_k1 = ±(floor(256·log2|x|) + off)`` and the finer
+    ``_k2 = ±(floor(2^30·log2|x|) + off)``, mirrored for negatives, 0 for
+    zero.  ``log2`` is semi-monotonic, so ordering by (k1, k2, x) is
+    ordering by x; a k1 bucket spans a relative width of 2^(1/256) − 1
+    (0.27 %) and holds at most 2^22 distinct k2 values."""
+    a = F.abs(F.col(x))
+    d = df.withColumn("_qL", F.log2(a))
+    inf = F.lit(float("inf"))
+
+    def key(scale, off, top):
+        k = F.floor(F.col("_qL") * scale).cast("long") + F.lit(off)
+        k = F.when(a == inf, F.lit(top)).when(a == 0, F.lit(0)).otherwise(k)
+        return F.when(F.col(x) < 0, -k).otherwise(k)
+    d = d.withColumn("_k1", key(256.0, _OFF1, 2 * _OFF1)).withColumn("_k2", key(float(1 << 30), _OFF2, 2 * _OFF2))
+    return d.drop("_qL")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Materialise a tiny target table — #groups × #quantiles × 2 rows, a
+    bound fixed by the call, not by the data — as a local relation, so the
+    next round's plan does not re-embed (and re-run) the previous rounds.
+    Like the split points of a range partitioner, only these bounded
+    bucket ids pass through the driver, never data rows."""
+    rows = df.collect()
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def _locate(counts: DataFrame, part: list[str], order: str, targets: DataFrame,
+            tkeys: list[str], out: str) -> DataFrame:
+    """For each target row (tkeys + ``_rank``), find the ``order`` value whose
+    cumulative count range covers ``_rank``; return tkeys + ``out`` + the
+    rank inside it (``_rank``)."""
+    w = (Window.partitionBy(*part).orderBy(order)
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    c = counts.withColumn("_end", F.sum("_c").over(w)).withColumn("_start", F.col("_end") - F.col("_c"))
+    j = c.join(F.broadcast(targets), part) if part else c.crossJoin(F.broadcast(targets))
+    hit = j.where((F.col("_start") <= F.col("_rank")) & (F.col("_rank") < F.col("_end")))
+    return hit.select(*tkeys, F.col(order).alias(out), (F.col("_rank") - F.col("_start")).alias("_rank"))
+
+
+def quantiles(df: DataFrame, value, qs, by=()) -> DataFrame:
     """Long form: columns ``*by, qi (int), q (double), value (double)``."""
     by = list(by)
     qs = [float(q) for q in qs]
-    margin = 3.0 / accuracy
     x = (F.col(value) if isinstance(value, str) else value).cast("double")
-    base = df.select(*by, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-
-    fracs = []
-    for q in qs:
-        fracs += [max(q - margin, 0.0), min(q + margin, 1.0)]
-    sk = base.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_x", F.array(*[F.lit(f) for f in fracs]), accuracy).alias("_b"))
-    qtab = (sk.select(*by, "_n", F.posexplode(F.array(*[
-                F.struct(F.lit(q).alias("q"), F.col("_b")[2 * i].alias("lo"),
-                         F.col("_b")[2 * i + 1].alias("hi"))
-                for i, q in enumerate(qs)])).alias("qi", "_s"))
-              .select(*by, "_n", "qi", "_s.q",
-                      # Groups of at most `accuracy` rows take the whole
-                      # group as the bracket (bounded by `accuracy`): the
-                      # sketch margin is below one rank there.
-                      F.when(F.col("_n") > accuracy, F.col("_s.lo"))
-                       .otherwise(F.lit(float("-inf"))).alias("lo"),
-                      F.when(F.col("_n") > accuracy, F.col("_s.hi"))
-                       .otherwise(F.lit(float("inf"))).alias("hi"))
-              .withColumn("_rn", (F.col("_n") - 1).cast("double") * F.col("q"))
-              .withColumn("_p0", F.floor("_rn"))
-              .withColumn("_p1", F.ceil("_rn")))
-
-    # Bounded side: #groups x len(qs) rows.
-    small = F.broadcast(qtab)
-    joined = base.crossJoin(small) if not by else base.join(small, by)
-    cand = (joined.where(F.col("_x") <= F.col("hi"))
-                  .withColumn("_below", F.col("_x") < F.col("lo"))
-                  .withColumn("_v", F.when(~F.col("_below"), F.col("_x")))
-                  .groupBy(*by, "qi", "q", "_p0", "_p1", "_rn", "_below", "_v")
-                  .agg(F.count(F.lit(1)).alias("_c")))
-    w = (Window.partitionBy(*by, "qi")
-               .orderBy(F.col("_below").desc(), F.col("_v").asc_nulls_first())
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cand = (cand.withColumn("_end", F.sum("_c").over(w) - 1)
-                .withColumn("_start", F.col("_end") - F.col("_c") + 1))
-    hit0 = (F.col("_start") <= F.col("_p0")) & (F.col("_p0") <= F.col("_end"))
-    hit1 = (F.col("_start") <= F.col("_p1")) & (F.col("_p1") <= F.col("_end"))
-    res = cand.groupBy(*by, "qi", "q", "_rn", "_p0").agg(
-        F.max(F.when(hit0 & ~F.col("_below"), F.col("_v"))).alias("_v0"),
-        F.max(F.when(hit1 & ~F.col("_below"), F.col("_v"))).alias("_v1"),
-        F.max(F.when(hit0 | hit1, F.col("_below").cast("int"))).alias("_miss"))
-    ok = F.col("_v0").isNotNull() & F.col("_v1").isNotNull() & (F.coalesce(F.col("_miss"), F.lit(0)) == 0)
+    base = with_log_keys(
+        df.select(*by, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x")), "_x")
+    hi, mid = F.col("_k1"), F.col("_k2")
+
+    # round 1: coarse buckets
+    c1 = base.groupBy(*by, hi.alias("_b1")).agg(F.count(F.lit(1)).alias("_c"))
+    n = c1.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    qt = F.explode(F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(q).alias("q")) for i, q in enumerate(qs)]))
+    tg = (n.select(*by, "_n", qt.alias("_t")).select(*by, "_n", "_t.qi", "_t.q")
+           .withColumn("_rn", (F.col("_n") - 1).cast("double") * F.col("q"))
+           .withColumn("_p0", F.floor("_rn").cast("long"))
+           .withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
+           .withColumn("_rank", F.when(F.col("_side") == 0, F.col("_p0"))
+                       .otherwise(F.ceil("_rn").cast("long"))))
+    tkeys = by + ["qi", "_side"]
+    t1 = _cut(_locate(c1, by, "_b1", tg.select(*tkeys, "_rank"), tkeys, "_b1"))
+
+    # round 2: next 24 key bits, only rows of the located coarse buckets
+    r2 = base.withColumn("_b1", hi).join(F.broadcast(t1.withColumnRenamed("_rank", "_r1")), by + ["_b1"])
+    c2 = r2.groupBy(*tkeys, mid.alias("_b2")).agg(F.count(F.lit(1)).alias("_c"))
+    t2 = _cut(_locate(c2, tkeys, "_b2", t1.select(*tkeys, "_rank"), tkeys, "_b2"))
+
+    # round 3: distinct values of the located fine buckets
+    t12 = t1.select(*tkeys, "_b1").join(t2, tkeys)
+    r3 = (base.withColumn("_b1", hi).withColumn("_b2", mid)
+              .join(F.broadcast(t12.withColumnRenamed("_rank", "_r2")), by + ["_b1", "_b2"]))
+    c3 = r3.groupBy(*tkeys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    t3 = _locate(c3, tkeys, "_x", t2.select(*tkeys, "_rank"), tkeys, "_v")
+
+    v = t3.groupBy(*by, "qi").agg(F.max(F.when(F.col("_side") == 0, F.col("_v"))).alias("_v0"),
+                                  F.max(F.when(F.col("_side") == 1, F.col("_v"))).alias("_v1"))
+    meta = tg.where(F.col("_side") == 0).select(*by, "qi", "q", "_rn", "_p0")
+    out = meta.join(v, by + ["qi"])
     val = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_rn") - F.col("_p0"))
-    return res.select(*by, "qi", "q",
-                      F.when(ok, val).otherwise(
-                          F.raise_error(F.lit("quantile bracket missed the target rank"))
-                      ).cast("double").alias("value"))
+    return out.select(*by, "qi", "q", val.cast("double").alias("value"))
 
 
-def quantile_row(df: DataFrame, value, named_qs: dict, by=(), accuracy: int = ACCURACY) -> DataFrame:
+def quantile_row(df: DataFrame, value, named_qs: dict, by=()) -> DataFrame:
     """Wide form: one row per group with one column per name in ``named_qs``."""
     names = list(named_qs)
-    long = quantiles(df, value, [named_qs[n] for n in names], by, accuracy)
+    long = quantiles(df, value, [named_qs[n] for n in names], by)
     return long.groupBy(*by).agg(*[
         F.max(F.when(F.col("qi") == i, F.col("value"))).alias(n) for i, n in enumerate(names)])

@@ -295,10 +295,10 @@ def feature_matrix(df: DataFrame, group_strategy: str = "join",
                                       F.count(F.lit(1)).alias("_rows"))
     if materialise:
         # Each per-key table feeds three consumers (hot-key list, replicated
-        # join side, cleaning extremes); a reliable checkpoint in the shared
+        # join side, cleaning extremes); writing it once to the shared
         # checkpoint folder computes it once instead of once per consumer.
-        checkpoint_dir(base.sparkSession)
-        sv, rv = sv.checkpoint(eager=True), rv.checkpoint(eager=True)
+        from ..sources.files import cut_lineage
+        sv, rv = cut_lineage(sv, "sender-velocity"), cut_lineage(rv, "receiver")
     out = salted_left_join(base, sv, ["nameOrig", "step"], "_rows", hot_rows, key)
     out = salted_left_join(out, rv, ["nameDest"], "_rows", hot_rows, key)
     out = create_interaction_features(out, amount_p95(base))

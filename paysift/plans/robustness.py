@@ -61,11 +61,11 @@ def baseline(features: DataFrame, scorer: Scorer, threshold) -> DataFrame:
 
 
 def _materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage: a reliable checkpoint in the shared checkpoint folder, so
-    a sample feeding many scenarios is computed once and survives executor
-    loss (never ``localCheckpoint``)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage: the sample feeding many scenarios is written once to the
+    shared checkpoint folder (survives executor loss; never
+    ``localCheckpoint``)."""
+    from ..sources.files import cut_lineage
+    return cut_lineage(df, "scenario-sample")
 
 
 def imbalance_test(features: DataFrame, scorer: Scorer, threshold,
@@ -251,7 +251,7 @@ def scoring_throughput(features: DataFrame, scorer: Scorer, sizes=SCORING_SIZES)
         k = min(n, n_total)
         # Materialise the sample first (reliable checkpoint in the shared
         # checkpoint dir) so only scoring is timed.
-        d = S.hash_sample_n(features, k, salt="throughput").checkpoint(eager=True)
+        d = _materialise(S.hash_sample_n(features, k, salt="throughput"))
         t0 = time.time()
         scorer(d).write.format("noop").mode("overwrite").save()
         sec = time.time() - t0

@@ -26,6 +26,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    read it back: one computation (a reliable ``checkpoint()`` of an
+    unpersisted plan computes it twice), fault tolerant, lineage cut."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def read_transactions_csv(spark: SparkSession, path: str, schema: T.StructType = TXN_SCHEMA,
                           mode: str = "PERMISSIVE") -> DataFrame:
     """A1: CSV with a header and a declared schema.  ``mode`` is Spark's

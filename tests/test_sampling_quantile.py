@@ -57,18 +57,38 @@ def test_rebalance_cap(spark):
     assert b.where("isFraud = 0").count() == 5000 and b.count() == 5010
 
 
-@pytest.mark.parametrize("acc", [100, 200_000])
-def test_quantiles_exact(spark, acc):
+@pytest.mark.parametrize("shape", ["ints", "mixed_sign", "hot_value"])
+def test_quantiles_exact(spark, shape):
     rnd = random.Random(7)
-    rows = ([("a", float(rnd.randint(0, 50))) for _ in range(3000)]
-            + [("b", rnd.random()) for _ in range(777)] + [("c", 5.0)])
+    if shape == "ints":
+        vals = [float(rnd.randint(0, 50)) for _ in range(3000)]
+    elif shape == "mixed_sign":
+        vals = ([rnd.uniform(-1e6, 1e6) for _ in range(2000)] + [0.0, -0.0, 1e-310, -1e-310, 2.0 ** 40]
+                + [rnd.random() * 1e-9 for _ in range(200)])
+    else:
+        vals = [42.5] * 2500 + [rnd.gauss(42.5, 1e-6) for _ in range(300)] + [7.0]
+    rows = [("a", v) for v in vals] + [("b", rnd.random()) for _ in range(777)] + [("c", 5.0)]
     df = spark.createDataFrame(rows, "g STRING, x DOUBLE")
     qs = [0.0, 0.01, 0.25, 0.5, 0.95, 1.0]
-    got = {(r.g, r.qi): r.value for r in quantiles(df, "x", qs, by=["g"], accuracy=acc).collect()}
+    got = {(r.g, r.qi): r.value for r in quantiles(df, "x", qs, by=["g"]).collect()}
     exact = df.groupBy("g").agg(F.percentile("x", F.array(*[F.lit(q) for q in qs])).alias("p")).collect()
     for r in exact:
         for i, v in enumerate(r.p):
-            assert abs(got[(r.g, i)] - v) <= 1e-9 * max(1.0, abs(v)), (r.g, qs[i])
+            assert abs(got[(r.g, i)] - v) <= 1e-9 * max(1.0, abs(v)), (r.g, qs[i], got[(r.g, i)], v)
+    glob = {r.qi: r.value for r in quantiles(df, "x", qs).collect()}
+    ex = df.agg(F.percentile("x", F.array(*[F.lit(q) for q in qs])).alias("p")).first().p
+    assert all(abs(glob[i] - v) <= 1e-9 * max(1.0, abs(v)) for i, v in enumerate(ex))
+
+
+def test_log_keys_monotone(spark):
+    from paysift.functions.quantile import with_log_keys
+    vals = sorted({float("-inf"), -1e300, -3.5, -1.0, -1e-310, 0.0, 1e-310, 2.2250738585072014e-308,
+                   0.5, 1.0, 1.0000000000000002, 2.0, 3.0, 1023.9999, 1024.0, 1e300, float("inf")})
+    df = spark.createDataFrame([(v,) for v in vals], "x DOUBLE")
+    rows = with_log_keys(df, "x").orderBy("x").collect()
+    k = [(r._k1, r._k2) for r in rows]
+    assert all(a <= b for a, b in zip(k, k[1:]))
+    assert k[0][0] < 0 < k[-1][0] and rows[[r.x for r in rows].index(0.0)]._k1 == 0
 
 
 def test_histogram_max_in_last_bin(spark):
