@@ -42,8 +42,10 @@ def main() -> None:
         fn()
         times[name] = round(time.time() - t0, 3)
 
-    def sink(df):
-        return lambda: df.write.format("noop").mode("overwrite").save()
+    def sink(build):
+        """Time plan construction too: some operators run bounded jobs
+        while building (quantile target ranks, lineage cuts)."""
+        return lambda: build().write.format("noop").mode("overwrite").save()
 
     txn_path = f"{scratch}/transactions"
     timed("build_transactions", lambda: transactions(spark, sf_dir).write.parquet(txn_path))
@@ -54,8 +56,8 @@ def main() -> None:
     for g in ("join", "window"):
         FE.feature_matrix(small, group_strategy=g).write.format("noop").mode("overwrite").save()
 
-    timed("feature_matrix", sink(FE.feature_matrix(t)))
-    timed("feature_matrix_window", sink(FE.feature_matrix(t, group_strategy="window")))
+    timed("feature_matrix", sink(lambda: FE.feature_matrix(t)))
+    timed("feature_matrix_window", sink(lambda: FE.feature_matrix(t, group_strategy="window")))
     fm_path = f"{scratch}/features"
     timed("write_features", lambda: FE.feature_matrix(t).write.parquet(fm_path))
     fm = spark.read.parquet(fm_path)
@@ -67,20 +69,20 @@ def main() -> None:
                    P.entity_overlap(t), P.dataset_overview(t), P.correlation_matrix(t)):
             df.write.format("noop").mode("overwrite").save()
     timed("profile_suite", profile_suite)
-    timed("numeric_describe", sink(P.numeric_describe(t)))
-    timed("iqr_outliers", sink(P.iqr_outliers(t)))
-    timed("histograms", sink(P.histogram_columns(t)))
-    timed("target_correlation", sink(P.target_correlation(fm, FEATURE_COLUMNS)))
-    timed("stratified_split", sink(S.train_test_split(S.stratified_sample(t, 0.25), 0.2)))
-    timed("stratified_folds", sink(S.stratified_folds(t, 5)))
+    timed("numeric_describe", sink(lambda: P.numeric_describe(t)))
+    timed("iqr_outliers", sink(lambda: P.iqr_outliers(t)))
+    timed("histograms", sink(lambda: P.histogram_columns(t)))
+    timed("target_correlation", sink(lambda: P.target_correlation(fm, FEATURE_COLUMNS)))
+    timed("stratified_split", sink(lambda: S.train_test_split(S.stratified_sample(t, 0.25), 0.2)))
+    timed("stratified_folds", sink(lambda: S.stratified_folds(t, 5)))
 
     scored = R.feature_pseudo_scorer(fm).select(
         F.lit("pseudo").alias("model"), F.col("isFraud").alias("label"), "score")
-    timed("auc_pr_auc", sink(K.auc_scores(scored, ["model"])))
-    timed("threshold_sweep", sink(K.threshold_sweep(scored, by=["model"])))
-    timed("noise_test", sink(R.noise_test(fm, R.feature_pseudo_scorer, 0.5)))
+    timed("auc_pr_auc", sink(lambda: K.auc_scores(scored, ["model"])))
+    timed("threshold_sweep", sink(lambda: K.threshold_sweep(scored, by=["model"])))
+    timed("noise_test", sink(lambda: R.noise_test(fm, R.feature_pseudo_scorer, 0.5)))
     timed("feature_sensitivity",
-          sink(R.feature_sensitivity(fm, R.feature_pseudo_scorer, 0.5, FEATURE_COLUMNS)))
+          sink(lambda: R.feature_sensitivity(fm, R.feature_pseudo_scorer, 0.5, FEATURE_COLUMNS)))
 
     # Modelling flow at the reference's training scale: 25 % stratified
     # sample -> 80/20 split -> 3:1 undersample with balanced weights.
