@@ -146,7 +146,53 @@ def ml_model_comparison(spark, sf):
 THR = 0.5
 
 
-@register("imbalance_test", rounded=False)
+def _imbalance_sql() -> str:
+    from ..oracle import rnd
+    from .q_features import _feature_matrix_sql
+    fm = _feature_matrix_sql()
+    inner = fm[fm.index("FROM (\n") + 7: fm.rindex("\n) _q")]
+    opts = ", ".join(["('imbalance_base', CAST(NULL AS DOUBLE))"]
+                     + [f"('imbalance_{r}', CAST({r} AS DOUBLE))" for r in R.IMBALANCE_RATIOS])
+    body = f"""WITH fm AS ({inner}),
+r AS (SELECT *, row_number() OVER (PARTITION BY isFraud ORDER BY md5(concat_ws('|', txn_id, '42', 'ratio')),
+                                   txn_id) - 1 AS _rank,
+             count(*) FILTER (WHERE isFraud = 1) OVER () AS _n1,
+             count(*) FILTER (WHERE isFraud = 0) OVER () AS _n0 FROM fm),
+x AS (SELECT r.*, o.scenario, o.target_ratio FROM r CROSS JOIN (VALUES {opts}) o(scenario, target_ratio)
+      WHERE o.target_ratio IS NULL OR isFraud = 1
+         OR _rank < least(floor(_n1 * (1.0 / o.target_ratio - 1)), _n0)),
+sc AS (SELECT scenario, target_ratio, isFraud AS label,
+         round(1.0 / (1.0 + exp(-(2.5 * is_high_risk_type + 1.5 * is_zero_balance + amount / 25000.0
+                                  - 0.05 * log_oldbalanceDest + 0.02 * log_oldbalanceOrg - 3.5))), 3) AS score
+       FROM x),
+d AS (SELECT scenario, target_ratio, score AS threshold, CAST(sum(label) AS BIGINT) AS pos,
+             CAST(count(*) - sum(label) AS BIGINT) AS neg FROM sc GROUP BY ALL),
+c AS (SELECT *, sum(pos) OVER w AS cpos, sum(neg) OVER w AS cneg,
+             sum(pos) OVER (PARTITION BY scenario, target_ratio) AS P,
+             sum(neg) OVER (PARTITION BY scenario, target_ratio) AS N
+      FROM d WINDOW w AS (PARTITION BY scenario, target_ratio ORDER BY threshold DESC
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+m AS (SELECT scenario, target_ratio,
+        CAST(coalesce(sum(pos) FILTER (WHERE threshold >= 0.5), 0) AS BIGINT) AS tp,
+        CAST(coalesce(sum(neg) FILTER (WHERE threshold >= 0.5), 0) AS BIGINT) AS fp,
+        max(P) AS P, max(N) AS N,
+        sum(neg * ((cpos - pos) + pos * 0.5)) AS _roc, sum(pos * (cpos * 1.0 / (cpos + cneg))) AS _ap
+      FROM c GROUP BY scenario, target_ratio)
+SELECT scenario, target_ratio,
+  coalesce(tp * 1.0 / nullif(P, 0), 0.0) AS recall,
+  coalesce(tp * 1.0 / nullif(tp + fp, 0), 0.0) AS precision,
+  coalesce(2.0 * tp / nullif(2 * tp + fp + (P - tp), 0), 0.0) AS f1,
+  CASE WHEN P > 0 AND N > 0 THEN _roc / (P * 1.0 * N) END AS roc_auc,
+  CASE WHEN P > 0 AND N > 0 THEN _ap / P END AS pr_auc,
+  coalesce(fp * 1.0 / nullif(N, 0), 0.0) AS fpr,
+  tp, fp, CAST(P - tp AS BIGINT) AS fn, CAST(N - fp AS BIGINT) AS tn,
+  P * 1.0 / (P + N) AS actual_ratio
+FROM m"""
+    return rnd(body, "target_ratio", "recall", "precision", "f1", "roc_auc", "pr_auc", "fpr",
+               "actual_ratio")
+
+
+@register("imbalance_test", _imbalance_sql())
 def imbalance_test(spark, sf):
     """L1."""
     return R.imbalance_test(feature_table(spark, sf), R.feature_pseudo_scorer, THR)
