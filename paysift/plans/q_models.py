@@ -204,7 +204,65 @@ def noise_test(spark, sf):
     return R.noise_test(feature_table(spark, sf), R.feature_pseudo_scorer, THR)
 
 
-@register("drift_test", rounded=False)
+_SCORE_SQL = ("round(1.0 / (1.0 + exp(-(2.5 * is_high_risk_type + 1.5 * is_zero_balance + amount / 25000.0"
+              " - 0.05 * log_oldbalanceDest + 0.02 * log_oldbalanceOrg - 3.5))), 3)")
+
+
+def _drift_sql() -> str:
+    from ..oracle import rnd, u
+    from .q_features import _feature_matrix_sql
+    fm = _feature_matrix_sql()
+    inner = fm[fm.index("FROM (\n") + 7: fm.rindex("\n) _q")]
+    uz = u("concat_ws('|', txn_id, '42', 'drift_zero')")
+    cols = ("isFraud, is_high_risk_type, is_zero_balance, amount, log_oldbalanceDest, "
+            "log_oldbalanceOrg, oldbalanceOrg, newbalanceOrig, txn_id")
+    body = f"""WITH fm AS ({inner}),
+late AS (SELECT * FROM fm WHERE step > (SELECT quantile_cont(step, 0.7) FROM fm)),
+x AS (
+  SELECT 'drift_none' AS scenario, {cols} FROM late
+  UNION ALL
+  SELECT 'drift_3x_fraud_amount', isFraud, is_high_risk_type, is_zero_balance,
+         CASE WHEN isFraud = 1 THEN amount * 3.0 ELSE amount END, log_oldbalanceDest, log_oldbalanceOrg,
+         oldbalanceOrg, newbalanceOrig, txn_id FROM late
+  UNION ALL
+  SELECT 'drift_30pct_zero_balance', isFraud, is_high_risk_type, is_zero_balance, amount,
+         log_oldbalanceDest, log_oldbalanceOrg,
+         CASE WHEN {uz} < 0.3 THEN 0.0 ELSE oldbalanceOrg END,
+         CASE WHEN {uz} < 0.3 THEN 0.0 ELSE newbalanceOrig END, txn_id FROM late
+  UNION ALL
+  SELECT 'drift_all_transfer', isFraud, 1, is_zero_balance, amount, log_oldbalanceDest,
+         log_oldbalanceOrg, oldbalanceOrg, newbalanceOrig, txn_id FROM late),
+sc AS (SELECT scenario, isFraud AS label, {_SCORE_SQL} AS score FROM x),
+d AS (SELECT scenario, score AS threshold, CAST(sum(label) AS BIGINT) AS pos,
+             CAST(count(*) - sum(label) AS BIGINT) AS neg FROM sc GROUP BY ALL),
+c AS (SELECT *, sum(pos) OVER w AS cpos, sum(neg) OVER w AS cneg,
+             sum(pos) OVER (PARTITION BY scenario) AS P, sum(neg) OVER (PARTITION BY scenario) AS N
+      FROM d WINDOW w AS (PARTITION BY scenario ORDER BY threshold DESC
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+m AS (SELECT scenario,
+        CAST(coalesce(sum(pos) FILTER (WHERE threshold >= 0.5), 0) AS BIGINT) AS tp,
+        CAST(coalesce(sum(neg) FILTER (WHERE threshold >= 0.5), 0) AS BIGINT) AS fp,
+        max(P) AS P, max(N) AS N,
+        sum(neg * ((cpos - pos) + pos * 0.5)) AS _roc, sum(pos * (cpos * 1.0 / (cpos + cneg))) AS _ap
+      FROM c GROUP BY scenario),
+b AS (SELECT coalesce(2.0 * count(*) FILTER (WHERE s >= 0.5 AND isFraud = 1)
+                      / nullif(count(*) FILTER (WHERE s >= 0.5) + count(*) FILTER (WHERE isFraud = 1), 0),
+                      0.0) AS bf1  -- F1 = 2tp / (predicted + actual positives)
+      FROM (SELECT isFraud, {_SCORE_SQL} AS s FROM fm))
+SELECT scenario,
+  coalesce(tp * 1.0 / nullif(P, 0), 0.0) AS recall,
+  coalesce(tp * 1.0 / nullif(tp + fp, 0), 0.0) AS precision,
+  coalesce(2.0 * tp / nullif(2 * tp + fp + (P - tp), 0), 0.0) AS f1,
+  CASE WHEN P > 0 AND N > 0 THEN _roc / (P * 1.0 * N) END AS roc_auc,
+  CASE WHEN P > 0 AND N > 0 THEN _ap / P END AS pr_auc,
+  coalesce(fp * 1.0 / nullif(N, 0), 0.0) AS fpr,
+  tp, fp, CAST(P - tp AS BIGINT) AS fn, CAST(N - fp AS BIGINT) AS tn,
+  b.bf1 - coalesce(2.0 * tp / nullif(2 * tp + fp + (P - tp), 0), 0.0) AS drift_impact
+FROM m CROSS JOIN b"""
+    return rnd(body, "recall", "precision", "f1", "roc_auc", "pr_auc", "fpr", "drift_impact")
+
+
+@register("drift_test", _drift_sql())
 def drift_test(spark, sf):
     """L3-L5 scenarios on the late period."""
     return R.drift_test(feature_table(spark, sf), R.feature_pseudo_scorer, THR)
