@@ -144,6 +144,9 @@ def ml_model_comparison(spark, sf):
 # --- robustness on the fixed feature scorer -------------------------------------
 
 THR = 0.5
+# SQL twin of robustness.feature_pseudo_scorer.
+_SCORE_SQL = ("round(1.0 / (1.0 + exp(-(2.5 * is_high_risk_type + 1.5 * is_zero_balance + amount / 25000.0"
+              " - 0.05 * log_oldbalanceDest + 0.02 * log_oldbalanceOrg - 3.5))), 3)")
 
 
 def _imbalance_sql() -> str:
@@ -204,10 +207,6 @@ def noise_test(spark, sf):
     return R.noise_test(feature_table(spark, sf), R.feature_pseudo_scorer, THR)
 
 
-_SCORE_SQL = ("round(1.0 / (1.0 + exp(-(2.5 * is_high_risk_type + 1.5 * is_zero_balance + amount / 25000.0"
-              " - 0.05 * log_oldbalanceDest + 0.02 * log_oldbalanceOrg - 3.5))), 3)")
-
-
 def _drift_sql() -> str:
     from ..oracle import rnd, u
     from .q_features import _feature_matrix_sql
@@ -280,7 +279,34 @@ def corruption_test(spark, sf):
     return R.corruption_test(feature_table(spark, sf), R.feature_pseudo_scorer, THR, FEATURE_COLUMNS)
 
 
-@register("feature_sensitivity", rounded=False)
+def _sensitivity_sql() -> str:
+    import re
+
+    from ..oracle import rnd
+    from .q_features import _feature_matrix_sql
+    fm = _feature_matrix_sql()
+    inner = fm[fm.index("FROM (\n") + 7: fm.rindex("\n) _q")]
+    branches = []
+    for c in ["__none__"] + FEATURE_COLUMNS:
+        expr = re.sub(rf"\b{c}\b", "0.0", _SCORE_SQL) if c != "__none__" else _SCORE_SQL
+        branches.append(f"SELECT '{c}' AS feature, isFraud AS label, {expr} AS score FROM sub")
+    body = f"""WITH fm AS ({inner}),
+sub AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', txn_id, '42', 'noise_sample')),
+                                                      txn_id) - 1 AS _r FROM fm) WHERE _r < {R.NOISE_SAMPLE}),
+sc AS ({' UNION ALL '.join(branches)}),
+k AS (SELECT feature, count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS tp,
+             count(*) FILTER (WHERE score >= 0.5) AS pred, count(*) FILTER (WHERE label = 1) AS pos
+      FROM sc GROUP BY feature),
+m AS (SELECT feature, coalesce(2.0 * tp / nullif(pred + pos, 0), 0.0) AS f1,
+             coalesce(tp * 1.0 / nullif(pos, 0), 0.0) AS recall FROM k)
+SELECT m.feature, m.f1, m.recall,
+  CASE WHEN b.f1 = 0 THEN 0.0 ELSE (b.f1 - m.f1) / b.f1 * 100 END AS f1_drop_pct
+FROM m CROSS JOIN (SELECT f1 FROM m WHERE feature = '__none__') b
+WHERE m.feature <> '__none__'"""
+    return rnd(body, "f1", "recall", "f1_drop_pct")
+
+
+@register("feature_sensitivity", _sensitivity_sql())
 def feature_sensitivity(spark, sf):
     """One exploded scoring pass for all 41 features."""
     return R.feature_sensitivity(feature_table(spark, sf), R.feature_pseudo_scorer, THR, FEATURE_COLUMNS)
