@@ -201,7 +201,51 @@ def imbalance_test(spark, sf):
     return R.imbalance_test(feature_table(spark, sf), R.feature_pseudo_scorer, THR)
 
 
-@register("noise_test", rounded=False)
+def _noise_test_sql() -> str:
+    from ..operators.perturb import NOISE_LEVELS
+    from ..oracle import normal, rnd
+    from .q_features import _feature_matrix_sql
+    fm = _feature_matrix_sql()
+    inner = fm[fm.index("FROM (\n") + 7: fm.rindex("\n) _q")]
+    lv = ", ".join(f"('noise_{k}', '{k}', CAST({a} AS DOUBLE))" for k, (a, _b) in NOISE_LEVELS.items())
+    z = normal("concat_ws('|', txn_id, '42', 'noise', lvl, 'amount')")
+    noisy = f"greatest(amount * (1 + sa * {z}), 0.0)"
+    body = f"""WITH fm AS ({inner}),
+sub AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', txn_id, '42', 'noise_sample')),
+                                                      txn_id) - 1 AS _r FROM fm) WHERE _r < {R.NOISE_SAMPLE}),
+x0 AS (SELECT sub.*, o.scenario, o.lvl, o.sa FROM sub CROSS JOIN (VALUES {lv}) o(scenario, lvl, sa)),
+x AS (SELECT * REPLACE (CASE WHEN sa > 0 THEN (CASE WHEN isnan({noisy}) OR isinf({noisy}) THEN 0.0
+                                                   ELSE {noisy} END) ELSE amount END AS amount) FROM x0),
+sc AS (SELECT scenario, isFraud AS label, {_SCORE_SQL} AS score FROM x),
+d AS (SELECT scenario, score AS threshold, CAST(sum(label) AS BIGINT) AS pos,
+             CAST(count(*) - sum(label) AS BIGINT) AS neg FROM sc GROUP BY ALL),
+c AS (SELECT *, sum(pos) OVER w AS cpos, sum(neg) OVER w AS cneg,
+             sum(pos) OVER (PARTITION BY scenario) AS P, sum(neg) OVER (PARTITION BY scenario) AS N
+      FROM d WINDOW w AS (PARTITION BY scenario ORDER BY threshold DESC
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+m0 AS (SELECT scenario,
+        CAST(coalesce(sum(pos) FILTER (WHERE threshold >= 0.5), 0) AS BIGINT) AS tp,
+        CAST(coalesce(sum(neg) FILTER (WHERE threshold >= 0.5), 0) AS BIGINT) AS fp,
+        max(P) AS P, max(N) AS N,
+        sum(neg * ((cpos - pos) + pos * 0.5)) AS _roc, sum(pos * (cpos * 1.0 / (cpos + cneg))) AS _ap
+      FROM c GROUP BY scenario),
+m AS (SELECT scenario,
+  coalesce(tp * 1.0 / nullif(P, 0), 0.0) AS recall,
+  coalesce(tp * 1.0 / nullif(tp + fp, 0), 0.0) AS precision,
+  coalesce(2.0 * tp / nullif(2 * tp + fp + (P - tp), 0), 0.0) AS f1,
+  CASE WHEN P > 0 AND N > 0 THEN _roc / (P * 1.0 * N) END AS roc_auc,
+  CASE WHEN P > 0 AND N > 0 THEN _ap / P END AS pr_auc,
+  coalesce(fp * 1.0 / nullif(N, 0), 0.0) AS fpr,
+  tp, fp, CAST(P - tp AS BIGINT) AS fn, CAST(N - fp AS BIGINT) AS tn FROM m0)
+SELECT m.*,
+  CASE WHEN b.f1 = 0 THEN 0.0 ELSE (b.f1 - m.f1) / b.f1 * 100 END AS f1_drop_pct,
+  CASE WHEN b.recall = 0 THEN 0.0 ELSE (b.recall - m.recall) / b.recall * 100 END AS recall_drop_pct
+FROM m CROSS JOIN (SELECT f1, recall FROM m WHERE scenario = 'noise_none') b"""
+    return rnd(body, "recall", "precision", "f1", "roc_auc", "pr_auc", "fpr", "f1_drop_pct",
+               "recall_drop_pct")
+
+
+@register("noise_test", _noise_test_sql())
 def noise_test(spark, sf):
     """L2 scenarios with degradation."""
     return R.noise_test(feature_table(spark, sf), R.feature_pseudo_scorer, THR)
