@@ -317,7 +317,63 @@ def adversarial_eval(spark, sf):
     return R.adversarial_eval(feature_table(spark, sf), R.feature_pseudo_scorer, THR)
 
 
-@register("corruption_test", rounded=False)
+def _corruption_sql() -> str:
+    from ..oracle import rnd, u
+    from .q_features import _feature_matrix_sql
+    fm = _feature_matrix_sql()
+    inner = fm[fm.index("FROM (\n") + 7: fm.rindex("\n) _q")]
+    used = ["is_high_risk_type", "is_zero_balance", "amount", "log_oldbalanceDest", "log_oldbalanceOrg"]
+    parts = []
+    for r in R.MISSING_RATES:
+        if r <= 0:
+            parts.append(f"SELECT 'missing_{r}' AS scenario, isFraud, {', '.join(used)} FROM sub")
+            continue
+        key = "concat_ws('|', txn_id, '42', 'missing', '{r}', '{c}')"
+        cols = ", ".join(f"CASE WHEN {u(key.format(r=r, c=c))} < {r} THEN 0 ELSE {c} END AS {c}"
+                         for c in used)
+        parts.append(f"SELECT 'missing_{r}', isFraud, {cols} FROM sub")
+    parts.append(f"SELECT 'swap_balances', isFraud, {', '.join(used)} FROM sub")
+    parts.append(f"SELECT 'zero_balances', isFraud, {', '.join(used)} FROM sub")
+    parts.append("SELECT 'shuffle_10pct', isFraud, is_high_risk_type, is_zero_balance, "
+                 "CASE WHEN p._in THEN a.amount ELSE p.amount END, log_oldbalanceDest, log_oldbalanceOrg "
+                 "FROM p LEFT JOIN a ON p._pos = a._pos")
+    rank = "row_number() OVER (ORDER BY md5(concat_ws('|', txn_id, '42', '{s}')), txn_id) - 1"
+    body = f"""WITH fm AS ({inner}),
+sub AS (SELECT * FROM (SELECT *, {rank.format(s='noise_sample')} AS _r FROM fm) WHERE _r < {R.NOISE_SAMPLE}),
+p0 AS (SELECT *, {rank.format(s='subset')} AS _pos, count(*) OVER () AS _n FROM sub),
+p AS (SELECT *, _pos < floor(_n * 1 / 10) AS _in FROM p0),
+a AS (SELECT {rank.format(s='perm|amount')} AS _pos, amount FROM p WHERE _in),
+x AS ({' UNION ALL '.join(parts)}),
+sc AS (SELECT scenario, isFraud AS label, {_SCORE_SQL} AS score FROM x),
+d AS (SELECT scenario, score AS threshold, CAST(sum(label) AS BIGINT) AS pos,
+             CAST(count(*) - sum(label) AS BIGINT) AS neg FROM sc GROUP BY ALL),
+c AS (SELECT *, sum(pos) OVER w AS cpos, sum(neg) OVER w AS cneg,
+             sum(pos) OVER (PARTITION BY scenario) AS P, sum(neg) OVER (PARTITION BY scenario) AS N
+      FROM d WINDOW w AS (PARTITION BY scenario ORDER BY threshold DESC
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+m0 AS (SELECT scenario,
+        CAST(coalesce(sum(pos) FILTER (WHERE threshold >= 0.5), 0) AS BIGINT) AS tp,
+        CAST(coalesce(sum(neg) FILTER (WHERE threshold >= 0.5), 0) AS BIGINT) AS fp,
+        max(P) AS P, max(N) AS N,
+        sum(neg * ((cpos - pos) + pos * 0.5)) AS _roc, sum(pos * (cpos * 1.0 / (cpos + cneg))) AS _ap
+      FROM c GROUP BY scenario),
+m AS (SELECT scenario,
+  coalesce(tp * 1.0 / nullif(P, 0), 0.0) AS recall,
+  coalesce(tp * 1.0 / nullif(tp + fp, 0), 0.0) AS precision,
+  coalesce(2.0 * tp / nullif(2 * tp + fp + (P - tp), 0), 0.0) AS f1,
+  CASE WHEN P > 0 AND N > 0 THEN _roc / (P * 1.0 * N) END AS roc_auc,
+  CASE WHEN P > 0 AND N > 0 THEN _ap / P END AS pr_auc,
+  coalesce(fp * 1.0 / nullif(N, 0), 0.0) AS fpr,
+  tp, fp, CAST(P - tp AS BIGINT) AS fn, CAST(N - fp AS BIGINT) AS tn FROM m0)
+SELECT m.*,
+  CASE WHEN b.f1 = 0 THEN 0.0 ELSE (b.f1 - m.f1) / b.f1 * 100 END AS f1_drop_pct,
+  CASE WHEN b.recall = 0 THEN 0.0 ELSE (b.recall - m.recall) / b.recall * 100 END AS recall_drop_pct
+FROM m CROSS JOIN (SELECT f1, recall FROM m WHERE scenario = 'missing_0.0') b"""
+    return rnd(body, "recall", "precision", "f1", "roc_auc", "pr_auc", "fpr", "f1_drop_pct",
+               "recall_drop_pct")
+
+
+@register("corruption_test", _corruption_sql())
 def corruption_test(spark, sf):
     """L8-L11 scenarios."""
     return R.corruption_test(feature_table(spark, sf), R.feature_pseudo_scorer, THR, FEATURE_COLUMNS)
