@@ -311,7 +311,51 @@ def drift_test(spark, sf):
     return R.drift_test(feature_table(spark, sf), R.feature_pseudo_scorer, THR)
 
 
-@register("adversarial_eval", rounded=False)
+def _adversarial_eval_sql() -> str:
+    from ..oracle import rnd, u
+    from .q_features import _feature_matrix_sql
+    fm = _feature_matrix_sql()
+    inner = fm[fm.index("FROM (\n") + 7: fm.rindex("\n) _q")]
+    rank = "row_number() OVER (ORDER BY md5(concat_ws('|', txn_id, '42', '{s}')), txn_id) - 1"
+    ua = u("concat_ws('|', txn_id, '42', 'adv_amount')")
+    body = f"""WITH fm AS ({inner}),
+legit AS (SELECT * FROM fm WHERE isFraud = 0),
+p25 AS (SELECT quantile_cont(amount, 0.25) AS _p25 FROM legit),
+adv AS (SELECT 1 AS isFraud, is_high_risk_type, 0 AS is_zero_balance,
+               100.0 + {ua} * (p25._p25 - 100.0) AS amount, log_oldbalanceDest, log_oldbalanceOrg,
+               1 AS is_adversarial
+        FROM (SELECT *, {rank.format(s='adversarial')} AS _r FROM legit) l CROSS JOIN p25
+        WHERE _r < {R.N_ADVERSARIAL}),
+base AS (SELECT isFraud, is_high_risk_type, is_zero_balance, amount, log_oldbalanceDest,
+                log_oldbalanceOrg, 0 AS is_adversarial
+         FROM (SELECT *, {rank.format(s='adv_base')} AS _r FROM fm) WHERE _r < {R.ADV_BASE_SAMPLE}),
+sc AS (SELECT isFraud AS label, is_adversarial, {_SCORE_SQL} AS score
+       FROM (SELECT * FROM base UNION ALL SELECT * FROM adv)),
+d AS (SELECT score AS threshold, CAST(sum(label) AS BIGINT) AS pos,
+             CAST(count(*) - sum(label) AS BIGINT) AS neg FROM sc GROUP BY ALL),
+c AS (SELECT *, sum(pos) OVER w AS cpos, sum(neg) OVER w AS cneg, sum(pos) OVER () AS P, sum(neg) OVER () AS N
+      FROM d WINDOW w AS (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+m0 AS (SELECT CAST(coalesce(sum(pos) FILTER (WHERE threshold >= 0.5), 0) AS BIGINT) AS tp,
+              CAST(coalesce(sum(neg) FILTER (WHERE threshold >= 0.5), 0) AS BIGINT) AS fp,
+              max(P) AS P, max(N) AS N,
+              sum(neg * ((cpos - pos) + pos * 0.5)) AS _roc, sum(pos * (cpos * 1.0 / (cpos + cneg))) AS _ap
+       FROM c),
+a AS (SELECT count(*) AS adv_rows, count(*) FILTER (WHERE score >= 0.5) AS adv_detected
+      FROM sc WHERE is_adversarial = 1)
+SELECT coalesce(tp * 1.0 / nullif(P, 0), 0.0) AS recall,
+  coalesce(tp * 1.0 / nullif(tp + fp, 0), 0.0) AS precision,
+  coalesce(2.0 * tp / nullif(2 * tp + fp + (P - tp), 0), 0.0) AS f1,
+  CASE WHEN P > 0 AND N > 0 THEN _roc / (P * 1.0 * N) END AS roc_auc,
+  CASE WHEN P > 0 AND N > 0 THEN _ap / P END AS pr_auc,
+  coalesce(fp * 1.0 / nullif(N, 0), 0.0) AS fpr,
+  tp, fp, CAST(P - tp AS BIGINT) AS fn, CAST(N - fp AS BIGINT) AS tn,
+  'adversarial_mix' AS scenario, adv_rows, adv_detected, adv_rows - adv_detected AS adv_missed,
+  adv_detected * 1.0 / nullif(adv_rows, 0) AS adv_recall
+FROM m0 CROSS JOIN a"""
+    return rnd(body, "recall", "precision", "f1", "roc_auc", "pr_auc", "fpr", "adv_recall")
+
+
+@register("adversarial_eval", _adversarial_eval_sql())
 def adversarial_eval(spark, sf):
     """L7."""
     return R.adversarial_eval(feature_table(spark, sf), R.feature_pseudo_scorer, THR)
