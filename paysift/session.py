@@ -31,16 +31,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts.
-
-    On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/object-store)
-    folder and is used as is.  Only when it is unset — tests, local runs — a
-    scratch folder is created and registered.
-    """
+    """Shared folder for lineage cuts, in this order: the folder the caller
+    has set with ``setCheckpointDir``, the session's ``spark.checkpoint.dir``,
+    and — with a local master only, as in tests — a fresh scratch folder.
+    On a cluster an unset folder is an error: executors and driver do not
+    share local disks."""
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir()
+    if d:
+        return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="paysift-ckpt-")
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir()
