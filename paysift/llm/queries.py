@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .packing import pack
+from .quality_rules import cascade
+from .secrets import BASE, KINDS, scan
 from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +32,72 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+def _secret_sql() -> str:
+    """The scan in DuckDB: the same split-and-sum positions, and the links as
+    existence tests."""
+    pattern = {
+        "assign": r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+    } | {name: p for name, p, _, _ in KINDS[1:]}
+    parts = " union all ".join(
+        f"select rid, {i} as k, string_split_regex(t, '{pattern[name]}') as gaps, regexp_extract_all(t, '{pattern[name]}', 0) as hits, "
+        f"regexp_extract_all(t, '{pattern[name]}', {group}) as part, {least} as least from d" for i, (name, _, group, least) in enumerate(KINDS))
+    rank = {k[0]: i for i, k in enumerate(KINDS)}
+    near = lambda *kinds: f"exists (select 1 from s b where b.rid = s.rid and abs(b.s - s.s) <= 512 and b.k in ({', '.join(str(rank[k]) for k in kinds)}))"
+    names = "case k " + " ".join(f"when {i} then '{k[0]}'" for i, k in enumerate(KINDS)) + " end"
+    line = f"{names} || ':' || s || ':' || e"
+    return f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+m as ({parts}),
+u as (select rid, k, least, unnest(range(1, len(hits) + 1)) as i, gaps, hits, part from m where len(hits) > 0),
+p as (select rid, k, i, length(gaps[i]) as gap, length(hits[i]) as size,
+        length(part[i]) >= least and (k <> {rank["token"]} or (regexp_matches(part[i], '[0-9]') and regexp_matches(part[i], '[A-Za-z]')
+        and not regexp_matches(part[i], '[0-9a-f]{{16}}|AKIA[A-Z0-9]{{14}}'))) as good from u),
+s as (select rid, k, s, s + size as e, good from (select *, sum(gap + size) over (partition by rid, k order by i) - size as s from p) where good),
+r as (select * from s where k < 3 or (k = {rank["weak_id"]} and {near("assign", "hex", "token")})
+        or (k = {rank["token"]} and {near("access", "weak_id", "endpoint")}) or (k = {rank["endpoint"]} and {near("access", "assign")})),
+a as (select rid, count(*) filter (k = 0) as n0, count(*) filter (k = 1) as n1, count(*) filter (k = 2) as n2,
+        string_agg({line}, ',' order by s, k) filter (k < 3) as base, string_agg({line}, ',' order by s, k) as spans from r group by rid)
+select doc_id, coalesce(n0, 0)::bigint as n_assign, coalesce(n1, 0)::bigint as n_access, coalesce(n2, 0)::bigint as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join a using (rid)"""
+
+
+def _joined(spans, keep=None):
+    spans = F.filter(spans, lambda x: x["kind"].isin(*keep)) if keep else spans
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+@query("op2_secret_scan", _secret_sql())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined(F.col("spans"), BASE), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+QUALITY_SQL = r"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+w as (select rid, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+g as (select rid, i, count(*) over (partition by rid, g) as c from (
+        select rid, i, array_to_string(list_slice(ws, i, i + 7), ' ') as g from (select rid, ws, unnest(range(1, len(ws) - 6)) as i from w))),
+r as (select rid, count(distinct p) as n from (select rid, unnest(range(i, i + 8)) as p from g where c > 1) group by rid),
+m as (select rid, doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
+        coalesce(n, 0)::bigint as n_repeat_words, len(ls) as lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) as upper,
+        length(regexp_replace(t, '[^A-Za-z]', '', 'g')) as letters from w left join r using (rid)),
+b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and not (10 * n_symbols > n_words) and not (10 * n_dup_lines > 3 * lines)
+       and not (word_chars < 2 * n_words or word_chars > 20 * n_words) and not (2 * upper > letters and letters > 40) as kept from b"""
+
+
+@query("op8_quality_rules", QUALITY_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = cascade(docs, metrics=("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+    return judged.select("doc_id", F.col("_q_n").alias("n_words"), F.col("_q_chars").alias("word_chars"), F.col("_q_symbols").alias("n_symbols"),
+                         F.col("_q_dup_lines").alias("n_dup_lines"), F.col("_q_repeat").alias("n_repeat_words"),
+                         F.expr("_q_n < 20 or 100 * _q_repeat > 30 * _q_n").alias("base_failed"), "kept")
+
+
 @query("op3_best_fit_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
