@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -42,9 +42,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_key(*cols: str) -> Column:
-    """64-bit content hash that tells apart rows with a repeated id."""
-    return F.xxhash64(*[F.col(c) for c in cols])
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and a row number column whose name none of its columns has."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
 
 
 # ---------------------------------------------------------------- byte tables
@@ -210,3 +213,43 @@ def list_of(values: np.ndarray, counts: np.ndarray, kind=None) -> pa.ListArray:
     off = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=off[1:])
     return pa.ListArray.from_arrays(pa.array(off), pa.array(values, kind))
+
+
+def window_argmin(h: np.ndarray, w: int) -> np.ndarray:
+    """Place of the least value (the first of equal ones) in each window of w."""
+    if len(h) < w:
+        return np.zeros(0, np.int64)
+    best, size = np.arange(len(h)), 1
+    while size < w:
+        step = min(size, w - size)
+        a, b = best[:-step], best[step:]
+        best = np.where(h[b] < h[a], b, a)
+        size += step
+    return best
+
+
+# ---------------------------------------------------------------- bit filters
+
+def bit_filter(hashes: DataFrame, bits: int):
+    """Broadcast bit array of ``bits`` (a power of two up to 2^31: its size is
+    the bound) with two bits set per value of the long column ``h``.  The
+    bitmaps are built by a native aggregate and only their 4 KB chunks, bits / 8
+    bytes in all, reach the driver."""
+    spark = hashes.sparkSession
+    at = F.array(F.col("h").bitwiseAND(F.lit(bits - 1)) + 1, F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(bits - 1)) + 1)
+    rows = (hashes.select(F.explode(at).alias("i")).groupBy(F.bitmap_bucket_number("i").alias("b"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("i")).alias("m")).toLocalIterator())
+    out = np.zeros((max(1, bits >> 15), 4096), np.uint8)
+    for r in rows:
+        out[r["b"] - 1] = np.frombuffer(r["m"], np.uint8)
+    return spark.sparkContext.broadcast(out.reshape(-1)[:max(1, bits // 8)])
+
+
+def in_filter(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each uint64 hash may be in the filter (no false negatives)."""
+    mask = np.uint64(len(bitmap) * 8 - 1)
+    a, b = h & mask, (h >> np.uint64(32)) & mask
+    hit = lambda i: (bitmap[(i >> np.uint64(3)).astype(np.int64)] >> (i & np.uint64(7)).astype(np.uint8)) & 1
+    out = hit(a).astype(bool)
+    out[out] = hit(b[out]).astype(bool)
+    return out

@@ -14,9 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import contamination
+from .near_dedup import near_duplicates
 from .packing import pack
+from .passage_dedup import remove_passages
 from .quality_rules import cascade
 from .secrets import BASE, KINDS, scan
+from .substring_dedup import remove_repeats
 from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +111,82 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+WORD_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+CONTAMINATION_SQL = rf"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+i as (select item_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+w as (select distinct item_id, n, array_to_string(list_slice(ws, p, p + n - 1), ' ') as g from (
+        select item_id, ws, n, unnest(range(1, len(ws) - n + 2)) as p from (select *, least(10, len(ws)) as n from i where len(ws) > 0))),
+h as (select rid, p, n, item_id from (
+        select rid, n, p, array_to_string(list_slice(ws, p, p + n - 1), ' ') as g from (
+            select rid, ws, n, unnest(range(1, len(ws) - n + 2)) as p from d, (select distinct n from w) where len(ws) >= n)) join w using (n, g)),
+c as (select rid, count(distinct q) as n_hit from (select rid, unnest(range(p, p + n)) as q from h) group by rid),
+t as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct rid, coalesce(item_id::varchar, '') as item from h) group by rid)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join c using (rid) left join t using (rid)"""
+
+
+@query("op4_benchmark_decontamination", CONTAMINATION_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+SUBSTRING_SQL = """
+with d as (select row_number() over () as rid, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select rid, doc_id, p, substr(h, 2 * p + 1, 100) as g from (select rid, doc_id, h, unnest(range(0, length(h) // 2 - 49)) as p from d)),
+m as (select rid, p, doc_id > min(doc_id) over (partition by g) as again from w),
+s as (select rid, p, p + 50 as e from m where again),
+r as (select rid, p, e, max(e) over (partition by rid order by p rows between unbounded preceding and 1 preceding) as b from s),
+v as (select rid, min(p) as s, max(e) as e from (select *, sum(case when b is null or p > b then 1 else 0 end) over (partition by rid order by p) as k from r) group by rid, k),
+g as (select rid, s, e, coalesce(lag(e) over (partition by rid order by s), 0) as b from v),
+k as (select d.rid, string_agg(substr(h, 2 * b + 1, 2 * (s - b)), '' order by s) || substr(any_value(h), 2 * max(e) + 1) as kept,
+        sum(e - s) as n_removed, count(*) as n_spans from d join g using (rid) group by d.rid)
+select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(unhex(coalesce(kept, h))) as kept_sha256 from d left join k using (rid)"""
+
+
+@query("op6_suffix_dedup", SUBSTRING_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+PASSAGE_SQL = f"""
+with d as (select row_number() over () as rid, doc_id, {WORD_SQL} as ws from documents),
+w as (select rid, doc_id, p, array_to_string(list_slice(ws, p, p + 19), ' ') as g from (select rid, doc_id, ws, unnest(range(1, len(ws) - 18)) as p from d)),
+m as (select rid, p, row_number() over (partition by g order by doc_id, p) > 1 as again from w),
+c as (select distinct rid, q from (select rid, unnest(range(p, p + 20)) as q from m where again)),
+x as (select rid, q, ws[q] as word from (select rid, ws, unnest(range(1, len(ws) + 1)) as q from d)),
+k as (select x.rid, string_agg(word, ' ' order by x.q) as kept, count(*) as n from x left join c on x.rid = c.rid and x.q = c.q where c.q is null group by x.rid)
+select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (rid)"""
+
+
+@query("op9_recompression_dedup", PASSAGE_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+NEAR_SQL = f"""
+with recursive d as (select row_number() over () as rid, doc_id, {WORD_SQL.replace("coalesce(text, '')", LOWER_SQL)} as ws from documents),
+s as (select distinct rid, array_to_string(list_slice(ws, p, p + 4), ' ') as g from (select rid, ws, unnest(range(1, greatest(len(ws) - 3, 2))) as p from d where len(ws) > 0)),
+n as (select rid, count(*) as n from s group by rid),
+l as (select a.rid as a, b.rid as b from s a join s b on a.g = b.g and a.rid < b.rid join n x on x.rid = a.rid join n y on y.rid = b.rid
+        group by a.rid, b.rid, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+e as (select a, b from l union all select b, a from l),
+r(v, root) as (select rid, rid from n union select e.b, r.root from r join e on e.a = r.v),
+c as (select v, min(doc_id) as component_id from r join d on d.rid = r.root group by v)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(component_id, doc_id) as component_id, doc_id = coalesce(component_id, doc_id) as kept
+from d left join n using (rid) left join c on c.v = d.rid"""
+
+
+@query("op10_minhash_near_dedup", NEAR_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
