@@ -13,6 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_tree import prefix_tree, read_back
 from .common import table
 from .decontaminate import contamination
 from .near_dedup import near_duplicates
@@ -36,6 +37,25 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+CHAT_SQL = r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+l as (select conv_id, string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant') as loss from c group by conv_id),
+t as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as said,
+        sum(17 + length(replace(replace(replace(role, '\', '\\'), '<', '\<'), '>', '\>')) - 1 + length(replace(replace(text, '\', '\\'), '<', '\<')))::bigint as formatted_chars
+      from c group by conv_id)
+select t.conv_id, n_turns, sha256(said) as turns_sha256, length(coalesce(loss, ''))::bigint as loss_chars, sha256(coalesce(loss, '')) as loss_sha256, formatted_chars
+from t left join l on t.conv_id is not distinct from l.conv_id"""
+
+
+@query("op1_chat_prefix_tree", CHAT_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(*prefix_tree(turns.union(extra)))
+
+
 def _secret_sql() -> str:
     """The scan in DuckDB: the same split-and-sum positions, and the links as
     existence tests."""
