@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .chat_tree import prefix_tree, read_back
 from .common import table
 from .decontaminate import contamination
+from .line_quality import held_out, score, train
 from .near_dedup import near_duplicates
 from .packing import pack
 from .passage_dedup import remove_passages
@@ -210,3 +211,10 @@ from d left join n using (rid) left join c on c.v = d.rid"""
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), percent=85)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@query("op5_line_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = score(docs, train(docs, labels))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
