@@ -112,5 +112,10 @@ def cascade(docs: DataFrame, rules=RULES, text_col: str = "text", metrics: tuple
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows that pass every rule, with the columns of ``docs``."""
-    return cascade(docs, text_col=text_col).where("kept").select(*docs.columns)
+    """The rows that pass every rule, with the columns of ``docs``.  Observed
+    as ``quality_rules``: rows read and rejected.  (Rows are counted before the
+    filter, which also keeps the optimizer from moving the verdict below the
+    helper columns, where it would compute each of them many times.)"""
+    judged = cascade(docs, text_col=text_col)
+    counted = judged.observe("quality_rules", F.count(F.lit(1)).alias("rows"), F.count("failed_rule").alias("rejected"))
+    return counted.where("kept").select(*docs.columns)
