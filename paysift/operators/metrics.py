@@ -5,9 +5,10 @@ one pass evaluates many models/scenarios.  Curves and AUCs are exact:
 
 * scores are reduced to distinct values with positive/negative counts
   (partial aggregation), then cumulated in descending score order with a
-  two-level prefix sum — per (group, score bucket) totals (≤ 2^20 buckets of
-  width 2^-20 on [0, 1]) give bucket offsets, and only the distinct scores of
-  one bucket share a window partition;
+  two-level prefix sum — per (group, score bucket) totals (256 buckets per
+  octave, so scores near 0 and above 1 are spread as well as those between)
+  give bucket offsets, and only the distinct scores of one bucket share a
+  window partition;
 * ROC-AUC is the trapezoid / Mann–Whitney sum with half credit for ties;
   PR-AUC is average precision Σ ΔR·P with no interpolation (not Spark's
   trapezoidal ``areaUnderPR``).
@@ -19,8 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import join_null_safe
-
-SCORE_BUCKETS = 1 << 20
+from ..functions.quantile import with_log_keys
 
 
 def _div0(a: Column, b: Column) -> Column:
@@ -67,9 +67,7 @@ def score_cumulants(scores: DataFrame, by=(), label: str = "label", score: str =
                .groupBy(*by, F.col(score).alias("_s"))
                .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("bigint").alias("pos"),
                     F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("bigint").alias("neg")))
-    b = F.least(F.greatest(F.floor(F.col("_s") * SCORE_BUCKETS), F.lit(0)),
-                F.lit(SCORE_BUCKETS)).cast("int")
-    d = d.withColumn("_b", b)
+    d = with_log_keys(d, "_s").withColumnRenamed("_k1", "_b").drop("_k2")
     bt = d.groupBy(*by, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     wdesc = (Window.partitionBy(*by).orderBy(F.desc("_b"))
                    .rowsBetween(Window.unboundedPreceding, Window.currentRow))

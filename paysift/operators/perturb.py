@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import hash_normal, hash_uniform
 from ..functions.quantile import quantile_row
-from ..plans.prefix import hash_rank
+from ..plans.prefix import below_quota, hash_rank
 from ..sources.schema import BALANCE_COLS, TARGET
 
 SEED = 42
@@ -26,6 +26,7 @@ NOISE_LEVELS = {
     "high": (0.20, 0.15),
     "extreme": (0.30, 0.25),
 }
+# Columns an adversarial row has at 0.
 ADV_ZERO_COLS = ["error_orig", "error_dest", "abs_error_orig", "abs_error_dest",
                  "log_abs_error_orig", "log_abs_error_dest"]
 
@@ -50,13 +51,12 @@ def noise_inject_by_level(df: DataFrame, level_col: str, amount_sigma_col: str,
                           balance_sigma_col: str, key: str = "txn_id", seed: int = SEED) -> DataFrame:
     """L2 for many levels at once: the level name and the two sigmas are
     columns (rows exploded by level), so every level is one pass."""
-    cols = {}
     for c, sig in [("amount", amount_sigma_col)] + [(b, balance_sigma_col) for b in BALANCE_COLS]:
-        if c in df.columns:
-            z = hash_normal(F.col(key), seed, "noise", F.col(level_col), c)
-            noisy = _finite_or_zero(F.greatest(F.col(c) * (1 + F.col(sig) * z), F.lit(0.0)))
-            cols[c] = F.when(F.col(sig) > 0, noisy).otherwise(F.col(c))
-    return df.withColumns(cols)
+        if c in df.columns:  # z, then the noisy value, then its repair: each computed once
+            df = df.withColumn("_z", hash_normal(F.col(key), seed, "noise", F.col(level_col), c))
+            df = df.withColumn("_z", F.greatest(F.col(c) * (1 + F.col(sig) * F.col("_z")), F.lit(0.0)))
+            df = df.withColumn(c, F.when(F.col(sig) > 0, _finite_or_zero(F.col("_z"))).otherwise(F.col(c))).drop("_z")
+    return df
 
 
 def drift_scale(df: DataFrame, factor: float = 3.0, col: str = "amount",
@@ -91,8 +91,8 @@ def adversarial_rows(features: DataFrame, n: int = 1000, label: str = TARGET,
     original rows)."""
     legit = features.where(F.col(label) == 0)
     p25 = quantile_row(legit, "amount", {"_p25": 0.25})
-    base = (hash_rank(legit, [], key, seed, "adversarial").where(F.col("_rank") < n).drop("_rank")
-            .crossJoin(F.broadcast(p25)))
+    quota = legit.sparkSession.range(1).select(F.lit(n).cast("bigint").alias("_quota"))
+    base = below_quota(legit, quota, [], key, seed, "adversarial").where("_in").drop("_in").crossJoin(F.broadcast(p25))
     amt = F.lit(100.0) + hash_uniform(F.col(key), seed, "adv_amount") * (F.col("_p25") - 100.0)
     out = base.withColumn("amount", amt)
     upd = {label: F.lit(1).cast(features.schema[label].dataType)}
@@ -141,20 +141,19 @@ def shuffle_subset(df: DataFrame, frac: float = 0.10, cols=("amount", "oldbalanc
     """Permute the values of each column among one random subset of
     floor(frac·n) rows, independently per column.
 
+    Only the subset is ranked and joined; all other rows pass through.
     Subset position = exact hash rank; for column c the value placed at
     position i comes from the subset row whose c-specific hash rank is i.
     Both ranks come from the two-level prefix (no single-partition window),
     and the value move is an equi-join on the rank, which is uniformly
     spread.  The multiset of each column is unchanged."""
-    r = hash_rank(df, [], key, seed, "subset", rank_col="_pos", size_col="_n")
     q = Fraction(str(frac)).limit_denominator(10 ** 9)
-    r = r.withColumn("_in", F.col("_pos") < F.floor(F.col("_n") * q.numerator / q.denominator))
-    sub = r.where("_in")
-    out = r
+    n = df.agg(F.expr(f"count(1) * {q.numerator} div {q.denominator}").alias("_quota"))
+    r = below_quota(df, n, [], key, seed, "subset")
+    moved = hash_rank(r.where("_in").select(key, *cols), [], key, seed, "subset", rank_col="_pos")
     for c in cols:
-        src = hash_rank(sub.select(key, c), [], key, seed, f"perm|{c}", rank_col="_src")
-        vals = src.select(F.col("_src").alias("_pos"), F.col(c).alias(f"_new_{c}"))
-        out = out.join(vals, "_pos", "left")
-        out = out.withColumn(c, F.when(F.col("_in"), F.col(f"_new_{c}")).otherwise(F.col(c))) \
-                 .drop(f"_new_{c}")
-    return out.drop("_pos", "_n", "_in")
+        src = hash_rank(moved.select(F.col(key).alias("_key"), F.col(c).alias(f"_new_{c}")), [], "_key", seed, f"perm|{c}", rank_col="_pos")
+        moved = moved.join(src.drop("_key"), "_pos")
+    moved = moved.select(F.col(key), *[F.col(f"_new_{c}") for c in cols])
+    changed = r.where("_in").join(moved, key).withColumns({c: F.col(f"_new_{c}") for c in cols}).select(*df.columns)
+    return r.where("not _in").select(*df.columns).union(changed)

@@ -14,11 +14,11 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantile import quantile_row
-from ..plans.prefix import hash_rank
+from ..plans.prefix import below_quota, hash_rank
 from ..sources.schema import TARGET
 
 SEED = 42
@@ -28,51 +28,90 @@ def _frac(f: float) -> Fraction:
     return Fraction(str(f)).limit_denominator(10 ** 9)
 
 
+def _div(a: Column, b: int) -> Column:
+    """Integer quotient of wide decimals (no binary float, no overflow)."""
+    return F.call_function("div", a, F.lit(b).cast("decimal(20,0)"))
+
+
+def _wide(n: Column, times: int, plus: int) -> Column:
+    return n.cast("decimal(20,0)") * F.lit(times).cast("decimal(12,0)") + F.lit(plus).cast("decimal(12,0)")
+
+
 def round_quota(n: Column, frac: float) -> Column:
     """round-half-up(frac · n) in exact integer arithmetic."""
     q = _frac(frac)
-    return F.floor((n * q.numerator * 2 + q.denominator) / (2 * q.denominator)).cast("bigint")
+    return _div(_wide(n, 2 * q.numerator, q.denominator), 2 * q.denominator).cast("bigint")
 
 
 def ceil_quota(n: Column, frac: float) -> Column:
     q = _frac(frac)
-    return F.floor((n * q.numerator + q.denominator - 1) / q.denominator).cast("bigint")
+    return _div(_wide(n, q.numerator, q.denominator - 1), q.denominator).cast("bigint")
+
+
+def floor_quota(n: Column, frac: float) -> Column:
+    q = _frac(frac)
+    return _div(_wide(n, q.numerator, 0), q.denominator).cast("bigint")
+
+
+def split_quotas(df: DataFrame, test_frac: float, label: str) -> DataFrame:
+    """Test rows per class: ceil(test_frac · n) in all, shared by largest
+    remainder (ties: the smaller label first).  One row per class."""
+    q = _frac(test_frac)
+    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    total = n.agg(F.sum("_n").alias("_all"))
+    n = (n.crossJoin(F.broadcast(total))  # one row
+          .withColumn("_quota", floor_quota(F.col("_n"), test_frac))
+          .withColumn("_rest", _wide(F.col("_n"), q.numerator, 0) - F.col("_quota").cast("decimal(20,0)") * q.denominator))
+    every = Window.partitionBy(F.lit(0))  # as many rows as classes
+    left = ceil_quota(F.col("_all"), test_frac) - F.sum("_quota").over(every)
+    place = F.row_number().over(every.orderBy(F.desc("_rest"), label))
+    return n.select(label, (F.col("_quota") + F.when(place <= left, 1).otherwise(0)).cast("bigint").alias("_quota"))
+
+
+def _quotas(df: DataFrame, label: str, quota) -> DataFrame:
+    """One row per class: ``quota(_n)`` of its row count."""
+    return df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).select(label, quota(F.col("_n")).cast("bigint").alias("_quota"))
 
 
 def stratified_sample(df: DataFrame, frac: float = 0.25, label: str = TARGET,
                       key: str = "txn_id", seed: int = SEED) -> DataFrame:
     """Exact per-class proportion: the round(frac·n_c) rows of each class
     with the smallest hash."""
-    r = hash_rank(df, [label], key, seed, "sample", size_col="_n")
-    return r.where(F.col("_rank") < round_quota(F.col("_n"), frac)).drop("_rank", "_n")
+    quota = _quotas(df, label, lambda n: round_quota(n, frac))
+    return below_quota(df, quota, [label], key, seed, "sample").where("_in").drop("_in")
 
 
 def train_test_split(df: DataFrame, test_frac: float = 0.2, label: str = TARGET,
                      key: str = "txn_id", seed: int = SEED) -> DataFrame:
-    """Adds ``split`` ∈ {train, test}; per class the test part has
-    ceil(test_frac·n_c) rows.  Disjoint and exhaustive by construction (same
-    rank, opposite predicate — no anti-join)."""
-    r = hash_rank(df, [label], key, seed, "split", size_col="_n")
-    return (r.withColumn("split", F.when(F.col("_rank") < ceil_quota(F.col("_n"), test_frac),
-                                         F.lit("test")).otherwise(F.lit("train")))
-             .drop("_rank", "_n"))
+    """Adds ``split`` ∈ {train, test}; the test part has
+    ceil(test_frac·n) rows, shared over the classes by largest remainder.
+    Disjoint and exhaustive by construction (same rank, opposite predicate —
+    no anti-join)."""
+    quota = F.broadcast(split_quotas(df, test_frac, label))  # a row per class
+    return (below_quota(df, quota, [label], key, seed, "split")
+            .withColumn("split", F.when(F.col("_in"), F.lit("test")).otherwise(F.lit("train"))).drop("_in"))
 
 
 def hash_sample_n(df: DataFrame, n: int, key: str = "txn_id", seed: int = SEED,
                   salt: str = "sample_n") -> DataFrame:
     """min(n, len) rows without replacement — the n smallest hashes."""
-    r = hash_rank(df, [], key, seed, salt)
-    return r.where(F.col("_rank") < n).drop("_rank")
+    quota = df.sparkSession.range(1).select(F.lit(n).cast("bigint").alias("_quota"))
+    return below_quota(df, quota, [], key, seed, salt).where("_in").drop("_in")
+
+
+def _keep_quota(df: DataFrame, label: str, of: int, quota, key: str, seed: int, salt: str) -> DataFrame:
+    """All rows of the other class, and ``quota(n1, n0)`` rows of class ``of``."""
+    counts = df.agg(F.count_if(F.col(label) == 1).alias("_n1"), F.count_if(F.col(label) == 0).alias("_n0"))
+    quotas = counts.select(F.explode(F.array(F.struct(F.lit(of).alias("c"), quota(F.col("_n1"), F.col("_n0")).cast("bigint").alias("_quota")),
+                                             F.struct(F.lit(1 - of).alias("c"), (F.col("_n1") + F.col("_n0")).alias("_quota")))).alias("x"))
+    quotas = quotas.select(F.col("x.c").cast(df.schema[label].dataType).alias(label), "x._quota")
+    return below_quota(df.where(F.col(label).isin(0, 1)), quotas, [label], key, seed, salt).where("_in").drop("_in")
 
 
 def undersample(df: DataFrame, ratio: int = 3, label: str = TARGET, key: str = "txn_id",
                 seed: int = SEED) -> DataFrame:
     """I4: keep every positive; keep min(ratio·n1, n0) negatives."""
-    counts = df.agg(F.count_if(F.col(label) == 1).alias("_n1"),
-                    F.count_if(F.col(label) == 0).alias("_n0"))
-    r = hash_rank(df, [label], key, seed, "under").crossJoin(F.broadcast(counts))
-    keep = (F.col(label) == 1) | (F.col("_rank") < F.least(F.col("_n1") * ratio, F.col("_n0")))
-    return r.where(keep).drop("_rank", "_n1", "_n0")
+    return _keep_quota(df, label, 0, lambda n1, n0: F.least(n1 * ratio, n0), key, seed, "under")
 
 
 def class_weights(df: DataFrame, label: str = TARGET) -> DataFrame:
@@ -109,16 +148,9 @@ def rebalance_ratio(df: DataFrame, ratio: float, label: str = TARGET, key: str =
     differ from the target, so callers should report it.
     ``downsample_minority``: keep all negatives and int(n0·ratio/(1−ratio))
     positives capped at n1."""
-    counts = df.agg(F.count_if(F.col(label) == 1).alias("_n1"),
-                    F.count_if(F.col(label) == 0).alias("_n0"))
-    r = hash_rank(df, [label], key, seed, "ratio").crossJoin(F.broadcast(counts))
     if mode == "downsample_majority":
-        need = F.least(F.floor(F.col("_n1") * (1.0 / ratio - 1)), F.col("_n0"))
-        keep = (F.col(label) == 1) | (F.col("_rank") < need)
-    else:
-        need = F.least(F.floor(F.col("_n0") * (ratio / (1 - ratio))), F.col("_n1"))
-        keep = (F.col(label) == 0) | (F.col("_rank") < need)
-    return r.where(keep).drop("_rank", "_n1", "_n0")
+        return _keep_quota(df, label, 0, lambda n1, n0: F.least(F.floor(n1 * (1.0 / ratio - 1)), n0), key, seed, "ratio")
+    return _keep_quota(df, label, 1, lambda n1, n0: F.least(F.floor(n0 * (ratio / (1 - ratio))), n1), key, seed, "ratio")
 
 
 def time_split(df: DataFrame, q: float = 0.70, col: str = "step") -> DataFrame:

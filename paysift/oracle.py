@@ -82,3 +82,9 @@ def rnd_sig(sql: str, *double_cols: str) -> str:
     """float32-precision twin of ``registry.finish(significant=True)``."""
     rep = ", ".join(f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" for c in double_cols)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) _q"
+
+
+#: Test rows per class of the 80/20 split (largest remainder), for ``quota``.
+SPLIT_CTES = """n AS (SELECT isFraud, count(*) AS n, count(*) // 5 AS q, count(*) % 5 AS rest FROM transactions GROUP BY isFraud),
+k AS (SELECT isFraud, q + CASE WHEN row_number() OVER (ORDER BY rest DESC, isFraud)
+        <= (sum(n) OVER () + 4) // 5 - sum(q) OVER () THEN 1 ELSE 0 END AS quota FROM n)"""

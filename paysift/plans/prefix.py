@@ -17,6 +17,9 @@ The rank equals ``row_number() OVER (PARTITION BY g ORDER BY h, key) - 1``
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,3 +53,30 @@ def hash_rank(df: DataFrame, by=(), key: str = "txn_id", seed=42, salt: str = "r
             .withColumn(rank_col, F.col("_off") + F.row_number().over(w) - 1)
             .drop("_h", "_b", "_off"))
     return out
+
+
+def below_quota(df: DataFrame, quota: DataFrame, by=(), key: str = "txn_id", seed=42, salt: str = "rank") -> DataFrame:
+    """Adds ``_in``: whether a row's rank within ``by`` (as in ``hash_rank``)
+    is below its group's ``_quota`` (``quota``: by..., ``_quota``; one row per
+    group, few groups).
+
+    No wide row is shuffled: bucket counts give, per group, the one bucket
+    that holds the quota-th row; only the keys of that bucket are ranked; the
+    row found is the group's bound, and rows are compared with it in place."""
+    by = list(by)
+    same = lambda a, b: reduce(and_, [a[c].eqNullSafe(b[f"_q_{c}"]) for c in by], F.lit(True))
+    named = lambda t, *more: t.select(*[F.col(c).alias(f"_q_{c}") for c in by], *more)
+    d = with_hash(df.select(*by, key), key, seed, salt).withColumn("_b", F.substring("_h", 1, BUCKET_HEX))
+    counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_bn"))
+    upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("_off", F.sum("_bn").over(upto) - F.col("_bn"))
+    wanted = named(quota, "_quota")
+    cut = (counts.join(F.broadcast(wanted), same(counts, wanted)).where("_off <= _quota and _quota < _off + _bn")
+           .select(*[F.col(c).alias(f"_q_{c}") for c in by], F.col("_b").alias("_qb"), (F.col("_quota") - F.col("_off")).alias("_k")))
+    inside = d.join(F.broadcast(cut), same(d, cut) & (F.col("_b") == F.col("_qb")))  # a row per group
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("_h", key)) - 1
+    bound = named(inside.withColumn("_i", place).where("_i = _k"), F.col("_h").alias("_bh"), F.col(key).alias("_bk"))
+    rows = with_hash(df, key, seed, salt)
+    out = rows.join(F.broadcast(bound), same(rows, bound), "left")  # a row per group
+    below = F.col("_bh").isNull() | (F.col("_h") < F.col("_bh")) | ((F.col("_h") == F.col("_bh")) & (F.col(key) < F.col("_bk")))
+    return out.withColumn("_in", below).select(*df.columns, "_in")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.core import hash_uniform
 from ..operators import metrics as K
 from ..operators import sampling as S
-from ..oracle import rnd, u, with_txn
+from ..oracle import SPLIT_CTES, rnd, u, with_txn
 from ..registry import register
 from ..sources.transactions import transactions
 
@@ -44,7 +44,7 @@ def pseudo_scores(spark, sf) -> DataFrame:
 def _scores_sql() -> str:
     split = ("CASE WHEN row_number() OVER (PARTITION BY isFraud ORDER BY "
              "md5(concat_ws('|', txn_id, '42', 'split')), txn_id) - 1 "
-             "< floor((count(*) OVER (PARTITION BY isFraud) + 4) / 5) THEN 'test' ELSE 'train' END")
+             "< quota THEN 'test' ELSE 'train' END")
     parts = []
     for name, (w_risk, w_zero, amt_scale, w_noise, bias) in PSEUDO_MODELS.items():
         uu = u(f"concat_ws('|', txn_id, '42', '{name}')")
@@ -53,7 +53,7 @@ def _scores_sql() -> str:
              f"+ {w_noise} * ({uu} - 0.5) + ({bias}))")
         parts.append(f"SELECT '{name}' AS model, split, txn_id, isFraud AS label, "
                      f"round(1.0 / (1.0 + exp(-{z})), 3) AS score FROM tt")
-    return (f"tt AS (SELECT *, {split} AS split FROM transactions),\n"
+    return (f"{SPLIT_CTES},\ntt AS (SELECT *, {split} AS split FROM transactions JOIN k USING (isFraud)),\n"
             f"sc AS ({' UNION ALL '.join(parts)})")
 
 

@@ -17,46 +17,40 @@ from ..operators import metrics as K
 from ..operators import models as M
 from ..operators import sampling as S
 from ..oracle import rnd, with_txn
-from ..registry import register
+from ..registry import finish, register
 from ..sources import files as IO
 from ..sources.schema import FEATURE_COLUMNS, TARGET
 from ..sources.transactions import transactions
 from . import robustness as R
 
-_MATERIALISED: dict[tuple, str] = {}
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _written(spark, sf, name, build):
+    """A table written once (A3) per application and input folder under the
+    shared checkpoint folder, and read back (A2)."""
+    k = (spark.sparkContext.applicationId, sf, name)
+    if k not in _WRITTEN:
+        path = IO.scratch_path(spark, name)
+        IO.save_dataset(build(), path)
+        _WRITTEN[k] = path
+    return IO.read_parquet(spark, _WRITTEN[k])
 
 
 def feature_table(spark, sf):
-    """The feature matrix written once (A3) to the shared checkpoint folder
-    and read back (A2)."""
-    k = (id(spark), sf)
-    if k not in _MATERIALISED:
-        path = IO.scratch_path(spark, "features")
-        IO.save_dataset(FE.feature_matrix(transactions(spark, sf)), path)
-        _MATERIALISED[k] = path
-    return IO.read_parquet(spark, _MATERIALISED[k])
+    """The feature matrix."""
+    return _written(spark, sf, "features", lambda: FE.feature_matrix(transactions(spark, sf)))
 
 
 def training_sets(spark, sf):
-    """25 % stratified sample → 80/20 split → 3:1 undersampled train set with
-    balanced weights (the modelling flow's inputs)."""
-    k = (id(spark), sf, "split")
-    if k not in _MATERIALISED:
-        fm = feature_table(spark, sf)
-        split = S.train_test_split(S.stratified_sample(fm, 0.25), 0.2)
-        path = IO.scratch_path(spark, "split")
-        IO.save_dataset(split, path)
-        _MATERIALISED[k] = path
-    split = IO.read_parquet(spark, _MATERIALISED[k])
-    train = split.where(F.col("split") == "train")
-    test = split.where(F.col("split") == "test")
-    kb = (id(spark), sf, "balanced")
-    if kb not in _MATERIALISED:
-        path = IO.scratch_path(spark, "balanced")
-        IO.save_dataset(S.with_weights(S.undersample(train, 3)), path)
-        _MATERIALISED[kb] = path
-    bal = IO.read_parquet(spark, _MATERIALISED[kb])
-    return train, test, bal
+    """80/20 split of all rows; the fits use a 25 % stratified sample of the
+    training side, undersampled 3:1 with balanced weights (a bound on the
+    fitted rows); everything held out is scored."""
+    split = _written(spark, sf, "split", lambda: S.train_test_split(feature_table(spark, sf), 0.2))
+    train, test = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
+    sample = _written(spark, sf, "fit_sample", lambda: S.stratified_sample(train, 0.25))
+    bal = _written(spark, sf, "balanced", lambda: S.with_weights(S.undersample(sample, 3)))
+    return sample, test, bal
 
 
 # Small, fixed model sizes for the registered checks (the library defaults
@@ -112,11 +106,10 @@ def cv_search(spark, sf):
 
 @register("linear_contributions", rounded=False)
 def linear_contributions(spark, sf):
-    """Mean |β_j (x_j − E x_j)| over ≤ 2,000 test rows (exact linear
+    """Mean |β_j (x_j − E x_j)| over all test rows (exact linear
     attribution), background = training rows."""
     m, train, test, _ = _fit_lr(spark, sf)
-    rows = S.hash_sample_n(test, 2000, salt="explain")
-    return M.linear_contributions(m, rows, train, FEATURE_COLUMNS) \
+    return M.linear_contributions(m, test, train, FEATURE_COLUMNS) \
             .orderBy(F.desc("mean_abs_contribution"))
 
 
@@ -144,55 +137,69 @@ def ml_model_comparison(spark, sf):
 # --- robustness on the fixed feature scorer -------------------------------------
 
 THR = 0.5
-# SQL twin of robustness.feature_pseudo_scorer.
+# SQL twin of robustness.feature_pseudo_scorer, and the columns it reads.
 _SCORE_SQL = ("round(1.0 / (1.0 + exp(-(2.5 * is_high_risk_type + 1.5 * is_zero_balance + amount / 25000.0"
-              " - 0.05 * log_oldbalanceDest + 0.02 * log_oldbalanceOrg - 3.5))), 3)")
+              " - 0.05 * log_oldbalanceDest + 0.02 * log_oldbalanceOrg - oldbalanceOrg / 40000.0"
+              " - newbalanceOrig / 20000.0 + newbalanceDest / 60000.0 - oldbalanceDest / 60000.0 - 2.5))), 3)")
+_USED = ["is_high_risk_type", "is_zero_balance", "amount", "log_oldbalanceDest", "log_oldbalanceOrg",
+         "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest"]
+_RATES = ["recall", "precision", "f1", "roc_auc", "pr_auc", "fpr"]
+_RANK = "row_number() OVER ({by}ORDER BY md5(concat_ws('|', txn_id, '42', '{salt}')), txn_id) - 1"
 
 
-def _imbalance_sql() -> str:
-    from ..oracle import rnd
+def _fm_cte() -> str:
+    """``fm``: the feature matrix, unrounded."""
     from .q_features import _feature_matrix_sql
-    fm = _feature_matrix_sql()
-    inner = fm[fm.index("FROM (\n") + 7: fm.rindex("\n) _q")]
-    opts = ", ".join(["('imbalance_base', CAST(NULL AS DOUBLE))"]
-                     + [f"('imbalance_{r}', CAST({r} AS DOUBLE))" for r in R.IMBALANCE_RATIOS])
-    body = f"""WITH fm AS ({inner}),
-r AS (SELECT *, row_number() OVER (PARTITION BY isFraud ORDER BY md5(concat_ws('|', txn_id, '42', 'ratio')),
-                                   txn_id) - 1 AS _rank,
-             count(*) FILTER (WHERE isFraud = 1) OVER () AS _n1,
-             count(*) FILTER (WHERE isFraud = 0) OVER () AS _n0 FROM fm),
-x AS (SELECT r.*, o.scenario, o.target_ratio FROM r CROSS JOIN (VALUES {opts}) o(scenario, target_ratio)
-      WHERE o.target_ratio IS NULL OR isFraud = 1
-         OR _rank < least(floor(_n1 * (1.0 / o.target_ratio - 1)), _n0)),
-sc AS (SELECT scenario, target_ratio, isFraud AS label,
-         round(1.0 / (1.0 + exp(-(2.5 * is_high_risk_type + 1.5 * is_zero_balance + amount / 25000.0
-                                  - 0.05 * log_oldbalanceDest + 0.02 * log_oldbalanceOrg - 3.5))), 3) AS score
-       FROM x),
-d AS (SELECT scenario, target_ratio, score AS threshold, CAST(sum(label) AS BIGINT) AS pos,
+    sql = _feature_matrix_sql()
+    return "fm AS (" + sql[sql.index("FROM (\n") + 7: sql.rindex("\n) _q")] + ")"
+
+
+def _metric_ctes(by: str) -> str:
+    """``m``: the metric bundle at 0.5 per ``by`` from ``sc(by..., label, score)``."""
+    return f"""d AS (SELECT {by}, score AS threshold, CAST(sum(label) AS BIGINT) AS pos,
              CAST(count(*) - sum(label) AS BIGINT) AS neg FROM sc GROUP BY ALL),
 c AS (SELECT *, sum(pos) OVER w AS cpos, sum(neg) OVER w AS cneg,
-             sum(pos) OVER (PARTITION BY scenario, target_ratio) AS P,
-             sum(neg) OVER (PARTITION BY scenario, target_ratio) AS N
-      FROM d WINDOW w AS (PARTITION BY scenario, target_ratio ORDER BY threshold DESC
-                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-m AS (SELECT scenario, target_ratio,
+             sum(pos) OVER (PARTITION BY {by}) AS P, sum(neg) OVER (PARTITION BY {by}) AS N
+      FROM d WINDOW w AS (PARTITION BY {by} ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+m0 AS (SELECT {by},
         CAST(coalesce(sum(pos) FILTER (WHERE threshold >= 0.5), 0) AS BIGINT) AS tp,
-        CAST(coalesce(sum(neg) FILTER (WHERE threshold >= 0.5), 0) AS BIGINT) AS fp,
-        max(P) AS P, max(N) AS N,
+        CAST(coalesce(sum(neg) FILTER (WHERE threshold >= 0.5), 0) AS BIGINT) AS fp, max(P) AS P, max(N) AS N,
         sum(neg * ((cpos - pos) + pos * 0.5)) AS _roc, sum(pos * (cpos * 1.0 / (cpos + cneg))) AS _ap
-      FROM c GROUP BY scenario, target_ratio)
-SELECT scenario, target_ratio,
-  coalesce(tp * 1.0 / nullif(P, 0), 0.0) AS recall,
+      FROM c GROUP BY {by}),
+m AS (SELECT {by}, coalesce(tp * 1.0 / nullif(P, 0), 0.0) AS recall,
   coalesce(tp * 1.0 / nullif(tp + fp, 0), 0.0) AS precision,
   coalesce(2.0 * tp / nullif(2 * tp + fp + (P - tp), 0), 0.0) AS f1,
   CASE WHEN P > 0 AND N > 0 THEN _roc / (P * 1.0 * N) END AS roc_auc,
   CASE WHEN P > 0 AND N > 0 THEN _ap / P END AS pr_auc,
   coalesce(fp * 1.0 / nullif(N, 0), 0.0) AS fpr,
-  tp, fp, CAST(P - tp AS BIGINT) AS fn, CAST(N - fp AS BIGINT) AS tn,
-  P * 1.0 / (P + N) AS actual_ratio
-FROM m"""
-    return rnd(body, "target_ratio", "recall", "precision", "f1", "roc_auc", "pr_auc", "fpr",
-               "actual_ratio")
+  tp, fp, CAST(P - tp AS BIGINT) AS fn, CAST(N - fp AS BIGINT) AS tn FROM m0)"""
+
+
+def _scenarios(ctes: str, by: str = "scenario") -> str:
+    """WITH ... of a scenario table from ``x(by..., isFraud, scorer columns)``."""
+    return f"WITH {_fm_cte()},\n{ctes},\nsc AS (SELECT {by}, isFraud AS label, {_SCORE_SQL} AS score FROM x),\n{_metric_ctes(by)}\n"
+
+
+def _drops(base: str) -> str:
+    return f"""SELECT m.*,
+  CASE WHEN b.f1 = 0 THEN 0.0 ELSE (b.f1 - m.f1) / b.f1 * 100 END AS f1_drop_pct,
+  CASE WHEN b.recall = 0 THEN 0.0 ELSE (b.recall - m.recall) / b.recall * 100 END AS recall_drop_pct
+FROM m CROSS JOIN (SELECT f1, recall FROM m WHERE scenario = '{base}') b"""
+
+
+def _baseline_sql() -> str:
+    return rnd(_scenarios("x AS (SELECT *, 'baseline' AS scenario FROM fm)") + "SELECT * FROM m", *_RATES)
+
+
+def _imbalance_sql() -> str:
+    opts = ", ".join(["('imbalance_base', CAST(NULL AS DOUBLE))"]
+                     + [f"('imbalance_{r}', CAST({r} AS DOUBLE))" for r in R.IMBALANCE_RATIOS])
+    body = _scenarios(f"""r AS (SELECT *, {_RANK.format(by="PARTITION BY isFraud ", salt="ratio")} AS _rank,
+             count(*) FILTER (WHERE isFraud = 1) OVER () AS _n1, count(*) FILTER (WHERE isFraud = 0) OVER () AS _n0 FROM fm),
+x AS (SELECT r.*, o.scenario, o.target_ratio FROM r CROSS JOIN (VALUES {opts}) o(scenario, target_ratio)
+      WHERE o.target_ratio IS NULL OR isFraud = 1 OR _rank < least(floor(_n1 * (1.0 / o.target_ratio - 1)), _n0))""",
+                      "scenario, target_ratio")
+    return rnd(body + "SELECT *, (tp + fn) * 1.0 / (tp + fn + fp + tn) AS actual_ratio FROM m", "target_ratio", *_RATES, "actual_ratio")
 
 
 @register("imbalance_test", _imbalance_sql())
@@ -203,46 +210,17 @@ def imbalance_test(spark, sf):
 
 def _noise_test_sql() -> str:
     from ..operators.perturb import NOISE_LEVELS
-    from ..oracle import normal, rnd
-    from .q_features import _feature_matrix_sql
-    fm = _feature_matrix_sql()
-    inner = fm[fm.index("FROM (\n") + 7: fm.rindex("\n) _q")]
-    lv = ", ".join(f"('noise_{k}', '{k}', CAST({a} AS DOUBLE))" for k, (a, _b) in NOISE_LEVELS.items())
-    z = normal("concat_ws('|', txn_id, '42', 'noise', lvl, 'amount')")
-    noisy = f"greatest(amount * (1 + sa * {z}), 0.0)"
-    body = f"""WITH fm AS ({inner}),
-sub AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', txn_id, '42', 'noise_sample')),
-                                                      txn_id) - 1 AS _r FROM fm) WHERE _r < {R.NOISE_SAMPLE}),
-x0 AS (SELECT sub.*, o.scenario, o.lvl, o.sa FROM sub CROSS JOIN (VALUES {lv}) o(scenario, lvl, sa)),
-x AS (SELECT * REPLACE (CASE WHEN sa > 0 THEN (CASE WHEN isnan({noisy}) OR isinf({noisy}) THEN 0.0
-                                                   ELSE {noisy} END) ELSE amount END AS amount) FROM x0),
-sc AS (SELECT scenario, isFraud AS label, {_SCORE_SQL} AS score FROM x),
-d AS (SELECT scenario, score AS threshold, CAST(sum(label) AS BIGINT) AS pos,
-             CAST(count(*) - sum(label) AS BIGINT) AS neg FROM sc GROUP BY ALL),
-c AS (SELECT *, sum(pos) OVER w AS cpos, sum(neg) OVER w AS cneg,
-             sum(pos) OVER (PARTITION BY scenario) AS P, sum(neg) OVER (PARTITION BY scenario) AS N
-      FROM d WINDOW w AS (PARTITION BY scenario ORDER BY threshold DESC
-                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-m0 AS (SELECT scenario,
-        CAST(coalesce(sum(pos) FILTER (WHERE threshold >= 0.5), 0) AS BIGINT) AS tp,
-        CAST(coalesce(sum(neg) FILTER (WHERE threshold >= 0.5), 0) AS BIGINT) AS fp,
-        max(P) AS P, max(N) AS N,
-        sum(neg * ((cpos - pos) + pos * 0.5)) AS _roc, sum(pos * (cpos * 1.0 / (cpos + cneg))) AS _ap
-      FROM c GROUP BY scenario),
-m AS (SELECT scenario,
-  coalesce(tp * 1.0 / nullif(P, 0), 0.0) AS recall,
-  coalesce(tp * 1.0 / nullif(tp + fp, 0), 0.0) AS precision,
-  coalesce(2.0 * tp / nullif(2 * tp + fp + (P - tp), 0), 0.0) AS f1,
-  CASE WHEN P > 0 AND N > 0 THEN _roc / (P * 1.0 * N) END AS roc_auc,
-  CASE WHEN P > 0 AND N > 0 THEN _ap / P END AS pr_auc,
-  coalesce(fp * 1.0 / nullif(N, 0), 0.0) AS fpr,
-  tp, fp, CAST(P - tp AS BIGINT) AS fn, CAST(N - fp AS BIGINT) AS tn FROM m0)
-SELECT m.*,
-  CASE WHEN b.f1 = 0 THEN 0.0 ELSE (b.f1 - m.f1) / b.f1 * 100 END AS f1_drop_pct,
-  CASE WHEN b.recall = 0 THEN 0.0 ELSE (b.recall - m.recall) / b.recall * 100 END AS recall_drop_pct
-FROM m CROSS JOIN (SELECT f1, recall FROM m WHERE scenario = 'noise_none') b"""
-    return rnd(body, "recall", "precision", "f1", "roc_auc", "pr_auc", "fpr", "f1_drop_pct",
-               "recall_drop_pct")
+    from ..oracle import normal
+    lv = ", ".join(f"('noise_{k}', '{k}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for k, (a, b) in NOISE_LEVELS.items())
+
+    def noisy(c):
+        sig = "sa" if c == "amount" else "sb"
+        z = normal(f"concat_ws('|', txn_id, '42', 'noise', lvl, '{c}')")
+        v = f"greatest({c} * (1 + {sig} * {z}), 0.0)"
+        return f"CASE WHEN {sig} > 0 THEN (CASE WHEN isnan({v}) OR isinf({v}) THEN 0.0 ELSE {v} END) ELSE {c} END AS {c}"
+    cols = ", ".join(noisy(c) for c in ["amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest"])
+    return rnd(_scenarios(f"""x0 AS (SELECT fm.*, o.scenario, o.lvl, o.sa, o.sb FROM fm CROSS JOIN (VALUES {lv}) o(scenario, lvl, sa, sb)),
+x AS (SELECT * REPLACE ({cols}) FROM x0)""") + _drops("noise_none"), *_RATES, "f1_drop_pct", "recall_drop_pct")
 
 
 @register("noise_test", _noise_test_sql())
@@ -252,57 +230,18 @@ def noise_test(spark, sf):
 
 
 def _drift_sql() -> str:
-    from ..oracle import rnd, u
-    from .q_features import _feature_matrix_sql
-    fm = _feature_matrix_sql()
-    inner = fm[fm.index("FROM (\n") + 7: fm.rindex("\n) _q")]
+    from ..oracle import u
     uz = u("concat_ws('|', txn_id, '42', 'drift_zero')")
-    cols = ("isFraud, is_high_risk_type, is_zero_balance, amount, log_oldbalanceDest, "
-            "log_oldbalanceOrg, oldbalanceOrg, newbalanceOrig, txn_id")
-    body = f"""WITH fm AS ({inner}),
-late AS (SELECT * FROM fm WHERE step > (SELECT quantile_cont(step, 0.7) FROM fm)),
-x AS (
-  SELECT 'drift_none' AS scenario, {cols} FROM late
-  UNION ALL
-  SELECT 'drift_3x_fraud_amount', isFraud, is_high_risk_type, is_zero_balance,
-         CASE WHEN isFraud = 1 THEN amount * 3.0 ELSE amount END, log_oldbalanceDest, log_oldbalanceOrg,
-         oldbalanceOrg, newbalanceOrig, txn_id FROM late
-  UNION ALL
-  SELECT 'drift_30pct_zero_balance', isFraud, is_high_risk_type, is_zero_balance, amount,
-         log_oldbalanceDest, log_oldbalanceOrg,
-         CASE WHEN {uz} < 0.3 THEN 0.0 ELSE oldbalanceOrg END,
-         CASE WHEN {uz} < 0.3 THEN 0.0 ELSE newbalanceOrig END, txn_id FROM late
-  UNION ALL
-  SELECT 'drift_all_transfer', isFraud, 1, is_zero_balance, amount, log_oldbalanceDest,
-         log_oldbalanceOrg, oldbalanceOrg, newbalanceOrig, txn_id FROM late),
-sc AS (SELECT scenario, isFraud AS label, {_SCORE_SQL} AS score FROM x),
-d AS (SELECT scenario, score AS threshold, CAST(sum(label) AS BIGINT) AS pos,
-             CAST(count(*) - sum(label) AS BIGINT) AS neg FROM sc GROUP BY ALL),
-c AS (SELECT *, sum(pos) OVER w AS cpos, sum(neg) OVER w AS cneg,
-             sum(pos) OVER (PARTITION BY scenario) AS P, sum(neg) OVER (PARTITION BY scenario) AS N
-      FROM d WINDOW w AS (PARTITION BY scenario ORDER BY threshold DESC
-                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-m AS (SELECT scenario,
-        CAST(coalesce(sum(pos) FILTER (WHERE threshold >= 0.5), 0) AS BIGINT) AS tp,
-        CAST(coalesce(sum(neg) FILTER (WHERE threshold >= 0.5), 0) AS BIGINT) AS fp,
-        max(P) AS P, max(N) AS N,
-        sum(neg * ((cpos - pos) + pos * 0.5)) AS _roc, sum(pos * (cpos * 1.0 / (cpos + cneg))) AS _ap
-      FROM c GROUP BY scenario),
-b AS (SELECT coalesce(2.0 * count(*) FILTER (WHERE s >= 0.5 AND isFraud = 1)
-                      / nullif(count(*) FILTER (WHERE s >= 0.5) + count(*) FILTER (WHERE isFraud = 1), 0),
-                      0.0) AS bf1  -- F1 = 2tp / (predicted + actual positives)
-      FROM (SELECT isFraud, {_SCORE_SQL} AS s FROM fm))
-SELECT scenario,
-  coalesce(tp * 1.0 / nullif(P, 0), 0.0) AS recall,
-  coalesce(tp * 1.0 / nullif(tp + fp, 0), 0.0) AS precision,
-  coalesce(2.0 * tp / nullif(2 * tp + fp + (P - tp), 0), 0.0) AS f1,
-  CASE WHEN P > 0 AND N > 0 THEN _roc / (P * 1.0 * N) END AS roc_auc,
-  CASE WHEN P > 0 AND N > 0 THEN _ap / P END AS pr_auc,
-  coalesce(fp * 1.0 / nullif(N, 0), 0.0) AS fpr,
-  tp, fp, CAST(P - tp AS BIGINT) AS fn, CAST(N - fp AS BIGINT) AS tn,
-  b.bf1 - coalesce(2.0 * tp / nullif(2 * tp + fp + (P - tp), 0), 0.0) AS drift_impact
-FROM m CROSS JOIN b"""
-    return rnd(body, "recall", "precision", "f1", "roc_auc", "pr_auc", "fpr", "drift_impact")
+    body = _scenarios(f"""late AS (SELECT isFraud, txn_id, {", ".join(_USED)} FROM fm WHERE step > (SELECT quantile_cont(step, 0.7) FROM fm)),
+x AS (SELECT *, 'drift_none' AS scenario FROM late
+  UNION ALL SELECT * REPLACE (CASE WHEN isFraud = 1 THEN amount * 3.0 ELSE amount END AS amount), 'drift_3x_fraud_amount' FROM late
+  UNION ALL SELECT * REPLACE (CASE WHEN {uz} < 0.3 THEN 0.0 ELSE oldbalanceOrg END AS oldbalanceOrg,
+                              CASE WHEN {uz} < 0.3 THEN 0.0 ELSE newbalanceOrig END AS newbalanceOrig), 'drift_30pct_zero_balance' FROM late
+  UNION ALL SELECT * REPLACE (1 AS is_high_risk_type), 'drift_all_transfer' FROM late)""")
+    base = f"""(SELECT coalesce(2.0 * count(*) FILTER (WHERE s >= 0.5 AND isFraud = 1)
+        / nullif(count(*) FILTER (WHERE s >= 0.5) + count(*) FILTER (WHERE isFraud = 1), 0), 0.0) AS bf1
+      FROM (SELECT isFraud, {_SCORE_SQL} AS s FROM fm))"""
+    return rnd(body + f"SELECT m.*, b.bf1 - m.f1 AS drift_impact FROM m CROSS JOIN {base} b", *_RATES, "drift_impact")
 
 
 @register("drift_test", _drift_sql())
@@ -311,48 +250,26 @@ def drift_test(spark, sf):
     return R.drift_test(feature_table(spark, sf), R.feature_pseudo_scorer, THR)
 
 
-def _adversarial_eval_sql() -> str:
-    from ..oracle import rnd, u
-    from .q_features import _feature_matrix_sql
-    fm = _feature_matrix_sql()
-    inner = fm[fm.index("FROM (\n") + 7: fm.rindex("\n) _q")]
-    rank = "row_number() OVER (ORDER BY md5(concat_ws('|', txn_id, '42', '{s}')), txn_id) - 1"
+def _adversarial_ctes() -> str:
+    """``adv``: the stealth rows of L6 with the scorer's columns."""
+    from ..oracle import u
     ua = u("concat_ws('|', txn_id, '42', 'adv_amount')")
-    body = f"""WITH fm AS ({inner}),
-legit AS (SELECT * FROM fm WHERE isFraud = 0),
+    cols = ", ".join(c for c in _USED if c not in ("amount", "is_zero_balance"))
+    ub = u("concat_ws('|', txn_id, '42', 'adv', 'balance_diff_orig')")
+    return f"""legit AS (SELECT * FROM fm WHERE isFraud = 0),
 p25 AS (SELECT quantile_cont(amount, 0.25) AS _p25 FROM legit),
-adv AS (SELECT 1 AS isFraud, is_high_risk_type, 0 AS is_zero_balance,
-               100.0 + {ua} * (p25._p25 - 100.0) AS amount, log_oldbalanceDest, log_oldbalanceOrg,
-               1 AS is_adversarial
-        FROM (SELECT *, {rank.format(s='adversarial')} AS _r FROM legit) l CROSS JOIN p25
-        WHERE _r < {R.N_ADVERSARIAL}),
-base AS (SELECT isFraud, is_high_risk_type, is_zero_balance, amount, log_oldbalanceDest,
-                log_oldbalanceOrg, 0 AS is_adversarial
-         FROM (SELECT *, {rank.format(s='adv_base')} AS _r FROM fm) WHERE _r < {R.ADV_BASE_SAMPLE}),
-sc AS (SELECT isFraud AS label, is_adversarial, {_SCORE_SQL} AS score
-       FROM (SELECT * FROM base UNION ALL SELECT * FROM adv)),
-d AS (SELECT score AS threshold, CAST(sum(label) AS BIGINT) AS pos,
-             CAST(count(*) - sum(label) AS BIGINT) AS neg FROM sc GROUP BY ALL),
-c AS (SELECT *, sum(pos) OVER w AS cpos, sum(neg) OVER w AS cneg, sum(pos) OVER () AS P, sum(neg) OVER () AS N
-      FROM d WINDOW w AS (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-m0 AS (SELECT CAST(coalesce(sum(pos) FILTER (WHERE threshold >= 0.5), 0) AS BIGINT) AS tp,
-              CAST(coalesce(sum(neg) FILTER (WHERE threshold >= 0.5), 0) AS BIGINT) AS fp,
-              max(P) AS P, max(N) AS N,
-              sum(neg * ((cpos - pos) + pos * 0.5)) AS _roc, sum(pos * (cpos * 1.0 / (cpos + cneg))) AS _ap
-       FROM c),
-a AS (SELECT count(*) AS adv_rows, count(*) FILTER (WHERE score >= 0.5) AS adv_detected
-      FROM sc WHERE is_adversarial = 1)
-SELECT coalesce(tp * 1.0 / nullif(P, 0), 0.0) AS recall,
-  coalesce(tp * 1.0 / nullif(tp + fp, 0), 0.0) AS precision,
-  coalesce(2.0 * tp / nullif(2 * tp + fp + (P - tp), 0), 0.0) AS f1,
-  CASE WHEN P > 0 AND N > 0 THEN _roc / (P * 1.0 * N) END AS roc_auc,
-  CASE WHEN P > 0 AND N > 0 THEN _ap / P END AS pr_auc,
-  coalesce(fp * 1.0 / nullif(N, 0), 0.0) AS fpr,
-  tp, fp, CAST(P - tp AS BIGINT) AS fn, CAST(N - fp AS BIGINT) AS tn,
-  'adversarial_mix' AS scenario, adv_rows, adv_detected, adv_rows - adv_detected AS adv_missed,
-  adv_detected * 1.0 / nullif(adv_rows, 0) AS adv_recall
-FROM m0 CROSS JOIN a"""
-    return rnd(body, "recall", "precision", "f1", "roc_auc", "pr_auc", "fpr", "adv_recall")
+adv AS (SELECT txn_id, 1 AS isFraud, 0 AS is_zero_balance, 100.0 + {ua} * (p25._p25 - 100.0) AS amount, {cols}, 1 AS is_adversarial,
+               (100.0 + {ua} * (p25._p25 - 100.0)) * (0.95 + 0.10 * {ub}) AS balance_diff_orig
+        FROM (SELECT *, {_RANK.format(by="", salt="adversarial")} AS _r FROM legit) l CROSS JOIN p25 WHERE _r < {R.N_ADVERSARIAL})"""
+
+
+def _adversarial_eval_sql() -> str:
+    body = _scenarios(f"""{_adversarial_ctes()},
+x AS (SELECT 'adversarial_mix' AS scenario, isFraud, {", ".join(_USED)} FROM fm
+      UNION ALL SELECT 'adversarial_mix', isFraud, {", ".join(_USED)} FROM adv)""")
+    found = f"(SELECT count(*) AS adv_rows, count(*) FILTER (WHERE {_SCORE_SQL} >= 0.5) AS adv_detected FROM adv)"
+    return rnd(body + f"""SELECT m.*, adv_rows, adv_detected, adv_rows - adv_detected AS adv_missed,
+  adv_detected * 1.0 / nullif(adv_rows, 0) AS adv_recall FROM m CROSS JOIN {found}""", *_RATES, "adv_recall")
 
 
 @register("adversarial_eval", _adversarial_eval_sql())
@@ -362,59 +279,24 @@ def adversarial_eval(spark, sf):
 
 
 def _corruption_sql() -> str:
-    from ..oracle import rnd, u
-    from .q_features import _feature_matrix_sql
-    fm = _feature_matrix_sql()
-    inner = fm[fm.index("FROM (\n") + 7: fm.rindex("\n) _q")]
-    used = ["is_high_risk_type", "is_zero_balance", "amount", "log_oldbalanceDest", "log_oldbalanceOrg"]
+    from ..oracle import u
+    used = ", ".join(_USED)
     parts = []
     for r in R.MISSING_RATES:
-        if r <= 0:
-            parts.append(f"SELECT 'missing_{r}' AS scenario, isFraud, {', '.join(used)} FROM sub")
-            continue
-        key = "concat_ws('|', txn_id, '42', 'missing', '{r}', '{c}')"
-        cols = ", ".join(f"CASE WHEN {u(key.format(r=r, c=c))} < {r} THEN 0 ELSE {c} END AS {c}"
-                         for c in used)
-        parts.append(f"SELECT 'missing_{r}', isFraud, {cols} FROM sub")
-    parts.append(f"SELECT 'swap_balances', isFraud, {', '.join(used)} FROM sub")
-    parts.append(f"SELECT 'zero_balances', isFraud, {', '.join(used)} FROM sub")
-    parts.append("SELECT 'shuffle_10pct', isFraud, is_high_risk_type, is_zero_balance, "
-                 "CASE WHEN p._in THEN a.amount ELSE p.amount END, log_oldbalanceDest, log_oldbalanceOrg "
-                 "FROM p LEFT JOIN a ON p._pos = a._pos")
-    rank = "row_number() OVER (ORDER BY md5(concat_ws('|', txn_id, '42', '{s}')), txn_id) - 1"
-    body = f"""WITH fm AS ({inner}),
-sub AS (SELECT * FROM (SELECT *, {rank.format(s='noise_sample')} AS _r FROM fm) WHERE _r < {R.NOISE_SAMPLE}),
-p0 AS (SELECT *, {rank.format(s='subset')} AS _pos, count(*) OVER () AS _n FROM sub),
-p AS (SELECT *, _pos < floor(_n * 1 / 10) AS _in FROM p0),
-a AS (SELECT {rank.format(s='perm|amount')} AS _pos, amount FROM p WHERE _in),
-x AS ({' UNION ALL '.join(parts)}),
-sc AS (SELECT scenario, isFraud AS label, {_SCORE_SQL} AS score FROM x),
-d AS (SELECT scenario, score AS threshold, CAST(sum(label) AS BIGINT) AS pos,
-             CAST(count(*) - sum(label) AS BIGINT) AS neg FROM sc GROUP BY ALL),
-c AS (SELECT *, sum(pos) OVER w AS cpos, sum(neg) OVER w AS cneg,
-             sum(pos) OVER (PARTITION BY scenario) AS P, sum(neg) OVER (PARTITION BY scenario) AS N
-      FROM d WINDOW w AS (PARTITION BY scenario ORDER BY threshold DESC
-                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-m0 AS (SELECT scenario,
-        CAST(coalesce(sum(pos) FILTER (WHERE threshold >= 0.5), 0) AS BIGINT) AS tp,
-        CAST(coalesce(sum(neg) FILTER (WHERE threshold >= 0.5), 0) AS BIGINT) AS fp,
-        max(P) AS P, max(N) AS N,
-        sum(neg * ((cpos - pos) + pos * 0.5)) AS _roc, sum(pos * (cpos * 1.0 / (cpos + cneg))) AS _ap
-      FROM c GROUP BY scenario),
-m AS (SELECT scenario,
-  coalesce(tp * 1.0 / nullif(P, 0), 0.0) AS recall,
-  coalesce(tp * 1.0 / nullif(tp + fp, 0), 0.0) AS precision,
-  coalesce(2.0 * tp / nullif(2 * tp + fp + (P - tp), 0), 0.0) AS f1,
-  CASE WHEN P > 0 AND N > 0 THEN _roc / (P * 1.0 * N) END AS roc_auc,
-  CASE WHEN P > 0 AND N > 0 THEN _ap / P END AS pr_auc,
-  coalesce(fp * 1.0 / nullif(N, 0), 0.0) AS fpr,
-  tp, fp, CAST(P - tp AS BIGINT) AS fn, CAST(N - fp AS BIGINT) AS tn FROM m0)
-SELECT m.*,
-  CASE WHEN b.f1 = 0 THEN 0.0 ELSE (b.f1 - m.f1) / b.f1 * 100 END AS f1_drop_pct,
-  CASE WHEN b.recall = 0 THEN 0.0 ELSE (b.recall - m.recall) / b.recall * 100 END AS recall_drop_pct
-FROM m CROSS JOIN (SELECT f1, recall FROM m WHERE scenario = 'missing_0.0') b"""
-    return rnd(body, "recall", "precision", "f1", "roc_auc", "pr_auc", "fpr", "f1_drop_pct",
-               "recall_drop_pct")
+        cols = used if r <= 0 else ", ".join(
+            "CASE WHEN " + u(f"concat_ws('|', txn_id, '42', 'missing', '{r}', '{c}')") + f" < {r} THEN 0 ELSE {c} END AS {c}" for c in _USED)
+        parts.append(f"SELECT 'missing_{r}' AS scenario, isFraud, {cols} FROM fm")
+    plain = "is_high_risk_type, is_zero_balance, amount, log_oldbalanceDest, log_oldbalanceOrg"
+    parts.append(f"SELECT 'swap_balances', isFraud, {plain}, oldbalanceDest, newbalanceDest, oldbalanceOrg, newbalanceOrig FROM fm")
+    parts.append(f"SELECT 'zero_balances', isFraud, {plain}, 0.0, 0.0, 0.0, 0.0 FROM fm")
+    parts.append("SELECT 'shuffle_10pct', isFraud, is_high_risk_type, is_zero_balance, CASE WHEN p._in THEN a.amount ELSE p.amount END, "
+                 "log_oldbalanceDest, log_oldbalanceOrg, CASE WHEN p._in THEN o.oldbalanceOrg ELSE p.oldbalanceOrg END, newbalanceOrig, "
+                 "oldbalanceDest, newbalanceDest FROM p LEFT JOIN a ON p._pos = a._pos LEFT JOIN o ON p._pos = o._pos")
+    return rnd(_scenarios(f"""p0 AS (SELECT *, {_RANK.format(by="", salt="subset")} AS _pos, count(*) OVER () AS _n FROM fm),
+p AS (SELECT *, _pos < _n // 10 AS _in FROM p0),
+a AS (SELECT {_RANK.format(by="", salt="perm|amount")} AS _pos, amount FROM p WHERE _in),
+o AS (SELECT {_RANK.format(by="", salt="perm|oldbalanceOrg")} AS _pos, oldbalanceOrg FROM p WHERE _in),
+x AS ({' UNION ALL '.join(parts)})""") + _drops("missing_0.0"), *_RATES, "f1_drop_pct", "recall_drop_pct")
 
 
 @register("corruption_test", _corruption_sql())
@@ -425,18 +307,11 @@ def corruption_test(spark, sf):
 
 def _sensitivity_sql() -> str:
     import re
-
-    from ..oracle import rnd
-    from .q_features import _feature_matrix_sql
-    fm = _feature_matrix_sql()
-    inner = fm[fm.index("FROM (\n") + 7: fm.rindex("\n) _q")]
     branches = []
     for c in ["__none__"] + FEATURE_COLUMNS:
         expr = re.sub(rf"\b{c}\b", "0.0", _SCORE_SQL) if c != "__none__" else _SCORE_SQL
-        branches.append(f"SELECT '{c}' AS feature, isFraud AS label, {expr} AS score FROM sub")
-    body = f"""WITH fm AS ({inner}),
-sub AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', txn_id, '42', 'noise_sample')),
-                                                      txn_id) - 1 AS _r FROM fm) WHERE _r < {R.NOISE_SAMPLE}),
+        branches.append(f"SELECT '{c}' AS feature, isFraud AS label, {expr} AS score FROM fm")
+    body = f"""WITH {_fm_cte()},
 sc AS ({' UNION ALL '.join(branches)}),
 k AS (SELECT feature, count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS tp,
              count(*) FILTER (WHERE score >= 0.5) AS pred, count(*) FILTER (WHERE label = 1) AS pos
@@ -457,21 +332,37 @@ def feature_sensitivity(spark, sf):
 
 
 def _consolidated(spark, sf):
-    fm = feature_table(spark, sf)
-    sc = R.feature_pseudo_scorer
-    return R.consolidated_results(
+    """All scenario tables, rounded and written once per session."""
+    fm, sc = feature_table(spark, sf), R.feature_pseudo_scorer
+    adv = lambda: R.adversarial_eval(fm, sc, THR).withColumns({c: F.col(c).cast("double") for c in _ADV_COUNTS})
+    return _written(spark, sf, "consolidated", lambda: finish(R.consolidated_results(
         R.baseline(fm, sc, THR), R.imbalance_test(fm, sc, THR), R.noise_test(fm, sc, THR),
-        R.drift_test(fm, sc, THR), R.adversarial_eval(fm, sc, THR),
-        R.corruption_test(fm, sc, THR, FEATURE_COLUMNS))
+        R.drift_test(fm, sc, THR), adv(), R.corruption_test(fm, sc, THR, FEATURE_COLUMNS))))
+
+
+# Missing in most scenarios, so doubles (a missing integer has no common form).
+_ADV_COUNTS = ["adv_rows", "adv_detected", "adv_missed"]
+
+
+def _consolidated_sql() -> str:
+    parts = [_baseline_sql(), _imbalance_sql(), _noise_test_sql(), _drift_sql(),
+             f"SELECT * REPLACE ({', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _ADV_COUNTS)}) FROM ({_adversarial_eval_sql()})", _corruption_sql()]
+    return " UNION ALL BY NAME ".join(f"SELECT * FROM ({x}) AS t{i}" for i, x in enumerate(parts))
 
 
-@register("consolidated_results", rounded=False)
+@register("consolidated_results", _consolidated_sql())
 def consolidated_results(spark, sf):
     """All scenario tables unioned by name (ragged columns)."""
     return _consolidated(spark, sf)
 
 
-@register("risk_flags", rounded=False)
+@register("risk_flags", rnd(f"""WITH j AS (SELECT c.*, b.f1 AS bf1 FROM ({_consolidated_sql()}) c
+  CROSS JOIN (SELECT f1 FROM ({_baseline_sql()})) b)
+SELECT arg_min(scenario, (recall, scenario)) AS worst_recall_scenario, min(recall) AS worst_recall,
+  arg_max(scenario, (abs(f1 - bf1), scenario)) AS max_f1_deviation_scenario, max(abs(f1 - bf1)) AS max_f1_deviation,
+  max(CAST(recall < 0.70 AS INT)) AS any_recall_below_70,
+  max(CASE WHEN scenario LIKE 'drift%' THEN CAST(recall < 0.80 AS INT) ELSE 0 END) AS any_drift_recall_below_80 FROM j""",
+                            "worst_recall", "max_f1_deviation"))
 def risk_flags(spark, sf):
     """L15."""
     return R.risk_flags(_consolidated(spark, sf))
@@ -524,7 +415,9 @@ def model_roundtrip(spark, sf):
     return a.join(b, "txn_id").withColumn("equal", F.col("score_saved") == F.col("score_loaded"))
 
 
-@register("adversarial_examples", rounded=False)
+@register("adversarial_examples", rnd(f"""WITH {_fm_cte()},
+{_adversarial_ctes()}
+SELECT txn_id, amount, balance_diff_orig, {_SCORE_SQL} AS score FROM adv WHERE {_SCORE_SQL} < 0.5 ORDER BY txn_id LIMIT 5""", "amount", "balance_diff_orig", "score"))
 def adversarial_examples(spark, sf):
     """The first five adversarial rows the scorer missed (by txn_id)."""
     fm = feature_table(spark, sf)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sampling as S
-from ..oracle import rnd, with_txn
+from ..oracle import SPLIT_CTES, rnd, with_txn
 from ..registry import register
 from ..sources.transactions import transactions
 
@@ -27,12 +27,12 @@ def stratified_sample(spark, sf):
     return S.stratified_sample(transactions(spark, sf), 0.25).select("txn_id", "isFraud")
 
 
-@register("train_test_split", with_txn(f"""
-SELECT txn_id, isFraud, CASE WHEN _rank < floor((_n + 5 - 1) / 5) THEN 'test' ELSE 'train' END AS split
-FROM (SELECT txn_id, isFraud, {_rank_sql('split')} AS _rank, count(*) OVER (PARTITION BY isFraud) AS _n
-      FROM transactions) r"""))
+@register("train_test_split", with_txn(
+    f"""SELECT txn_id, isFraud, CASE WHEN _rank < quota THEN 'test' ELSE 'train' END AS split
+FROM (SELECT txn_id, isFraud, {_rank_sql('split')} AS _rank FROM transactions) r JOIN k USING (isFraud)""",
+    SPLIT_CTES))
 def train_test_split(spark, sf):
-    """80/20 per class, test = ceil(0.2·n_c)."""
+    """80/20, test = ceil(0.2·n), shared by largest remainder."""
     return S.train_test_split(transactions(spark, sf), 0.2).select("txn_id", "isFraud", "split")
 
 

@@ -24,13 +24,11 @@ from ..sources.schema import TARGET
 
 Scorer = Callable[[DataFrame], DataFrame]
 
-# Imbalance targets, missing-cell rates, adversarial size,
-# and the base-sample sizes of the perturbation tests.
+# Imbalance targets, missing-cell rates, adversarial size and
+# the sizes of the timed scoring runs (all rows are timed as well).
 IMBALANCE_RATIOS = [0.005, 0.001, 0.0001]
 MISSING_RATES = [0.0, 0.05, 0.10, 0.20]
 N_ADVERSARIAL = 1000
-NOISE_SAMPLE = 500_000
-ADV_BASE_SAMPLE = 100_000
 SCORING_SIZES = [10_000, 100_000, 1_000_000]
 
 
@@ -43,11 +41,13 @@ def model_scorer(model) -> Scorer:
 
 
 def feature_pseudo_scorer(df: DataFrame) -> DataFrame:
-    """A fixed logistic formula of feature columns (no training, no hash):
-    every feature it reads is one the perturbations touch."""
+    """A fixed logistic formula of feature columns (no training, no hash) over
+    what the perturbations touch: type flag, amount and the raw balances."""
     z = (2.5 * F.col("is_high_risk_type") + 1.5 * F.col("is_zero_balance")
          + F.col("amount") / 25000.0 - 0.05 * F.col("log_oldbalanceDest")
-         + 0.02 * F.col("log_oldbalanceOrg") - 3.5)
+         + 0.02 * F.col("log_oldbalanceOrg") - F.col("oldbalanceOrg") / 40000.0
+         - F.col("newbalanceOrig") / 20000.0 + F.col("newbalanceDest") / 60000.0
+         - F.col("oldbalanceDest") / 60000.0 - 2.5)
     return df.withColumn("score", F.round(1.0 / (1.0 + F.exp(-z)), 3))
 
 
@@ -68,22 +68,18 @@ def _materialise(df: DataFrame) -> DataFrame:
     return cut_lineage(df, "scenario-sample")
 
 
+def _rows(features: DataFrame, n: int | None) -> DataFrame:
+    """All rows, or n of them if the caller asks for a sample."""
+    return features if n is None else _materialise(S.hash_sample_n(features, n, salt="noise_sample"))
+
+
 def imbalance_test(features: DataFrame, scorer: Scorer, threshold,
                    ratios=IMBALANCE_RATIOS) -> DataFrame:
     """L1: all positives + negatives resampled to each target share; the
-    actual share is reported (the cap makes small targets collapse).  All
-    targets share ONE hash rank and are evaluated in one grouped pass."""
-    counts = features.agg(F.count_if(F.col(TARGET) == 1).alias("_n1"),
-                          F.count_if(F.col(TARGET) == 0).alias("_n0"))
-    r = S.hash_rank(features, [TARGET], "txn_id", S.SEED, "ratio").crossJoin(F.broadcast(counts))
-    opts = [F.struct(F.lit("imbalance_base").alias("scenario"),
-                     F.lit(None).cast("double").alias("target_ratio"))]
-    opts += [F.struct(F.lit(f"imbalance_{x}").alias("scenario"), F.lit(x).alias("target_ratio"))
-             for x in ratios]
-    x = r.withColumn("_o", F.explode(F.array(*opts))).select("*", "_o.scenario", "_o.target_ratio")
-    need = F.least(F.floor(F.col("_n1") * (1.0 / F.col("target_ratio") - 1)), F.col("_n0"))
-    keep = F.col("target_ratio").isNull() | (F.col(TARGET) == 1) | (F.col("_rank") < need)
-    x = x.where(keep).drop("_o", "_rank", "_n1", "_n0")
+    actual share is reported (the cap makes small targets collapse)."""
+    tag = lambda df, name, ratio: df.withColumn("scenario", F.lit(name)).withColumn("target_ratio", F.lit(ratio).cast("double"))
+    x = S.union_samples(tag(features, "imbalance_base", None),
+                        *[tag(S.rebalance_ratio(features, r), f"imbalance_{r}", r) for r in ratios])
     m = K.compute_metrics(scorer(x).withColumnRenamed(TARGET, "label"), threshold,
                           ["scenario", "target_ratio"])
     pos = F.col("tp") + F.col("fn")
@@ -91,11 +87,11 @@ def imbalance_test(features: DataFrame, scorer: Scorer, threshold,
 
 
 def noise_test(features: DataFrame, scorer: Scorer, threshold,
-               sample_n: int = NOISE_SAMPLE) -> DataFrame:
-    """L2 + L13: noise levels on one checkpointed hash sample, all levels in
+               sample_n: int | None = None) -> DataFrame:
+    """L2 + L13: noise levels on all rows (or on ``sample_n``), all levels in
     one exploded scoring pass; F1/recall degradation vs the same rows
     without noise."""
-    sub = _materialise(S.hash_sample_n(features, sample_n, salt="noise_sample"))
+    sub = _rows(features, sample_n)
     lv = F.explode(F.array(*[F.struct(F.lit(f"noise_{k}").alias("scenario"), F.lit(k).alias("lvl"),
                                       F.lit(a).alias("sa"), F.lit(b).alias("sb"))
                              for k, (a, b) in L.NOISE_LEVELS.items()]))
@@ -131,12 +127,13 @@ def drift_test(features: DataFrame, scorer: Scorer, threshold) -> DataFrame:
 
 
 def adversarial_eval(features: DataFrame, scorer: Scorer, threshold,
-                     n_adv: int = N_ADVERSARIAL, base_n: int = ADV_BASE_SAMPLE) -> DataFrame:
-    """≤ base_n sampled rows + n_adv stealth-fraud rows (flagged
+                     n_adv: int = N_ADVERSARIAL, base_n: int | None = None) -> DataFrame:
+    """All rows (or ``base_n`` sampled ones) + n_adv stealth-fraud rows (flagged
     explicitly); overall metrics plus detected / missed / recall on the
     adversarial rows."""
     adv = L.adversarial_rows(features, n_adv)
-    base = S.hash_sample_n(features, base_n, salt="adv_base").withColumn("is_adversarial", F.lit(0))
+    base = features if base_n is None else S.hash_sample_n(features, base_n, salt="adv_base")
+    base = base.withColumn("is_adversarial", F.lit(0))
     mix = base.unionByName(adv)
     scored = scorer(mix)
     overall = _metrics(scored, threshold, "adversarial_mix")
@@ -150,11 +147,11 @@ def adversarial_eval(features: DataFrame, scorer: Scorer, threshold,
 
 
 def corruption_test(features: DataFrame, scorer: Scorer, threshold, feature_cols: list[str],
-                    sample_n: int = NOISE_SAMPLE) -> DataFrame:
+                    sample_n: int | None = None) -> DataFrame:
     """L8-L11 + L13: missing cells at each rate (zero-filled), swapped and
     zeroed balances, 10 % within-column shuffle — F1 drop vs no corruption.
-    One checkpointed sample, one union, one grouped metrics pass."""
-    sub = _materialise(S.hash_sample_n(features, sample_n, salt="noise_sample"))
+    One union, one grouped metrics pass."""
+    sub = _rows(features, sample_n)
     parts = [L.mask_missing(sub, r, feature_cols).withColumn("scenario", F.lit(f"missing_{r}"))
              for r in MISSING_RATES]
     parts += [L.swap_columns(sub).withColumn("scenario", F.lit("swap_balances")),
@@ -166,17 +163,17 @@ def corruption_test(features: DataFrame, scorer: Scorer, threshold, feature_cols
 
 
 def feature_sensitivity(features: DataFrame, scorer: Scorer, threshold, feature_cols: list[str],
-                        sample_n: int = NOISE_SAMPLE) -> DataFrame:
+                        sample_n: int | None = None) -> DataFrame:
     """Zero one feature at a time and re-score — ONE scoring pass over
-    the checkpointed sample exploded by feature (plus the unmodified copy as
+    all rows exploded by feature (plus the unmodified copy as
     the baseline), not a driver loop of 41 jobs; F1 drop % per feature,
     sorted descending."""
-    sub = _materialise(S.hash_sample_n(features, sample_n, salt="noise_sample"))
+    sub = _rows(features, sample_n)
     names = ["__none__"] + list(feature_cols)
     x = sub.withColumn("zeroed_feature", F.explode(F.array(*[F.lit(c) for c in names])))
     x = x.withColumns({c: F.when(F.col("zeroed_feature") == c, F.lit(0).cast(sub.schema[c].dataType))
                        .otherwise(F.col(c)) for c in feature_cols})
-    m = K.compute_metrics(scorer(x).withColumnRenamed(TARGET, "label"), threshold, ["zeroed_feature"])
+    m = K.threshold_metrics(scorer(x).withColumnRenamed(TARGET, "label"), threshold, ["zeroed_feature"])
     base = m.where(F.col("zeroed_feature") == "__none__").select(F.col("f1").alias("_bf1"))
     return (m.where(F.col("zeroed_feature") != "__none__").crossJoin(F.broadcast(base))
              .select(F.col("zeroed_feature").alias("feature"), "f1", "recall",
@@ -185,7 +182,7 @@ def feature_sensitivity(features: DataFrame, scorer: Scorer, threshold, feature_
 
 
 def permutation_importance(features: DataFrame, scorer: Scorer, threshold,
-                           feature_cols: list[str], sample_n: int = NOISE_SAMPLE,
+                           feature_cols: list[str], sample_n: int | None = None,
                            key: str = "txn_id", seed: int = 42) -> DataFrame:
     """M10 for any model: F1 drop when one feature's values are permuted
     across the sample (the others untouched), for every feature at once.
@@ -195,7 +192,7 @@ def permutation_importance(features: DataFrame, scorer: Scorer, threshold,
     from ONE two-level-prefix rank grouped by feature; an equi-join on
     (feature, position) moves the values; one scoring pass; metrics grouped
     by feature."""
-    sub = _materialise(S.hash_sample_n(features, sample_n, salt="noise_sample"))
+    sub = _rows(features, sample_n)
     sub = S.hash_rank(sub, [], key, seed, "perm_pos", rank_col="_pos")
     x = sub.withColumn("permuted_feature", F.explode(F.array(*[F.lit(c) for c in feature_cols])))
     src = (x.select(key, "permuted_feature",
@@ -207,7 +204,7 @@ def permutation_importance(features: DataFrame, scorer: Scorer, threshold,
     y = x.join(moved, ["permuted_feature", "_pos"], "left")
     y = y.withColumns({c: F.when(F.col("permuted_feature") == c, F.col("_pv").cast(sub.schema[c].dataType))
                        .otherwise(F.col(c)) for c in feature_cols}).drop("_pv", "_pos")
-    m = K.compute_metrics(scorer(y).withColumnRenamed(TARGET, "label"), threshold, ["permuted_feature"])
+    m = K.threshold_metrics(scorer(y).withColumnRenamed(TARGET, "label"), threshold, ["permuted_feature"])
     base = _metrics(scorer(sub.drop("_pos")), threshold, "base").select(F.col("f1").alias("_bf1"))
     return (m.crossJoin(F.broadcast(base))
              .select(F.col("permuted_feature").alias("feature"), "f1", "recall",
@@ -241,17 +238,17 @@ def risk_flags(consolidated: DataFrame, base_f1: float | None = None) -> DataFra
 
 def scoring_throughput(features: DataFrame, scorer: Scorer, sizes=SCORING_SIZES) -> DataFrame:
     """Wall time of scoring n rows into a no-op sink (after one warm-up
-    call), per size ≤ table size: seconds, ms/row, rows/s."""
+    call), per size and for all rows: seconds, ms/row, rows/s."""
     spark = SparkSession.getActiveSession()
     checkpoint_dir(spark)
     scorer(S.hash_sample_n(features, 100, salt="warmup")).write.format("noop").mode("overwrite").save()
     n_total = features.count()
     rows = []
-    for n in sizes:
-        k = min(n, n_total)
+    for n in sorted({min(n, n_total) for n in sizes} | {n_total}):
+        k = n
         # Materialise the sample first (reliable checkpoint in the shared
         # checkpoint dir) so only scoring is timed.
-        d = _materialise(S.hash_sample_n(features, k, salt="throughput"))
+        d = _materialise(S.hash_sample_n(features, k, salt="throughput")) if k < n_total else features
         t0 = time.time()
         scorer(d).write.format("noop").mode("overwrite").save()
         sec = time.time() - t0

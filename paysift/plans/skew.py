@@ -13,7 +13,8 @@ Two Spark plans express it:
   once per salt, so no (key, salt) join group exceeds ~``hot_rows`` rows.
   The hot-key list is broadcast; it has at most ``N / hot_rows`` rows, a
   bound that holds by construction.  Salts come from a hash of the row, never
-  ``rand()``, so a recomputed task after an executor loss re-draws the same
+  ``rand()``; rows with a NULL key are salted the same way (they match nothing,
+  but would all be dealt to one task), so a recomputed task after an executor loss re-draws the same
   salt.  AQE may still turn the join into a broadcast when the aggregate is
   small at runtime.
 """
@@ -24,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 2_000_000
+#: Rows with a NULL key never match; they are dealt over this many salts.
+NULL_PARTS = 1 << 16
 
 
 def salted_left_join(detail: DataFrame, stats: DataFrame, keys: list[str],
@@ -35,10 +38,13 @@ def salted_left_join(detail: DataFrame, stats: DataFrame, keys: list[str],
     hot = F.broadcast(  # <= N / hot_rows rows
         stats.where(F.col(rows_col) > hot_rows)
              .select(*keys, F.ceil(F.col(rows_col) / F.lit(hot_rows)).cast("int").alias("_parts")))
-    d = (detail.join(hot, keys, "left")
-               .withColumn("_salt", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
-                   F.pmod(F.xxhash64(*row_key), F.col("_parts")).cast("int")))
-               .drop("_parts"))
+    null_key = F.lit(False)
+    for k in keys:
+        null_key = null_key | F.col(k).isNull()
+    row_hash = F.xxhash64(*row_key)
+    salt = (F.when(null_key, F.pmod(row_hash, F.lit(NULL_PARTS)))
+             .when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(row_hash, F.col("_parts"))))
+    d = detail.join(hot, keys, "left").withColumn("_salt", salt.cast("int")).drop("_parts")
     s = (stats.join(hot, keys, "left")
               .withColumn("_salt", F.explode(F.sequence(
                   F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)))
