@@ -19,6 +19,7 @@ from ..session import checkpoint_dir
 from .schema import TXN_SCHEMA
 
 DEFAULT_THRESHOLD = 0.10
+CORRUPT = "_corrupt_record"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -38,8 +39,13 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
 def read_transactions_csv(spark: SparkSession, path: str, schema: T.StructType = TXN_SCHEMA,
                           mode: str = "PERMISSIVE") -> DataFrame:
     """A1: CSV with a header and a declared schema.  ``mode`` is Spark's
-    malformed-row policy (PERMISSIVE / DROPMALFORMED / FAILFAST)."""
-    return spark.read.schema(schema).option("header", True).option("mode", mode).csv(path)
+    malformed-row policy (PERMISSIVE / DROPMALFORMED / FAILFAST); in PERMISSIVE
+    mode ``_corrupt_record`` holds the text of a line that doesn't fit."""
+    read = spark.read.option("header", True).option("mode", mode)
+    if mode.upper() != "PERMISSIVE":
+        return read.schema(schema).csv(path)
+    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    return read.schema(wide).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -57,13 +63,13 @@ def save_dataset(df: DataFrame, path: str, partition_by: list[str] | None = None
 
 def save_table_csv(df: DataFrame, path: str) -> None:
     """A4: CSV with header for SMALL result tables (one file)."""
-    df.coalesce(1).write.option("header", True).mode("overwrite").csv(path)
+    df.repartition(1).write.option("header", True).mode("overwrite").csv(path)
 
 
 def save_json(df: DataFrame, path: str) -> None:
     """A5: JSON lines of a small result table (parameters, thresholds,
     confusion counts)."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    df.repartition(1).write.mode("overwrite").json(path)
 
 
 def read_threshold(spark: SparkSession, path: str, default: float = DEFAULT_THRESHOLD) -> DataFrame:
