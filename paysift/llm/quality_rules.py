@@ -95,12 +95,7 @@ def plan_order(docs: DataFrame, rules=RULES, text_col: str = "text", fraction: f
     return [rule for _, rule in sorted(found, key=lambda x: -x[0])]
 
 
-def cascade(docs: DataFrame, rules=RULES, text_col: str = "text", metrics: tuple[str, ...] = (),
-            order: list[Rule] | None = None) -> DataFrame:
-    """``docs`` and failed_rule (string, null where every rule passes) and
-    ``kept``; ``metrics``: entries of METRICS to compute for all rows."""
-    order = plan_order(docs, rules, text_col) if order is None else order
-    df = _base(docs, text_col)
+def _judge(df: DataFrame, rules, metrics: tuple[str, ...], order: list[Rule]) -> DataFrame:
     for m in metrics:
         df = _with(df, METRICS[m], None)
     df = df.withColumn("_q_failed", F.lit(None).cast("string"))
@@ -108,6 +103,16 @@ def cascade(docs: DataFrame, rules=RULES, text_col: str = "text", metrics: tuple
         if rule.needs not in metrics:
             df = _with(df, METRICS.get(rule.needs, []), "_q_failed is null")
         df = df.withColumn("_q_failed", F.expr(f"case when _q_failed is not null then _q_failed when {rule.fails} then '{rule.name}' end"))
+    return df
+
+
+def cascade(docs: DataFrame, rules=RULES, text_col: str = "text", metrics: tuple[str, ...] = (),
+            order: list[Rule] | None = None) -> DataFrame:
+    """``docs`` and failed_rule (string, null where every rule passes) and
+    ``kept``, which replace columns of these names; ``metrics``: entries of
+    METRICS to compute for all rows."""
+    order = plan_order(docs, rules, text_col) if order is None else order
+    df = _judge(_base(docs, text_col), rules, metrics, order)
     return df.withColumn("failed_rule", F.col("_q_failed")).withColumn("kept", F.col("_q_failed").isNull())
 
 
@@ -116,6 +121,8 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     as ``quality_rules``: rows read and rejected.  (Rows are counted before the
     filter, which also keeps the optimizer from moving the verdict below the
     helper columns, where it would compute each of them many times.)"""
-    judged = cascade(docs, text_col=text_col)
-    counted = judged.observe("quality_rules", F.count(F.lit(1)).alias("rows"), F.count("failed_rule").alias("rejected"))
-    return counted.where("kept").select(*docs.columns)
+    order = plan_order(docs, RULES, text_col)
+    whole = docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_text"))
+    judged = _judge(_base(whole, "_text"), RULES, (), order).select("_doc", "_q_failed")
+    counted = judged.observe("quality_rules", F.count(F.lit(1)).alias("rows"), F.count("_q_failed").alias("rejected"))
+    return counted.where("_q_failed is null").select("_doc.*")

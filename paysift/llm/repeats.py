@@ -189,12 +189,13 @@ def repeated_spans(docs: DataFrame, anchors, size: int, id_col: str, text_col: s
 
 def finish(docs: DataFrame, spans: DataFrame, measure, schema: str, text_col: str, filter_bits: int = 1 << 24) -> DataFrame:
     """``measure(text bytes, merged spans) -> tuple`` (of ``schema``) per row of
-    ``docs``, with its ``_row`` and other columns."""
+    ``docs``, with its ``_row`` and other columns (one with the name of a result
+    is replaced)."""
     spans = save(spans.groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("_spans")), "spans")
     known = bit_filter(spans.select(F.col("_row").alias("_r"), F.xxhash64("_row").alias("h")).select("h"), filter_bits)
-    others = [c for c in docs.columns if c != text_col]
-    base = docs.select(F.monotonically_increasing_id().alias("_row"), *others, F.col(text_col).alias("_text")).withColumn("_h", F.xxhash64("_row"))
     names = [x.split()[0] for x in schema.split(", ")]
+    others = [c for c in docs.columns if c not in (text_col, "_row", "_text", "_h", "_spans", *names)]
+    base = docs.select(F.monotonically_increasing_id().alias("_row"), *others, F.col(text_col).alias("_text")).withColumn("_h", F.xxhash64("_row"))
     head = "_row long, " + "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
 
     def out(batch, keep, spans_of):

@@ -12,7 +12,7 @@ from paysift.llm.near_dedup import drop_near_duplicates, near_duplicates
 from paysift.llm.passage_dedup import remove_passages
 from paysift.llm.substring_dedup import remove_repeats
 
-SCHEMA = "doc_id long, text string, _row string, h string, key string"
+SCHEMA = "doc_id long, text string, _row string, kept string, n_removed string"
 
 
 def corpus(seed=3, n=160):
@@ -60,26 +60,21 @@ def order(x):
 
 
 def test_substring(stored, rows):
-    got = remove_repeats(stored.select("doc_id", "text", "h")).collect()
+    got = remove_repeats(stored).collect()
     assert order((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest()) for x in got) == order(substring(rows))
 
 
 def test_passages(stored, rows):
-    got = remove_passages(stored.select("doc_id", "text", "key")).collect()
+    got = remove_passages(stored).collect()
     assert order((x.doc_id, x.n_words, x.n_removed, hashlib.sha256(x.kept).hexdigest()) for x in got) == order(passages(rows))
 
 
-@pytest.mark.parametrize("percent", [80, 85])
-def test_near(stored, rows, percent):
-    got = near_duplicates(stored, percent).collect()
+@pytest.mark.parametrize("percent,block", [(80, 2), (85, 512)])
+def test_near(stored, rows, percent, block):
+    got = near_duplicates(stored, percent, block=block).collect()
     assert order((x.doc_id, x.n_shingles, x.component_id) for x in got) == order(near(rows, percent))
 
 
-def test_near_small_blocks(stored, rows):
-    got = near_duplicates(stored, 80, block=2).collect()
-    assert order((x.doc_id, x.n_shingles, x.component_id) for x in got) == order(near(rows, 80))
-
-
 def test_near_keeps_one(stored, rows):
     kept = drop_near_duplicates(stored, 80)
     assert kept.columns == stored.columns
@@ -103,8 +98,8 @@ def test_contamination(spark, stored, rows):
 
 def test_empty_tables(spark, stored):
     none = stored.limit(0)
-    assert remove_repeats(none.select("doc_id", "text")).count() == 0
-    assert remove_passages(none.select("doc_id", "text")).count() == 0
+    assert remove_repeats(none).count() == 0
+    assert remove_passages(none).count() == 0
     assert near_duplicates(none).count() == 0
     bench = spark.createDataFrame([], "item_id long, text string")
     assert contamination(none, bench).count() == 0
