@@ -290,7 +290,10 @@ def feature_catalogue(spark, sf):
         for i, f in enumerate(fields)])).alias("_r")).select("_r.*")
 
 
-@register("feature_group_summary")
+@register("feature_group_summary", rnd(f"""SELECT g.feature_group, CAST(g.n AS INT) AS n_features, count(*) AS n_rows,
+  avg(isFraud) * 100 AS fraud_rate_pct, {len(FEATURE_COLUMNS)} AS n_features_total
+FROM ({_feature_matrix_sql()}) CROSS JOIN (VALUES {", ".join(f"('{g}', {len(c)})" for g, c in FEATURE_GROUPS.items())}) g(feature_group, n)
+GROUP BY ALL""", "fraud_rate_pct"))
 def feature_group_summary(spark, sf):
     """A10: rows, fraud rate and per-group feature counts of the matrix."""
     fm = FE.feature_matrix(transactions(spark, sf))

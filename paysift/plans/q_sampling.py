@@ -86,6 +86,18 @@ def rebalance_ratio(spark, sf):
     return S.rebalance_ratio(transactions(spark, sf), 0.05).select("txn_id", "isFraud")
 
 
+@register("rebalance_minority", with_txn(f"""
+SELECT txn_id, isFraud FROM (
+  SELECT txn_id, isFraud, {_rank_sql('ratio')} AS _rank,
+         count(*) FILTER (WHERE isFraud = 1) OVER () AS _n1,
+         count(*) FILTER (WHERE isFraud = 0) OVER () AS _n0
+  FROM transactions) r
+WHERE isFraud = 0 OR _rank < least(floor(_n0 * (0.01 / (1 - 0.01))), _n1)"""))
+def rebalance_minority(spark, sf):
+    """I7, downsample_minority: all negatives, positives down to a 1 % share."""
+    return S.rebalance_ratio(transactions(spark, sf), 0.01, mode="downsample_minority").select("txn_id", "isFraud")
+
+
 _RATIOS = [0.05, 0.005, 0.001, 0.0001]
 
 
