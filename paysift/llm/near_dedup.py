@@ -2,17 +2,21 @@
 
 A document's set is its distinct ``SHINGLE``-word shingles as 64-bit hashes.
 Documents with equal sets are one class (a group of exact copies becomes one
-row before anything is compared).  Classes keep 96 minima: 24 bands of 4
-choose candidates, and their lowest 4 bits, packed into six longs, estimate
-the similarity of a candidate pair by counting equal nibbles, corrected for
-chance agreement (1/16).  Only pairs that the estimate leaves within 6 standard
-errors of the threshold are confirmed, on full sets.
+row before anything is compared).  24 bands of 4 minima choose candidates.
+A signature packs, in 4 bits each, the minima of 512 bins of the shingle hashes
+(0: no shingle in the bin); the similarity of a candidate pair is estimated by
+counting equal nibbles.  Bins draw from the set without replacement, so small
+sets are compared almost exactly, and the standard error is 0.018 at most.
+Chance agreement (1/15) only raises the estimate; pairs whose estimate is under
+the threshold by 5 standard errors (1 in 3 million) are not links, all others
+are confirmed on full sets.
 
 Candidates without all pairs: each bucket's pivot, its member that shares the
 most buckets, is compared with the others.  Links make components; buckets
 whose members still lie in several components get a second pivot, and what is
 left is compared block by block, only across components, in the condition of a
-join (so only pairs that the estimate lets through become rows).  A link that
+join (so only pairs that the estimate lets through become rows, each in the
+first band it shares).  A link that
 would only join one component to itself is not looked for.  A pair at the
 threshold 0.85 is missed by all bands once in 50 million, at 0.8 once in
 300,000; no bucket is capped.
@@ -35,8 +39,9 @@ from pyspark.sql import functions as F
 from .common import (WS_MASK, gram_hash, list_of, mix, numbered, prepare, row_counts, save, segments, signed, text_buffers, words)
 
 SHINGLE, BANDS, ROWS = 5, 24, 4
-N_MINIMA, BITS = BANDS * ROWS, 4
-SIG = [f"s{i}" for i in range(N_MINIMA * BITS // 64)]
+N_MINIMA = BANDS * ROWS
+BINS = 512
+SIG = [f"s{i}" for i in range(BINS // 16)]
 _A = mix(np.arange(1, N_MINIMA + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
 _B = mix(np.arange(1, N_MINIMA + 1, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
 
@@ -73,6 +78,19 @@ def class_ids(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def signatures(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Bin minima in 4 bits (rows x len(SIG) longs): 1 + minimum mod 15."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    g = mix(sets ^ np.uint64(0x2545F4914F6CDD1D))
+    g = g[np.lexsort((g, row))]
+    at = row * BINS + (g >> np.uint64(55)).astype(np.int64)
+    first = np.ones(len(at), bool)
+    first[1:] = at[1:] != at[:-1]
+    nibble = np.zeros(len(counts) * BINS, np.uint64)
+    nibble[at[first]] = mix(g[first]) % np.uint64(15) + np.uint64(1)
+    return (nibble.reshape(len(counts), len(SIG), 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64)
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_row, id, n, cls, s0.., bands) per row, written; cls null without a set."""
     def scan(batches):
@@ -87,15 +105,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for k in range(N_MINIMA if len(at) else 0):
                     x = sets * _A[k] + _B[k]
                     minima[:, k] = np.minimum.reduceat(x ^ (x >> np.uint64(29)), at)
-                low = mix(minima) & np.uint64(15)
-                s = np.zeros((len(counts), len(SIG)), np.uint64)
                 b = np.zeros((len(counts), BANDS), np.uint64)
                 for k in range(N_MINIMA):
-                    s[full, k // 16] |= low[:, k] << np.uint64(4 * (k % 16))
                     b[full, k // ROWS] = mix(b[full, k // ROWS] ^ minima[:, k] + np.uint64(k + 1))
                 n.append(counts)
                 cls.append(class_ids(sets, counts))
-                sig.append(s)
+                sig.append(signatures(sets, counts))
                 bands.append(b)
             n = np.concatenate([np.zeros(0, np.int64), *n])
             blob = np.ascontiguousarray(np.concatenate([np.zeros((0, 2), np.uint64), *cls])).tobytes()
@@ -112,22 +127,25 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def estimate(a: str, b: str) -> Column:
-    """Collision-corrected similarity from two packed signatures."""
-    low, equal = 0x1111111111111111, F.lit(0)
-    for s in SIG:
-        x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
+    """Share of equal nibbles among the bins that either signature has."""
+    low = F.lit(0x1111111111111111)
+
+    def any_bit(x):  # a 1 per nibble that isn't 0
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(low))
-        equal = equal + 16 - F.bit_count(x)
-    chance = 2.0 ** -BITS
-    return (equal / N_MINIMA - chance) / (1 - chance)
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(low))
+
+    used, differ = F.lit(0), F.lit(0)
+    for s in SIG:
+        x, y = F.col(f"{a}.{s}"), F.col(f"{b}.{s}")
+        used, differ = used + any_bit(x.bitwiseOR(y)), differ + any_bit(x.bitwiseXOR(y))
+    return 1 - differ / used
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
     """May the pair reach the threshold: sizes exactly, similarity by estimate
-    less 6 standard errors."""
+    less 5 standard errors."""
     t = percent / 100
-    margin = 6 * (t * (1 - t) / N_MINIMA) ** 0.5 * 16 / 15 + 0.02
+    margin = 5 * (t * (1 - t) / BINS) ** 0.5 + 0.005
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
     return (small * 100 >= large * percent) & (estimate(a, b) >= t - margin)
 
@@ -186,7 +204,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     in_band = reps.select("cls", F.posexplode("bands").alias("band", "key"))
     keys = ["band", "key"]
     shared = in_band.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    member = save(in_band.join(shared, keys).join(reps.drop("bands", "_row"), "cls"), "buckets")
+    member = save(in_band.join(shared, keys).join(reps.drop("_row"), "cls"), "buckets")
     degree = member.groupBy("cls").agg(F.sum("size").alias("degree"))
 
     def compare(of: DataFrame, pivot: DataFrame, apart: bool) -> DataFrame:
@@ -221,6 +239,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     y = side.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_p") - 1))).withColumn("_j", F.col("_m")).withColumn("_i", F.col("_o"))
     on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (*keys, "_i", "_j")]
     cond = on[0] & on[1] & on[2] & on[3] & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & _possible("x", "y", percent)
+    shared_bands = F.zip_with("x.bands", "y.bands", lambda p, q: p == q)
+    cond = cond & (F.array_position(shared_bands, True) == F.col("x.band") + 1)
     pairs = save(x.alias("x").join(y.alias("y"), cond).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), "pairs")
     if not pairs.isEmpty():
         links = links.union(confirm(pairs, docs, reps, text_col, percent)).distinct()
