@@ -14,7 +14,7 @@ from ..functions.core import hash_uniform
 from ..operators import metrics as K
 from ..operators import sampling as S
 from ..oracle import SPLIT_CTES, rnd, u, with_txn
-from ..registry import register
+from ..registry import ORACLES, register
 from ..sources.transactions import transactions
 
 # The two pseudo-score formulas (weights of row-wise signals).
@@ -172,6 +172,9 @@ def optimal_threshold(spark, sf):
     return K.optimal_threshold(sw, ["model"])
 
 
+ORACLES["threshold_json"] = f"SELECT optimal_threshold FROM ({ORACLES['optimal_threshold']}) WHERE model = 'pseudo_a'"
+
+
 @register("compute_metrics", rnd(with_txn(
     f"SELECT k.model, k.split, {_RATES}, a.roc_auc, a.pr_auc, tp, fp, fn, tn "
     f"FROM ({_COUNTS.format(t=0.5, src='sc')}) k JOIN ({_AUC}) a ON k.model = a.model AND k.split = a.split",

@@ -17,7 +17,7 @@ from ..operators import metrics as K
 from ..operators import models as M
 from ..operators import sampling as S
 from ..oracle import rnd, rnd_sig, with_txn
-from ..registry import ORACLES, finish, register
+from ..registry import finish, register
 from ..sources import files as IO
 from ..sources.schema import FEATURE_COLUMNS, TARGET
 from ..sources.transactions import transactions
@@ -433,7 +433,7 @@ def scan_csv(spark, sf):
     return IO.read_transactions_csv(spark, path).drop(IO.CORRUPT)
 
 
-@register("threshold_json", rnd(f"SELECT optimal_threshold FROM ({ORACLES['optimal_threshold']}) WHERE model = 'pseudo_a'", "optimal_threshold"))
+@register("threshold_json")  # its SQL stands with that of optimal_threshold
 def threshold_json(spark, sf):
     """A5 + A6: the chosen threshold written as JSON and read back (with the
     0.10 default for a missing key)."""

@@ -26,9 +26,11 @@ def test_split_disjoint_exhaustive_and_quota(spark, txn):
     assert sp.count() == txn.count()
     assert sp.select("txn_id").distinct().count() == txn.count()
     c = {(r.isFraud, r.split): r["count"] for r in sp.groupBy("isFraud", "split").count().collect()}
+    # ceil(0.2 n) test rows in all, each class within one row of its share
+    assert c[(0, "test")] + c[(1, "test")] == -(-txn.count() * 2 // 10)
     for lab in (0, 1):
-        n = c.get((lab, "test"), 0) + c.get((lab, "train"), 0)
-        assert c.get((lab, "test"), 0) == -(-n * 2 // 10)
+        n = c[(lab, "test")] + c[(lab, "train")]
+        assert n * 2 // 10 <= c[(lab, "test")] <= -(-n * 2 // 10)
 
 
 def test_stratified_sample_quota(spark, txn):
