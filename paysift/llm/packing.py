@@ -16,6 +16,7 @@ their own; which of two equal rows takes which of their slots is free.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -30,7 +31,11 @@ from .common import prepare, save, segments, span_hash, text_buffers, words
 SEPARATORS = np.ones(256, bool)
 SEPARATORS[[0x20, 0x09, 0x0A, 0x0D]] = False
 #: Chunks remembered by a Python worker, over all its tasks.
-MEMORY = 2_000_000
+MEMORY = 4_000_000
+#: The characters that stand for bytes in the vocabulary: printable Latin-1
+#: ones for themselves, the others in order from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _TABLES: dict[str, "ChunkIds"] = {}
 
 
@@ -49,9 +54,12 @@ class ChunkIds:
         self.ids = np.zeros(0, "<u4")
 
     def encode(self, text: str) -> list[int]:
-        # A lower-case ASCII word is its own normal form and one pre-token.
-        if text.isascii() and text.isalpha() and text.islower():
-            return [t.id for t in self.tokenizer.model.tokenize(text)]
+        low = text.lower()
+        # A word of letters is one pre-token, so its bytes go to the model as
+        # the characters that stand for them (a capital sigma's lower case
+        # depends on its place).
+        if low.isalpha() and "\u03a3" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            return [t.id for t in self.tokenizer.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_CHARS))]
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def lookup(self, hashes: np.ndarray, text_of) -> np.ndarray:
