@@ -81,11 +81,19 @@ def piece_table(docs: DataFrame, model_path: str, text_col: str = "text") -> Dat
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
                  hot: int = 500_000) -> DataFrame:
-    """(id, n_bytes, n_tokens) per row.  ``hot``: the number of most frequent
-    pre-tokens to broadcast (a bound; any value gives the same counts)."""
+    """(id, n_bytes, n_tokens) per row.  ``hot``: at most so many of the
+    most frequent pre-tokens are broadcast (any value gives the same counts)."""
     spark = prepare(docs.sparkSession)
     table = piece_table(docs, model_path, text_col)
-    top = table.orderBy(F.desc("total"), "pre_token").limit(hot).select("pre_token", "pieces").toArrow()
+    # The least frequency to broadcast, from counts by eighths of an octave (a
+    # few hundred rows), so that no task sorts them all.
+    octave = F.floor(F.log2("total") * 8)
+    level, taken = float("inf"), 0
+    for r in table.groupBy(octave.alias("o")).count().orderBy(F.desc("o")).collect():
+        if taken + r["count"] > hot:
+            break
+        level, taken = r["o"], taken + r["count"]
+    top = table.where(octave >= F.lit(level)).select("pre_token", "pieces").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
 
     def scan(batches):
