@@ -44,12 +44,20 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` and a row number column whose name none of its columns has."""
-    name = "_row"
-    while name in docs.columns:
+    name, taken = "_row", {c.lower() for c in docs.columns}
+    while name in taken:
         name += "_"
     return docs.withColumn(name, F.monotonically_increasing_id()), name
 
 
+def stored(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written once with its row number, and the number's column: for
+    operators that read it several times.  A number made anew by each read
+    would depend on how the scan is split, which differs between jobs."""
+    rows, name = numbered(docs)
+    return save(rows, "documents"), name
+
+
 # ---------------------------------------------------------------- byte tables
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import (ALNUM_MASK, bit_filter, gram_hash, in_filter, mix, numbered, prepare, row_counts, save, segments, signed,
+from .common import (ALNUM_MASK, bit_filter, gram_hash, in_filter, mix, prepare, row_counts, save, segments, signed, stored,
                      text_buffers, window_argmin, words)
 
 GRAM, WINDOW = 5, 10
@@ -97,9 +97,11 @@ def item_fingerprints(benchmark: DataFrame, id_col: str = "item_id", text_col: s
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         item_id: str = "item_id", item_text: str = "text", filter_bits: int = 1 << 24) -> tuple[DataFrame, DataFrame]:
+         item_id: str = "item_id", item_text: str = "text", filter_bits: int = 1 << 24,
+         row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents: _row, id, n_words), (spans: _row, item, start, end of the
-    words inside an occurrence of one of the item's windows)."""
+    words inside an occurrence of one of the item's windows).  ``_row`` is
+    ``row_col``, or numbers of this one read."""
     spark = prepare(docs.sparkSession)
     items = item_fingerprints(benchmark, item_id, item_text)
     lengths = [r["shape"] for r in items.where("shape > 0").select("shape").distinct().collect()]  # 9 at most
@@ -158,7 +160,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.string(), pa.int64(), pa.int64()], strict=True)], ["_row", "item", "start", "end"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scanned = save(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(
+    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    scanned = save(docs.select(number.alias("_row"), F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(
         scan, f"_row long, `{id_col}` {kind}, n_words long, place int, shape int, h long, words array<string>, at int"), "document_fingerprints")
     found = scanned.where("h is not null").alias("d").join(items.alias("i"), (F.col("d.h") == F.col("i.h")) & (F.col("d.shape") == F.col("i.shape")))
     spans = found.select("d._row", "d.place", "d.shape", "d.words", "d.at", "i.item", F.col("i.words").alias("iw"), F.col("i.at").alias("ia")
@@ -181,9 +184,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no window of the benchmark.  ``docs`` is
-    read twice and has to give the same partitions both times, as files do."""
-    _, spans = hits(docs, benchmark, id_col, text_col)
+    """The rows of ``docs`` that hold no window of the benchmark."""
+    rows, name = stored(docs)
+    _, spans = hits(rows, benchmark, id_col, text_col, row_col=name)
     bad = save(spans.select("_row").distinct(), "contaminated_rows")
-    rows, name = numbered(docs)
     return rows.join(bad.withColumnRenamed("_row", name), name, "left_anti").select(*docs.columns)

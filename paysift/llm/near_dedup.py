@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import (WS_MASK, gram_hash, list_of, mix, numbered, prepare, row_counts, save, segments, signed, text_buffers, words)
+from .common import (WS_MASK, gram_hash, list_of, mix, prepare, row_counts, save, segments, signed, stored, text_buffers, words)
 
 SHINGLE, BANDS, ROWS = 5, 24, 4
 N_MINIMA = BANDS * ROWS
@@ -91,7 +91,7 @@ def signatures(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return (nibble.reshape(len(counts), len(SIG), 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, row_col: str, id_col: str, text_col: str) -> DataFrame:
     """(_row, id, n, cls, s0.., bands) per row, written; cls null without a set."""
     def scan(batches):
         for batch in batches:
@@ -122,7 +122,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                  list_of(signed(np.ascontiguousarray(b.reshape(-1))), np.full(len(b), BANDS))], ["_row", id_col, "n", "cls", *SIG, "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return save(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(
+    return save(docs.select(F.col(row_col).alias("_row"), F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(
         scan, f"_row long, `{id_col}` {kind}, n long, cls binary, {', '.join(f'{s} long' for s in SIG)}, bands array<long>"), "sketches")
 
 
@@ -150,11 +150,11 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return (small * 100 >= large * percent) & (estimate(a, b) >= t - margin)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text_col: str, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, row_col: str, reps: DataFrame, text_col: str, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold.  Texts of the
     classes that occur are joined on; the sets are made again from them."""
     needed = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b"))).distinct().join(reps.select("cls", "_row"), "cls")
-    texts = save(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("t")).join(needed, "_row").select("cls", "t"), "pair_texts")
+    texts = save(docs.select(F.col(row_col).alias("_row"), F.col(text_col).alias("t")).join(needed, "_row").select("cls", "t"), "pair_texts")
     both = (pairs.join(texts.select(F.col("cls").alias("a"), F.col("t").alias("ta")), "a")
             .join(texts.select(F.col("cls").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb"))
 
@@ -195,10 +195,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 512) -> DataFrame:
     """(_row, id, n_shingles, component_id, root) per row; rows without a set
-    are their own component with a null root.  ``docs`` is read twice and has to
-    give the same partitions both times, as files do."""
+    are their own component with a null root."""
+    docs, row = stored(docs.select(F.col(id_col), F.col(text_col)))
+    return _near(docs, row, percent, id_col, text_col, block)
+
+
+def _near(docs: DataFrame, row_col: str, percent: int, id_col: str, text_col: str, block: int = 512) -> DataFrame:
+    """``near_duplicates`` of ``docs`` and ``row_col`` from ``stored``."""
     prepare(docs.sparkSession)
-    rows = sketches(docs, id_col, text_col)
+    rows = sketches(docs, row_col, id_col, text_col)
     sets = rows.where("cls is not null")
     reps = save(sets.groupBy("cls").agg(F.min("_row").alias("_row"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in SIG], F.first("bands").alias("bands")), "classes")
     in_band = reps.select("cls", F.posexplode("bands").alias("band", "key"))
@@ -222,14 +227,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         several = rooted.groupBy(*keys).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*keys)
         return save(rooted.join(several, keys), "open_buckets")
 
-    links = confirm(compare(member, pivots(member), False), docs, reps, text_col, percent)
+    links = confirm(compare(member, pivots(member), False), docs, row_col, reps, text_col, percent)
     left = open_buckets(links)
     # Second pivot: the best member outside the component of the best one.
     best = left.join(degree, "cls").groupBy(*keys).agg(F.max_by("root", F.struct("degree", "cls")).alias("r"))
     second = pivots(left.join(best, keys).where("root <> r"), "root")
     pairs = compare(left, second, True)
     if not pairs.isEmpty():
-        links = links.union(confirm(pairs, docs, reps, text_col, percent)).distinct()
+        links = links.union(confirm(pairs, docs, row_col, reps, text_col, percent)).distinct()
         left = open_buckets(links)
     # What is left, block by block across components.
     parts = F.greatest(F.lit(1), F.ceil(F.col("size") / block)).cast("int")
@@ -243,7 +248,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     cond = cond & (F.array_position(shared_bands, True) == F.col("x.band") + 1)
     pairs = save(x.alias("x").join(y.alias("y"), cond).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), "pairs")
     if not pairs.isEmpty():
-        links = links.union(confirm(pairs, docs, reps, text_col, percent)).distinct()
+        links = links.union(confirm(pairs, docs, row_col, reps, text_col, percent)).distinct()
     roots = components(links)
     placed = sets.select("_row", id_col, "n", "cls").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = placed.groupBy("root").agg(F.min(id_col).alias("component_id"))
@@ -254,8 +259,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, that of its smallest id (of equal ids, one);
     rows without a set stay."""
-    found = near_duplicates(docs, percent, id_col, text_col)
+    rows, name = stored(docs)
+    found = _near(rows, name, percent, id_col, text_col)
     first = found.where("root is not null").groupBy("root").agg(F.min_by("_row", F.struct(F.col(id_col).isNull(), id_col, "_row")).alias("_row")).select("_row")
     keep = save(first.union(found.where("root is null").select("_row")), "kept_rows")
-    rows, name = numbered(docs)
     return rows.join(keep.withColumnRenamed("_row", name), name, "left_semi").select(*docs.columns)

@@ -25,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import WS_MASK, _powers, gram_hash, mix, row_counts, words
+from .common import WS_MASK, _powers, gram_hash, mix, row_counts, stored, words
 from .repeats import Runs, finish, repeated_spans
 
 SIZE, ROUNDS = 20, 2
@@ -165,5 +165,6 @@ def measure(text: np.ndarray, spans: list[tuple[int, int]]) -> tuple[int, int, b
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: _row, its other columns, n_words, n_removed, kept (the words
     that stay, joined by one space, as UTF-8)."""
-    spans = repeated_spans(docs, anchors, SIZE, id_col, text_col, across=False, width=8, step=8)
-    return finish(docs, spans, measure, "n_words long, n_removed long, kept binary", text_col)
+    docs, row = stored(docs)
+    spans = repeated_spans(docs, row, anchors, SIZE, id_col, text_col, across=False, width=8, step=8)
+    return finish(docs, row, spans, measure, "n_words long, n_removed long, kept binary", text_col)

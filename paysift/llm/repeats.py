@@ -17,8 +17,8 @@ keys wherever they stand.  How anchors are chosen is the operators' own method.
 4. Spans go back to their documents, which are read a third time; only those
    with spans (by a filter of fixed size) are shuffled.
 
-Rows are told apart by the place they are read from; ``docs`` has to give the
-same rows in the same partitions each time, as files do.
+Rows are told apart by a number that is written with them (``stored``); all
+three reads use the written table.
 """
 
 from __future__ import annotations
@@ -78,12 +78,13 @@ def _keys(docs: DataFrame, anchors, text_col: str, across: bool) -> DataFrame:
     return (docs.select(F.col(text_col)).mapInArrow(scan, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
 
 
-def repeated_spans(docs: DataFrame, anchors, size: int, id_col: str, text_col: str, across: bool, width: int,
+def repeated_spans(docs: DataFrame, row_col: str, anchors, size: int, id_col: str, text_col: str, across: bool, width: int,
                    step: int, filter_bits: int = 1 << 28, hot_keys: int = 10_000, hot_rows: int = 2_000) -> DataFrame:
     """(_row, start, end) of spans covered by a window of ``size`` that also
     starts earlier: in a document of a smaller id (``across``), or there or
     earlier in the same document.  Window j of ``Runs.windows`` is its ``width``
-    bytes from j x ``step`` on.  Null ids come before all others."""
+    bytes from j x ``step`` on.  Null ids come before all others.  ``docs`` and
+    ``row_col``: from ``stored``."""
     spark = prepare(docs.sparkSession)
     keys = save(_keys(docs, anchors, text_col, across), "repeated_keys")
     known = bit_filter(keys.select("h"), filter_bits)
@@ -182,20 +183,20 @@ def repeated_spans(docs: DataFrame, anchors, size: int, id_col: str, text_col: s
             s, at = s[later], at[later]
             yield pa.RecordBatch.from_arrays([pa.array(lines[at]), pa.array(places[at] + a[s]), pa.array(places[at] + b[s] - 1 + size)], ["_row", "start", "end"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), F.col(text_col)).mapInArrow(
+    rows = docs.select(F.col(row_col).alias("_row"), F.col(id_col), F.col(text_col)).mapInArrow(
         scan, "key long, id0 long, at0 long, text binary, ids array<long>, lines array<long>, places array<long>")
     return rows.repartition("key").sortWithinPartitions("key", "id0", "at0").mapInArrow(judge, "_row long, start long, end long")
 
 
-def finish(docs: DataFrame, spans: DataFrame, measure, schema: str, text_col: str, filter_bits: int = 1 << 24) -> DataFrame:
+def finish(docs: DataFrame, row_col: str, spans: DataFrame, measure, schema: str, text_col: str, filter_bits: int = 1 << 24) -> DataFrame:
     """``measure(text bytes, merged spans) -> tuple`` (of ``schema``) per row of
     ``docs``, with its ``_row`` and other columns (one with the name of a result
     is replaced)."""
     spans = save(spans.groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("_spans")), "spans")
     known = bit_filter(spans.select(F.col("_row").alias("_r"), F.xxhash64("_row").alias("h")).select("h"), filter_bits)
     names = [x.split()[0] for x in schema.split(", ")]
-    others = [c for c in docs.columns if c not in (text_col, "_row", "_text", "_h", "_spans", *names)]
-    base = docs.select(F.monotonically_increasing_id().alias("_row"), *others, F.col(text_col).alias("_text")).withColumn("_h", F.xxhash64("_row"))
+    others = [c for c in docs.columns if c not in (text_col, row_col, "_row", "_text", "_h", "_spans", *names)]
+    base = docs.select(F.col(row_col).alias("_row"), *others, F.col(text_col).alias("_text")).withColumn("_h", F.xxhash64("_row"))
     head = "_row long, " + "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
 
     def out(batch, keep, spans_of):

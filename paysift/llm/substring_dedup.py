@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import SEGMENT, _BYTES, _powers, mix, window_argmin
+from .common import SEGMENT, _BYTES, _powers, mix, stored, window_argmin
 from .repeats import Runs, finish, repeated_spans
 
 SIZE, DIGIT = 50, 16
@@ -104,5 +104,6 @@ def measure(text: np.ndarray, spans: list[tuple[int, int]]) -> tuple[int, int, i
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: _row, its other columns, n_bytes, n_removed, n_spans (maximal
     removed runs) and kept (the remaining bytes)."""
-    spans = repeated_spans(docs, anchors, SIZE, id_col, text_col, across=True, width=SIZE, step=1)
-    return finish(docs, spans, measure, "n_bytes long, n_removed long, n_spans long, kept binary", text_col)
+    docs, row = stored(docs)
+    spans = repeated_spans(docs, row, anchors, SIZE, id_col, text_col, across=True, width=SIZE, step=1)
+    return finish(docs, row, spans, measure, "n_bytes long, n_removed long, n_spans long, kept binary", text_col)
