@@ -8,10 +8,11 @@ equals the count of the whole text.
 
 Plan: (1) one pass counts pre-tokens over all documents (partial sums in the
 tasks, then a shuffle on the pre-token); each is encoded once and the table is
-written.  (2) the ``hot`` most frequent pre-tokens, a bounded number, are
-broadcast and summed in the second pass over the documents; only the rarer
-ones leave it as (row, pre-token, frequency) and are joined to the table by
-shuffle.  No pre-token of that join is frequent, so no task gets a hot key.
+written.  (2) the ``hot`` most frequent pre-tokens of at most ``SHORT`` bytes, so a
+bounded table, are broadcast and summed in the second pass over the documents; only the rarer
+or longer ones leave it as (row, pre-token, frequency) and are joined to the table by
+shuffle.  A frequent long pre-token is a hot key of that join, whose rows (one per
+document that has it) AQE splits.
 
 Nulls and empty texts have no tokens.  Rows that repeat an id, or a whole row,
 are counted each on their own.  Other columns are ignored.
@@ -33,6 +34,8 @@ MARK = "▁"
 PRE_TOKEN = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 #: Distinct pre-tokens a task holds before it passes its partial counts on.
 FLUSH = 200_000
+#: Bytes of the longest pre-token that is broadcast.
+SHORT = 64
 
 
 def check_vocabulary(processor) -> None:
@@ -82,18 +85,19 @@ def piece_table(docs: DataFrame, model_path: str, text_col: str = "text") -> Dat
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
                  hot: int = 500_000) -> DataFrame:
     """(id, n_bytes, n_tokens) per row.  ``hot``: at most so many of the
-    most frequent pre-tokens are broadcast (any value gives the same counts)."""
+    most frequent short pre-tokens are broadcast (any value gives the same counts)."""
     spark = prepare(docs.sparkSession)
     table = piece_table(docs, model_path, text_col)
     # The least frequency to broadcast, from counts by eighths of an octave (a
     # few hundred rows), so that no task sorts them all.
     octave = F.floor(F.log2("total") * 8)
     level, taken = float("inf"), 0
-    for r in table.groupBy(octave.alias("o")).count().orderBy(F.desc("o")).collect():
+    short = table.where(F.octet_length("pre_token") <= SHORT)
+    for r in short.groupBy(octave.alias("o")).count().orderBy(F.desc("o")).collect():
         if taken + r["count"] > hot:
             break
         level, taken = r["o"], taken + r["count"]
-    top = table.where(octave >= F.lit(level)).select("pre_token", "pieces").toArrow()
+    top = short.where(octave >= F.lit(level)).select("pre_token", "pieces").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
 
     def scan(batches):
