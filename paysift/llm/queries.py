@@ -24,6 +24,7 @@ from .quality_rules import cascade
 from .secrets import BASE, KINDS, scan
 from .substring_dedup import remove_repeats
 from .token_counts import token_counts
+from .trie_bpe import decode, encode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -218,3 +219,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op11_trie_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
