@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .chat_tree import prefix_tree, read_back
 from .common import table
 from .decontaminate import contamination
+from .importance import resample
 from .line_quality import held_out, score, train
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -25,6 +26,7 @@ from .secrets import BASE, KINDS, scan
 from .substring_dedup import remove_repeats
 from .token_counts import token_counts
 from .trie_bpe import decode, encode
+from .whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -228,3 +230,36 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+RESAMPLE_SQL = rf"""
+with t as (select list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, i: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab),
+d as (select row_number() over () as rid, doc_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+dw as (select rid, unnest(ws) as w from d),
+bw as (select unnest(regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from benchmark),
+h as (select w, hex(encode(w)) as x from (select w from dw union select w from bw)),
+y as (select w, list_transform(range(length(x) // 2), lambda i: 16 * (instr('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1) as bytes from h),
+k as (select w, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 as b from y, t),
+s as (select b, count(*) as s from dw join k using (w) group by b),
+g0 as (select b, count(*) as t from bw join k using (w) group by b),
+a as (select (select count(*) from dw) as S, (select count(*) from bw) as T),
+g as (select b, floor(1000 * ln(((coalesce(t, 0) + 1) * (S + 10000))::double / ((coalesce(s, 0) + 1) * (T + 10000))::double)) as gain from s full join g0 using (b), a),
+v as (select rid, count(*) as n, sum(gain) as total from dw join k using (w) join g using (b) group by rid),
+z as (select rid, doc_id, coalesce(n, 0)::bigint as n_features, coalesce(floor(total / n), 0)::bigint as weight,
+        ('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from d left join v using (rid)),
+o as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint as score from z),
+r as (select rid, row_number() over (order by score desc, doc_id nulls last, rid) as rank, count(*) over () as n from o where n_features >= 20)
+select doc_id, n_features, weight, score, case when rank <= 10 * n // 100 then rank end as rank from o left join r using (rid)"""
+
+
+@query("op12_importance_resampling", RESAMPLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, noisy scores and draw of all documents, towards ``benchmark``."""
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight whitened components of all embeddings."""
+    return whiten(table(spark, sf_dir, "embeddings"))
