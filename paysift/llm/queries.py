@@ -242,8 +242,8 @@ y as (select w, list_transform(range(length(x) // 2), lambda i: 16 * (instr('012
 k as (select w, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 as b from y, t),
 s as (select b, count(*) as s from dw join k using (w) group by b),
 g0 as (select b, count(*) as t from bw join k using (w) group by b),
-a as (select (select count(*) from dw) as S, (select count(*) from bw) as T),
-g as (select b, floor(1000 * ln(((coalesce(t, 0) + 1) * (S + 10000))::double / ((coalesce(s, 0) + 1) * (T + 10000))::double)) as gain from s full join g0 using (b), a),
+a as (select (select count(*) from dw) as n_docs, (select count(*) from bw) as n_target),
+g as (select b, floor(1000 * ln(((coalesce(g0.t, 0) + 1) * (n_docs + 10000))::double / ((coalesce(s.s, 0) + 1) * (n_target + 10000))::double)) as gain from s full join g0 using (b), a),
 v as (select rid, count(*) as n, sum(gain) as total from dw join k using (w) join g using (b) group by rid),
 z as (select rid, doc_id, coalesce(n, 0)::bigint as n_features, coalesce(floor(total / n), 0)::bigint as weight,
         ('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from d left join v using (rid)),
