@@ -8,11 +8,13 @@ an ``explode`` to long form.  Quantiles use the exact bracketed helper in
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import as_flag, guarded_corr, safe_div
-from ..functions.quantile import quantile_row, quantiles
+from ..functions.quantile import Buckets, quantile_row
 from ..sources.schema import MONEY_COLS, TARGET
 
 # Percentiles of the univariate describe.
@@ -115,36 +117,47 @@ def mean_hourly_fraud_rate(df: DataFrame, label: str = TARGET) -> DataFrame:
 # --- D8 - D11 ---------------------------------------------------------------
 
 def numeric_describe(df: DataFrame, cols=MONEY_COLS, pcts=DESCRIBE_PCTS) -> DataFrame:
-    """Count, mean, sample std, min, percentiles, max per column.
-    All columns share ONE moments scan and ONE bracketed quantile pass
-    (columns are unpivoted and used as a bounded group key)."""
-    lf = long_form(df.select(*cols), list(cols)).where(F.col("value").isNotNull())
-    mom = lf.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
+    """Count, mean, sample std, min, percentiles, max per column
+    (nulls and NaN left out).  One pass gives the bucket counts and the moments of
+    all columns, two more the percentiles."""
+    return column_profile(df, cols, pcts)[0]
+
+
+def column_profile(df: DataFrame, cols=MONEY_COLS, pcts=DESCRIBE_PCTS, quartiles: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """D8 and, with ``quartiles``, the fences of D9 (column, q1, q3, iqr, lower,
+    upper), from the same three passes."""
+    cols = list(cols)
+    b = Buckets(long_form(df.select(*cols), cols), "value", ["column"], moments=True)
     names = {f"p{int(round(p * 100))}": p for p in pcts}
-    qs = quantile_row(lf, "value", names, by=["column"])
-    return mom.join(F.broadcast(qs), "column").select(
-        "column", "count", "mean", "std", "min", *names.keys(), "max")
+    qs = b.quantile_row(names | ({"_q1": 0.25, "_q3": 0.75} if quartiles else {}))
+    if quartiles:
+        from ..sources.files import cut_lineage
+        qs = cut_lineage(qs, "column-quantiles")  # a row per column, read by both
+    described = b.moments().join(F.broadcast(qs), "column").select("column", "count", "mean", "std", "min", *names.keys(), "max")
+    return described, _fences(qs.select("column", F.col("_q1").alias("q1"), F.col("_q3").alias("q3"))) if quartiles else None
 
 
-def iqr_outliers(df: DataFrame, cols=MONEY_COLS) -> DataFrame:
+def _fences(q: DataFrame) -> DataFrame:
+    return (q.withColumn("iqr", F.col("q3") - F.col("q1"))
+             .withColumn("lower", F.col("q1") - 1.5 * F.col("iqr"))
+             .withColumn("upper", F.col("q3") + 1.5 * F.col("iqr")))
+
+
+def iqr_outliers(df: DataFrame, cols=MONEY_COLS, fences: DataFrame | None = None) -> DataFrame:
     """Q1, Q3, IQR, fences (1.5·IQR) and strict outlier count / % (2 dp
-    in the reference print; full precision here)."""
-    lf = long_form(df.select(*cols), list(cols))
-    q = (quantile_row(lf, "value", {"q1": 0.25, "q3": 0.75}, by=["column"])
-         .withColumn("iqr", F.col("q3") - F.col("q1"))
-         .withColumn("lower", F.col("q1") - 1.5 * F.col("iqr"))
-         .withColumn("upper", F.col("q3") + 1.5 * F.col("iqr")))
-    cnt = (lf.join(F.broadcast(q.select("column", "lower", "upper")), "column")
-             .groupBy("column")
-             .agg(F.count(F.lit(1)).alias("_n"),
-                  F.count_if((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")))
-                   .alias("n_outliers")))
-    return (q.join(cnt, "column")
-             .select("column", "q1", "q3", "iqr", "lower", "upper", "n_outliers",
-                     (F.col("n_outliers") * 100.0 / F.col("_n")).alias("outlier_pct")))
+    in the reference print; full precision here).  ``fences`` from
+    ``column_profile`` save the three passes of the quartiles; the counts are one
+    aggregate with two columns per column, so rows are not unpivoted for them."""
+    from ..sources.files import cut_lineage
+    cols = list(cols)
+    if fences is None:
+        fences = cut_lineage(_fences(quantile_row(long_form(df.select(*cols), cols), "value", {"q1": 0.25, "q3": 0.75}, by=["column"])), "fences")
+    wide = fences.agg(*[F.max(F.when(F.col("column") == c, F.col(s))).alias(f"{s}__{c}") for c in cols for s in ("lower", "upper")])
+    counts = df.select(*cols).crossJoin(F.broadcast(wide)).agg(F.count(F.lit(1)).alias("_n"), *[  # one row
+        F.count_if((F.col(c) < F.col(f"lower__{c}")) | (F.col(c) > F.col(f"upper__{c}"))).alias(f"o__{c}") for c in cols])
+    long = counts.select("_n", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"o__{c}").alias("n_outliers")) for c in cols])).alias("_r")).select("_n", "_r.*")
+    return (fences.join(F.broadcast(long), "column")  # a row per column
+            .select("column", "q1", "q3", "iqr", "lower", "upper", "n_outliers", (F.col("n_outliers") * 100.0 / F.col("_n")).alias("outlier_pct")))
 
 
 def eda_errors(df: DataFrame) -> DataFrame:
@@ -159,11 +172,11 @@ def eda_errors(df: DataFrame) -> DataFrame:
 def balance_consistency(df: DataFrame) -> DataFrame:
     """Per error column, non-zero count / % and describe statistics."""
     e = eda_errors(df)
-    desc = numeric_describe(e, ["errorOrig", "errorDest"], [0.25, 0.5, 0.75])
-    lf = long_form(e.select("errorOrig", "errorDest"), ["errorOrig", "errorDest"])
-    nz = lf.groupBy("column").agg(F.count_if(F.col("value") != 0).alias("nonzero_count"),
-                                  (F.avg(as_flag(F.col("value") != 0)) * 100).alias("nonzero_pct"))
-    return desc.join(nz, "column")
+    cols = ["errorOrig", "errorDest"]
+    desc = numeric_describe(e, cols, [0.25, 0.5, 0.75])
+    nz = _stack_agg(e.agg(*[x for c in cols for x in (F.count_if(F.col(c) != 0).alias(f"n__{c}"), (F.avg(as_flag(F.col(c) != 0)) * 100).alias(f"p__{c}"))]),
+                    cols, {"nonzero_count": "n", "nonzero_pct": "p"})
+    return desc.join(F.broadcast(nz), "column")  # a row per column
 
 
 def error_by_class(df: DataFrame, label: str = TARGET) -> DataFrame:
@@ -180,20 +193,42 @@ def error_by_class(df: DataFrame, label: str = TARGET) -> DataFrame:
 
 # --- D12 - D19, S1 - S3, U2 -------------------------------------------------
 
-def _distinct(c: str, approx: bool) -> Column:
-    return F.approx_count_distinct(c, 0.01) if approx else F.count_distinct(c)
+def entity_counts(df: DataFrame, col: str) -> DataFrame:
+    """(entity, txn_count): what D12, S1 and U2 count, summed in the tasks first."""
+    return df.groupBy(F.col(col).alias("entity")).agg(F.count(F.lit(1)).alias("txn_count"))
+
+
+def _n_distinct(df: DataFrame, col: str, name: str, approx: bool = False) -> DataFrame:
+    """One row: distinct non-null values, each column in an aggregate of its own
+    (several exact distinct counts in one would copy every row per column)."""
+    if approx:
+        return df.agg(F.approx_count_distinct(col, 0.01).alias(name))
+    return entity_counts(df, col).agg(F.count("entity").alias(name))
 
 
 def entity_stats(df: DataFrame, cols=("nameOrig", "nameDest"), approx: bool = False) -> DataFrame:
-    """Distinct entities and average transactions per entity (exact
-    ``count_distinct``; ``approx=True`` uses HyperLogLog++ sketches, which
+    """Distinct entities and average transactions per entity (exact, from the
+    counts per entity; ``approx=True`` uses HyperLogLog++ sketches, which
     merge map-side and never shuffle the keys)."""
-    row = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[_distinct(c, approx).alias(f"u__{c}") for c in cols])
-    return row.select("_n", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"u__{c}").alias("n_unique")) for c in cols
-    ])).alias("_r")).select("_r.column", "_r.n_unique",
-                            (F.col("_n") / F.col("_r.n_unique")).alias("avg_txn_per_entity"))
+    def one(c):
+        if approx:
+            row = df.agg(F.count(F.lit(1)).alias("_n"), F.approx_count_distinct(c, 0.01).alias("n_unique"))
+        else:
+            row = entity_counts(df, c).agg(F.sum("txn_count").alias("_n"), F.count("entity").alias("n_unique"))
+        return row.select(F.lit(c).alias("column"), "n_unique", (F.col("_n") / F.col("n_unique")).alias("avg_txn_per_entity"))
+
+    return reduce(DataFrame.unionAll, [one(c) for c in cols])
+
+
+def entity_profile(df: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """D12, S1 of both sides and U2 from two written tables of counts."""
+    from ..sources.files import cut_lineage
+    s, r = (cut_lineage(entity_counts(df, c), c) for c in ("nameOrig", "nameDest"))
+    stats = reduce(DataFrame.unionAll, [t.agg(F.sum("txn_count").alias("_n"), F.count("entity").alias("n_unique")).select(
+        F.lit(c).alias("column"), "n_unique", (F.col("_n") / F.col("n_unique")).alias("avg_txn_per_entity")) for c, t in (("nameOrig", s), ("nameDest", r))])
+    top = [t.select(F.col("entity").alias(c), "txn_count").orderBy(F.desc("txn_count"), F.asc(c)).limit(n) for c, t in (("nameOrig", s), ("nameDest", r))]
+    both = s.where("entity is not null").join(r.select("entity"), "entity", "left_semi").agg(F.count(F.lit(1)).alias("overlap_count"))
+    return stats, *top, both
 
 
 def top_entities(df: DataFrame, col: str, n: int = 10) -> DataFrame:
@@ -258,29 +293,33 @@ def type_stacked_counts(df: DataFrame, label: str = TARGET) -> DataFrame:
 
 
 def histogram(df: DataFrame, value, by=(), bins: int = HIST_BINS, positive_only: bool = False,
-              density: bool = False) -> DataFrame:
+              density: bool = False, ranges: DataFrame | None = None) -> DataFrame:
     """``bins`` equal-width bins between the data min and max per
     group (NumPy semantics: the max falls in the last bin).  With
     ``positive_only`` the histogram uses x > 0 when any exists, else all rows
-    (D16 / B8).  Empty bins are emitted with count 0.  The per-group range
-    table is bounded by #groups and broadcast."""
+    (D16 / B8).  Empty bins are emitted with count 0.  One pass finds the ranges
+    (or the caller has them: by..., _lo, _hi, _n), one counts.  ``by`` must be a
+    low-cardinality grouping: the table of ranges, a row per group, is broadcast."""
+    from ..sources.files import cut_lineage
     by = list(by)
     x = (F.col(value) if isinstance(value, str) else value).cast("double")
     base = df.select(*by, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    if positive_only:
-        has_pos = base.groupBy(*by).agg(F.max(as_flag(F.col("_x") > 0)).alias("_hp"))
-        base = (base.join(F.broadcast(has_pos), by) if by else base.crossJoin(F.broadcast(has_pos)))
-        base = base.where((F.col("_hp") == 0) | (F.col("_x") > 0)).drop("_hp")
-    rng = base.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
-                                F.count(F.lit(1)).alias("_n"))
+    if ranges is None:
+        pos = F.when(F.col("_x") > 0, F.col("_x"))
+        some = F.count(pos) > 0 if positive_only else F.lit(False)
+        ranges = base.groupBy(*by).agg(
+            F.when(some, F.min(pos)).otherwise(F.min("_x")).alias("_lo"), F.max("_x").alias("_hi"),
+            F.when(some, F.count(pos)).otherwise(F.count(F.lit(1))).alias("_n"), some.alias("_positive"))
+    else:
+        ranges = ranges.withColumn("_positive", F.lit(False))
     # NumPy widens an empty range to [lo - 0.5, hi + 0.5].
-    rng = (rng.withColumn("_lo2", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo") - 0.5)
-                                   .otherwise(F.col("_lo")))
-              .withColumn("_hi2", F.when(F.col("_lo") == F.col("_hi"), F.col("_hi") + 0.5)
-                                   .otherwise(F.col("_hi")))
-              .withColumn("_w", (F.col("_hi2") - F.col("_lo2")) / bins))
-    small = F.broadcast(rng.select(*by, "_lo2", "_w"))
-    j = base.join(small, by) if by else base.crossJoin(small)
+    flat = F.col("_lo") == F.col("_hi")
+    rng = (ranges.withColumn("_lo2", F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")))
+                 .withColumn("_hi2", F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")))
+                 .withColumn("_w", (F.col("_hi2") - F.col("_lo2")) / bins))
+    rng = cut_lineage(rng.select(*by, "_lo2", "_w", "_n", "_positive"), "ranges")
+    small = F.broadcast(rng.select(*by, "_lo2", "_w", "_positive"))
+    j = (base.join(small, by) if by else base.crossJoin(small)).where(~F.col("_positive") | (F.col("_x") > 0))
     b = F.least(F.floor((F.col("_x") - F.col("_lo2")) / F.col("_w")), F.lit(bins - 1)).cast("int")
     counts = j.groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = rng.select(*by, "_lo2", "_w", "_n", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
@@ -308,10 +347,15 @@ def histogram_clipped(df: DataFrame, label: str = TARGET, bins: int = HIST_BINS)
     lf = e.select(label, F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).alias("value"))
         for c in ["errorOrig", "errorDest"]])).alias("_kv")).select(label, "_kv.*")
-    q = quantile_row(lf, "value", {"_p1": 0.01, "_p99": 0.99}, by=["column", label])
+    lf = lf.where(F.col("value").isNotNull())
+    b = Buckets(lf, "value", ["column", label])
+    from ..sources.files import cut_lineage
+    q = cut_lineage(b.quantile_row({"_p1": 0.01, "_p99": 0.99}), "clips")  # a row per column and class
     c = (lf.join(F.broadcast(q), ["column", label])
            .withColumn("value", F.least(F.greatest(F.col("value"), F.col("_p1")), F.col("_p99"))))
-    return histogram(c, "value", by=["column", label], bins=bins)
+    # Clipped values reach from p1 to p99, so the ranges are known.
+    ranges = q.join(b.sizes(), ["column", label]).select("column", label, F.col("_p1").alias("_lo"), F.col("_p99").alias("_hi"), "_n")
+    return histogram(c, "value", by=["column", label], bins=bins, ranges=ranges)
 
 
 def histogram_density(df: DataFrame, label: str = TARGET, bins: int = HIST_BINS) -> DataFrame:
@@ -416,16 +460,16 @@ def nan_inf_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def dataset_overview(df: DataFrame, label: str = TARGET, approx: bool = False) -> DataFrame:
     """Rows, ticks, types, senders, receivers, fraud count / %,
-    imbalance ratio (total // fraud), % of fraud that drained the sender.
-    ``approx=True`` counts distinct values with HyperLogLog++."""
-    row = df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        _distinct("step", approx).alias("n_steps"),
-        _distinct("type", approx).alias("n_types"),
-        _distinct("nameOrig", approx).alias("n_senders"),
-        _distinct("nameDest", approx).alias("n_receivers"),
-        F.sum(label).cast("bigint").alias("fraud_count"),
-        F.avg(F.when(F.col(label) == 1, as_flag(F.col("newbalanceOrig") == 0))).alias("_drain"))
+    imbalance ratio (total // fraud), % of fraud that drained the sender.  One
+    aggregate per (tick, type), a small written table, has all but the entities;
+    those are counted one aggregate each.  ``approx=True`` counts senders and
+    receivers with HyperLogLog++."""
+    from ..sources.files import cut_lineage
+    drained = F.when(F.col(label) == 1, as_flag(F.col("newbalanceOrig") == 0))
+    small = cut_lineage(df.groupBy("step", "type").agg(F.count(F.lit(1)).alias("n"), F.sum(label).cast("bigint").alias("fraud"), F.sum(drained).alias("drained"), F.count(drained).alias("known")), "overview")
+    row = small.agg(F.sum("n").alias("n_rows"), F.sum("fraud").cast("bigint").alias("fraud_count"), F.try_divide(F.sum("drained").cast("double"), F.sum("known")).alias("_drain"))
+    for t, c, name in ((small, "step", "n_steps"), (small, "type", "n_types"), (df, "nameOrig", "n_senders"), (df, "nameDest", "n_receivers")):
+        row = row.crossJoin(F.broadcast(_n_distinct(t, c, name, approx and t is df)))  # one row each
     return row.select(
         "n_rows", "n_steps", "n_types", "n_senders", "n_receivers", "fraud_count",
         (F.col("fraud_count") * 100.0 / F.col("n_rows")).alias("fraud_pct"),

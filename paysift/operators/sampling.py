@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantile import quantile_row
-from ..plans.prefix import below_quota, hash_rank
+from ..plans.prefix import below_quota, hash_ntile, hash_rank
 from ..sources.schema import TARGET
 
 SEED = 42
@@ -133,10 +133,9 @@ def with_weights(df: DataFrame, label: str = TARGET, weight_col: str = "weight")
 
 def stratified_folds(df: DataFrame, k: int = 5, label: str = TARGET, key: str = "txn_id",
                      seed: int = SEED) -> DataFrame:
-    """``fold`` = rank-in-class mod k (fold sizes differ by at most one,
-    first folds larger), usable as ``CrossValidator(foldCol=...)``."""
-    r = hash_rank(df, [label], key, seed, "fold")
-    return r.withColumn("fold", F.pmod(F.col("_rank"), F.lit(k)).cast("int")).drop("_rank")
+    """``fold`` = k-tile of the class in hash order (fold sizes differ by at
+    most one, first folds larger), usable as ``CrossValidator(foldCol=...)``."""
+    return hash_ntile(df, k, [label], key, seed, "fold", "fold")
 
 
 def rebalance_ratio(df: DataFrame, ratio: float, label: str = TARGET, key: str = "txn_id",

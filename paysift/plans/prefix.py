@@ -80,3 +80,36 @@ def below_quota(df: DataFrame, quota: DataFrame, by=(), key: str = "txn_id", see
     out = rows.join(F.broadcast(bound), same(rows, bound), "left")  # a row per group
     below = F.col("_bh").isNull() | (F.col("_h") < F.col("_bh")) | ((F.col("_h") == F.col("_bh")) & (F.col(key) < F.col("_bk")))
     return out.withColumn("_in", below).select(*df.columns, "_in")
+
+
+def hash_ntile(df: DataFrame, k: int, by=(), key: str = "txn_id", seed=42, salt: str = "rank", name: str = "tile") -> DataFrame:
+    """Adds ``name`` (0..k-1): the k-tile of each row within ``by`` in hash order, as
+    ``ntile(k) OVER (PARTITION BY by ORDER BY h, key) - 1`` (sizes differ by one at
+    most, the first ones are larger).
+
+    As in ``below_quota`` no wide row is shuffled: bucket counts locate the k - 1
+    first rows of the later tiles, only the keys of those buckets are ranked, and
+    all rows are compared in place with their group's bounds."""
+    by = list(by)
+    same = lambda a, b: reduce(and_, [a[c].eqNullSafe(b[f"_q_{c}"]) for c in by], F.lit(True))
+    named = lambda t, *more: t.select(*[F.col(c).alias(f"_q_{c}") for c in by], *more)
+    d = with_hash(df.select(*by, key), key, seed, salt).withColumn("_b", F.substring("_h", 1, BUCKET_HEX))
+    counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_bn"))
+    upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = (counts.withColumn("_off", F.sum("_bn").over(upto) - F.col("_bn"))
+                    .withColumn("_n", F.sum("_bn").over(Window.partitionBy(*by))))
+    first = F.expr(f"t * (_n div {k}) + least(t, _n % {k})")
+    cut = (counts.withColumn("t", F.explode(F.array(*[F.lit(t).cast("long") for t in range(1, k)]))).withColumn("_first", first)
+                 .where("_off <= _first and _first < _off + _bn")
+                 .select(*by, "t", F.col("_b").alias("_qb"), (F.col("_first") - F.col("_off")).alias("_k")))
+    wanted = F.broadcast(named(cut, "t", "_qb", "_k"))  # k - 1 rows per group
+    buckets = F.broadcast(named(cut, "_qb").distinct())
+    place = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", key)) - 1
+    inside = d.join(buckets, same(d, buckets) & (F.col("_b") == F.col("_qb")), "left_semi").withColumn("_i", place)
+    hit = inside.join(wanted, same(inside, wanted) & (F.col("_b") == F.col("_qb")) & (F.col("_i") == F.col("_k")))
+    at = F.struct(F.col("_h"), F.col(key))
+    bounds = named(hit.groupBy(*by).agg(*[F.max(F.when(F.col("t") == t, at)).alias(f"_t{t}") for t in range(1, k)]), *[f"_t{t}" for t in range(1, k)])
+    rows = with_hash(df, key, seed, salt)
+    out = rows.join(F.broadcast(bounds), same(rows, bounds), "left")  # a row per group
+    passed = [F.coalesce((at >= F.col(f"_t{t}")).cast("int"), F.lit(0)) for t in range(1, k)]
+    return out.withColumn("_tile", reduce(lambda a, b: a + b, passed, F.lit(0))).select(*df.columns, F.col("_tile").cast("int").alias(name))

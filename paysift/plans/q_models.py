@@ -41,7 +41,7 @@ def _written(spark, sf, name, build):
 
 def feature_table(spark, sf):
     """The feature matrix."""
-    return _written(spark, sf, "features", lambda: FE.feature_matrix(transactions(spark, sf)))
+    return _written(spark, sf, "features", lambda: FE.feature_matrix(IO.cut_lineage(transactions(spark, sf), "transactions")))
 
 
 def training_sets(spark, sf):
@@ -539,7 +539,15 @@ def adversarial_examples(spark, sf):
                .select("txn_id", "amount", "balance_diff_orig", "score").limit(5))
 
 
-@register("top_feature_corr", rounded=False)
+_TOP_CORR_SQL = f"""WITH {_fm_cte()},
+l AS (UNPIVOT (SELECT txn_id, isFraud, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURE_COLUMNS)} FROM fm) ON {", ".join(FEATURE_COLUMNS)} INTO NAME f VALUE x),
+r AS (SELECT f, corr(x, isFraud) AS c FROM l GROUP BY f HAVING stddev_pop(x) > 0),
+t AS (SELECT f, row_number() OVER (ORDER BY abs(c) DESC, f) - 1 AS i FROM r ORDER BY i LIMIT 15),
+v AS (SELECT txn_id, f, i, x FROM l JOIN t USING (f) UNION ALL SELECT txn_id, '{TARGET}', 15, isFraud FROM fm)
+SELECT a.f AS col_a, b.f AS col_b, CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, corr(a.x, b.x) AS r FROM v a JOIN v b USING (txn_id) GROUP BY ALL"""
+
+
+@register("top_feature_corr", rnd(_TOP_CORR_SQL, "r"))
 def top_feature_corr(spark, sf):
     """Correlation matrix (long form) of the 15 features most
     correlated with the target, plus the target."""

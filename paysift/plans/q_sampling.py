@@ -68,7 +68,7 @@ def class_weights(spark, sf):
 
 
 @register("stratified_folds", with_txn(f"""
-SELECT txn_id, isFraud, CAST(({_rank_sql('fold')}) % 5 AS INT) AS fold FROM transactions"""))
+SELECT txn_id, isFraud, CAST(ntile(5) OVER (PARTITION BY isFraud ORDER BY md5(concat_ws('|', txn_id, '42', 'fold')), txn_id) - 1 AS INT) AS fold FROM transactions"""))
 def stratified_folds(spark, sf):
     """5 stratified folds."""
     return S.stratified_folds(transactions(spark, sf), 5).select("txn_id", "isFraud", "fold")
