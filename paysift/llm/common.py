@@ -42,6 +42,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(written: DataFrame) -> None:
+    """Removes the folder of a table from ``save`` that no later plan reads."""
+    spark = written.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` and a row number column whose name none of its columns has."""
     name, taken = "_row", {c.lower() for c in docs.columns}
@@ -236,6 +244,29 @@ def window_argmin(h: np.ndarray, w: int) -> np.ndarray:
     return best
 
 
+def lanes(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes (little endian) from each place of ``buf`` on, which ends
+    with 8 spare bytes."""
+    out = np.empty(len(buf) - 7, np.uint64)
+    for o in range(min(8, len(out))):
+        part = buf[o:o + (len(buf) - o) // 8 * 8].view("<u8")
+        out[o::8] = part[:len(out[o::8])]
+    return out
+
+
+def same_bytes(word: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Are the ``size`` bytes from a and from b on equal?  ``word``: lanes."""
+    equal, open_, j = np.ones(len(a), bool), np.arange(len(a)), 0
+    while len(open_):
+        left = size[open_] - j
+        mask = np.where(left >= 8, ~np.uint64(0), (np.uint64(1) << (np.uint64(8) * np.clip(left, 0, 7).astype(np.uint64))) - np.uint64(1))
+        differ = ((word[a[open_] + j] ^ word[b[open_] + j]) & mask) != 0
+        equal[open_[differ]] = False
+        open_ = open_[~differ & (left > 8)]
+        j += 8
+    return equal
+
+
 # ---------------------------------------------------------------- bit filters
 
 def bit_filter(hashes: DataFrame, bits: int):

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM_MASK, SEGMENT, prepare, save, segments, text_buffers
+from .common import ALNUM_MASK, SEGMENT, lanes, prepare, same_bytes, save, segments, text_buffers
 
 _P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]  # xxHash's fixed primes
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -49,16 +49,6 @@ _FOLD[0x41:0x5B] += 0x20
 RESULT = ["n_features", "n_words", "weight", "score", "rank"]
 
 
-def lanes(buf: np.ndarray) -> np.ndarray:
-    """The 8 bytes (little endian) from each place of ``buf`` on, which ends
-    with 8 spare bytes."""
-    out = np.empty(len(buf) - 7, np.uint64)
-    for o in range(min(8, len(out))):
-        part = buf[o:o + (len(buf) - o) // 8 * 8].view("<u8")
-        out[o::8] = part[:len(out[o::8])]
-    return out
-
-
 def _rotl(x, n: int):
     return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
 
@@ -90,19 +80,6 @@ def xxhash64(buf: np.ndarray, word: np.ndarray, s: np.ndarray, size: np.ndarray)
     return out
 
 
-def same_bytes(word: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Are the ``size`` bytes from a and from b on equal?"""
-    equal, open_, j = np.ones(len(a), bool), np.arange(len(a)), 0
-    while len(open_):
-        left = size[open_] - j
-        mask = np.where(left >= 8, ~np.uint64(0), (np.uint64(1) << (np.uint64(8) * np.clip(left, 0, 7).astype(np.uint64))) - np.uint64(1))
-        differ = ((word[a[open_] + j] ^ word[b[open_] + j]) & mask) != 0
-        equal[open_[differ]] = False
-        open_ = open_[~differ & (left > 8)]
-        j += 8
-    return equal
-
-
 class Table:
     """Open-addressed table of the byte strings buf[s:s + size]; ``slot``: the
     slot of each occurrence, ``bucket`` and ``count``: of each slot."""

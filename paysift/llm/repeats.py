@@ -9,11 +9,14 @@ keys wherever they stand.  How anchors are chosen is the operators' own method.
 2. The documents are read again.  Runs of windows whose anchor may repeat leave
    the scan as one row per distinct (key, content) and batch, with the list of
    their places: copies inside a batch are one row before the shuffle.
-3. Rows are dealt by key and sorted by key and first place.  One pass keeps the
-   windows seen so far of the current key: a window seen before, in an earlier
-   place, is a repeat.  Keys among the ``hot_keys`` most frequent are dealt by
-   window, not by key, so a passage in a third of all documents is spread over
-   its distinct surroundings, and equal windows have met in the scan.
+3. Rows are dealt and sorted by key.  Whole groups, some at a time, are split by
+   the windows' bytes, eight at a time and most significant first; groups of one
+   end at each pass, and what is left are the equal windows, compared on all
+   their bytes (``equal_windows``).  A window that is not the earliest of its
+   group is a repeat.  Keys that occur ``hot_rows`` times or more (a second bit
+   filter of a fixed size; a false hit only splits a key that needn't be) are
+   dealt by window, not by key, so a passage in a third of all documents is
+   spread over its distinct surroundings, and equal windows have met in the scan.
 4. Spans go back to their documents, which are read a third time; only those
    with spans (by a filter of fixed size) are shuffled.
 
@@ -31,10 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, in_filter, mix, prepare, save, segments, signed, text_buffers
+from .common import bit_filter, discard, in_filter, lanes, mix, prepare, same_bytes, save, segments, signed, text_buffers
 
 #: Stands for a null id in comparisons.
 NULL_ID = -(1 << 63)
+#: A span is one long: its start, and its length in so many low bits.
+LENGTH = 20
+#: Windows sorted at a time (whole groups, so one group may be larger).
+WINDOWS = 1 << 19
 
 
 @dataclass
@@ -78,9 +85,71 @@ def _keys(docs: DataFrame, anchors, text_col: str, across: bool) -> DataFrame:
     return (docs.select(F.col(text_col)).mapInArrow(scan, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
 
 
+def _dense(new: np.ndarray) -> np.ndarray:
+    return np.cumsum(new) - 1
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """First rows of runs of equal entries in sorted columns."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
+
+
+def equal_windows(key, content, id0, at0, raw, off, width: int, step: int):
+    """Rows of one key (sorted) are a group: (row, first window, last window + 1,
+    id and shift of the earliest place) of each stretch of windows with one
+    earliest place.  Window j of row i is the ``width`` bytes (8 at least) from
+    j x ``step`` on in raw[off[i]:off[i + 1]]; it stands at at0[i] + j in document
+    id0[i].  Rows of one text (found by ``content``, a hash, and compared) are
+    looked at once.  A key with one text needs no passes: the windows of a text
+    have one anchor, so they differ from each other."""
+    size = np.diff(off)
+    word = lanes(np.concatenate([raw[:off[-1]], np.zeros(8, np.uint8)]))
+    order = np.lexsort((at0, id0, size, content, key))
+    new = _heads(key[order], content[order], size[order])
+    text, first = _dense(new), order[new]
+    differ = ~same_bytes(word, off[order], off[first[text]], size[order])
+    text[differ] = len(first) + np.arange(differ.sum())  # their hash is equal by chance: texts of their own
+    of = np.empty(len(key), np.int64)  # each row's text
+    of[order] = text
+    head = np.concatenate([first, order[differ]])  # the earliest row of each text
+    n = (size[head] - width) // step + 1
+    group = _dense(_heads(key))[head]
+    some = np.bincount(group, minlength=1)[group] > 1
+    several, one = np.flatnonzero(some), np.flatnonzero(~some)
+    t = np.repeat(several, n[several])
+    j = np.arange(len(t)) - np.repeat(np.cumsum(n[several]) - n[several], n[several])
+    at = off[head[t]] + j * step
+    left, g = np.arange(len(t)), group[t]
+    for digit in [*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]:
+        lane = word[at[left] + digit]
+        by = np.lexsort((lane, g))
+        g, left = _dense(_heads(g[by], lane[by])), left[by]
+        keep = np.bincount(g, minlength=1)[g] > 1
+        left, g = left[keep], g[keep]
+    gid, gat = id0[head[t]], at0[head[t]]
+    by = np.lexsort(((gat + j)[left], gid[left], g))
+    left, g = left[by], g[by]
+    least = left[_heads(g)][_dense(_heads(g))] if len(g) else left
+    gid[left], gat[left] = id0[head[t[least]]], at0[head[t[least]]] + j[least] - j[left]
+    begin = np.flatnonzero(_heads(t, gid, gat))
+    end = np.append(begin[1:], len(t))[:len(begin)] - 1
+    join = lambda *x: np.concatenate(x).astype(np.int64)
+    found = (join(t[begin], one), join(j[begin], np.zeros(len(one))), join(j[end] + 1, n[one]), join(gid[begin], id0[head[one]]), join(gat[begin], at0[head[one]]))
+    # Every row has the stretches of its text.
+    by = np.argsort(found[0], kind="stable")
+    count = np.bincount(found[0], minlength=len(head))
+    from_ = np.cumsum(count) - count
+    row = np.repeat(np.arange(len(key)), count[of])
+    pick = by[np.arange(len(row)) - np.repeat(np.cumsum(count[of]) - count[of], count[of]) + from_[of[row]]]
+    return (row, *[x[pick] for x in found[1:]])
+
+
 def repeated_spans(docs: DataFrame, row_col: str, anchors, size: int, id_col: str, text_col: str, across: bool, width: int,
-                   step: int, filter_bits: int = 1 << 28, hot_keys: int = 10_000, hot_rows: int = 2_000) -> DataFrame:
-    """(_row, start, end) of spans covered by a window of ``size`` that also
+                   step: int, filter_bits: int = 1 << 28, hot_bits: int = 1 << 24, hot_rows: int = 2_000) -> DataFrame:
+    """(_row, span) of spans (see LENGTH) covered by a window of ``size`` that also
     starts earlier: in a document of a smaller id (``across``), or there or
     earlier in the same document.  Window j of ``Runs.windows`` is its ``width``
     bytes from j x ``step`` on.  Null ids come before all others.  ``docs`` and
@@ -88,8 +157,8 @@ def repeated_spans(docs: DataFrame, row_col: str, anchors, size: int, id_col: st
     spark = prepare(docs.sparkSession)
     keys = save(_keys(docs, anchors, text_col, across), "repeated_keys")
     known = bit_filter(keys.select("h"), filter_bits)
-    top = keys.where(F.col("n") >= hot_rows).orderBy(F.desc("n"), "h").limit(hot_keys).select("h").toArrow()
-    hot = spark.sparkContext.broadcast(np.sort(top.column(0).to_numpy().view(np.uint64)) if top.num_rows else np.zeros(0, np.uint64))
+    hot = bit_filter(keys.where(F.col("n") >= hot_rows).select("h"), hot_bits)
+    discard(keys)
 
     def scan(batches) -> Iterator[pa.RecordBatch]:
         bitmap, frequent = known.value, hot.value
@@ -102,7 +171,7 @@ def repeated_spans(docs: DataFrame, row_col: str, anchors, size: int, id_col: st
                 runs = anchors(raw, offsets, lo, hi)
                 keep = np.flatnonzero(in_filter(bitmap, runs.key))
                 row, key, start, count, content = runs.take(keep)
-                is_hot = np.isin(key, frequent)
+                is_hot = in_filter(frequent, key)
                 texts.append((runs, keep))
                 src = np.arange(len(keep))
                 first = np.zeros(len(keep), np.int64)
@@ -138,61 +207,54 @@ def repeated_spans(docs: DataFrame, row_col: str, anchors, size: int, id_col: st
             for a in range(0, len(heads), 100_000):
                 b = min(a + 100_000, len(heads))
                 m = slice(ends[a], ends[b])
-                lists = [pa.ListArray.from_arrays(pa.array((ends[a:b + 1] - ends[a]).astype(np.int32)), pa.array(x[m])) for x in (ids[row], lines[row], start)]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key[heads[a:b]])), pa.array(ids[row[heads[a:b]]]), pa.array(start[heads[a:b]]), pa.array(text[a:b], pa.binary()), *lists],
-                                                 ["key", "id0", "at0", "text", "ids", "lines", "places"])
+                triples = np.stack((ids[row[m]], lines[row[m]], start[m]), 1).reshape(-1)
+                places = pa.ListArray.from_arrays(pa.array(((ends[a:b + 1] - ends[a]) * 3).astype(np.int32)), pa.array(triples))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key[heads[a:b]])), pa.array(signed(content[heads[a:b]])), pa.array(text[a:b], pa.binary()), places],
+                                                 ["key", "content", "text", "places"])
+
+    def spans(batch) -> pa.RecordBatch:
+        """Repeats of whole groups (sorted by key)."""
+        key, content = (batch.column(i).to_numpy() for i in range(2))
+        raw, off = text_buffers(batch.column(2))
+        start = batch.column(3).offsets.to_numpy().astype(np.int64) // 3
+        places = batch.column(3).values.to_numpy().reshape(-1, 3)
+        id0, at0 = places[start[:-1], 0], places[start[:-1], 2]
+        i, a, b, gid, gat = equal_windows(key, content, id0, at0, raw, off, width, step)
+        n = start[i + 1] - start[i]
+        s = np.repeat(np.arange(len(i)), n)
+        place = places[np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n) + start[i][s]]
+        later = place[:, 0] > gid[s]
+        if not across:
+            later |= (place[:, 0] == gid[s]) & (place[:, 2] > gat[s])
+        s, place = s[later], place[later]
+        return pa.RecordBatch.from_arrays([pa.array(place[:, 1]), pa.array((place[:, 2] + a[s]) << LENGTH | (b - a)[s] - 1 + size)], ["_row", "span"])
 
     def judge(batches) -> Iterator[pa.RecordBatch]:
-        current, seen, waiting = None, {}, None
+        held, windows = [], 0
         for batch in batches:
-            keys_, id0, at0, text = (batch.column(i).to_pylist() for i in range(4))
-            segs = []  # (row, first window, last window + 1, id and shift of the earliest place)
-            for i, key in enumerate(keys_):
-                t, gid, gat = text[i], id0[i], at0[i]
-                n = (len(t) - width) // step + 1
-                if key != current:
-                    current, seen, waiting = key, {}, (t, gid, gat, n)
-                    segs.append((i, 0, n, gid, gat))
-                    continue
-                if waiting:  # the first row of this key; noted only now that there is a second
-                    ft, fid, fat, fn = waiting
-                    for j in range(fn):
-                        seen.setdefault(ft[j * step:j * step + width], (fid, fat + j))
-                    waiting = None
-                begin, mark = 0, None
-                for j in range(n):
-                    gi, ga = seen.setdefault(t[j * step:j * step + width], (gid, gat + j))
-                    now = (gi, ga - j)
-                    if now != mark:
-                        if mark:
-                            segs.append((i, begin, j, *mark))
-                        begin, mark = j, now
-                segs.append((i, begin, n, *mark))
-            if not segs:
+            held.append(batch)
+            windows += (batch.column(2).nbytes - batch.num_rows * width) // step + batch.num_rows
+            if windows < WINDOWS:
                 continue
-            i, a, b, gid, gat = (np.array(x, np.int64) for x in zip(*segs, strict=True))
-            lists = [batch.column(k) for k in (4, 5, 6)]
-            off = lists[0].offsets.to_numpy().astype(np.int64)
-            ids, lines, places = (x.values.to_numpy() for x in lists)
-            n = off[i + 1] - off[i]
-            s = np.repeat(np.arange(len(i)), n)
-            at = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n) + off[i][s]
-            later = ids[at] > gid[s]
-            if not across:
-                later |= (ids[at] == gid[s]) & (places[at] > gat[s])
-            s, at = s[later], at[later]
-            yield pa.RecordBatch.from_arrays([pa.array(lines[at]), pa.array(places[at] + a[s]), pa.array(places[at] + b[s] - 1 + size)], ["_row", "start", "end"])
+            batch = pa.concat_batches(held)
+            key = batch.column(0).to_numpy()
+            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
+            if cut:
+                yield spans(pa.concat_batches([batch.slice(0, cut)]))
+            held, windows = [pa.concat_batches([batch.slice(cut)])], 0
+        if held:
+            yield spans(pa.concat_batches(held))
 
     rows = docs.select(F.col(row_col).alias("_row"), F.col(id_col), F.col(text_col)).mapInArrow(
-        scan, "key long, id0 long, at0 long, text binary, ids array<long>, lines array<long>, places array<long>")
-    return rows.repartition("key").sortWithinPartitions("key", "id0", "at0").mapInArrow(judge, "_row long, start long, end long")
+        scan, "key long, content long, text binary, places array<long>")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(judge, "_row long, span long")
 
 
 def finish(docs: DataFrame, row_col: str, spans: DataFrame, measure, schema: str, text_col: str, filter_bits: int = 1 << 24) -> DataFrame:
     """``measure(text bytes, merged spans) -> tuple`` (of ``schema``) per row of
     ``docs``, with its ``_row`` and other columns (one with the name of a result
     is replaced)."""
-    spans = save(spans.groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("_spans")), "spans")
+    spans = save(spans.groupBy("_row").agg(F.collect_list("span").alias("_spans")), "spans")
     known = bit_filter(spans.select(F.col("_row").alias("_r"), F.xxhash64("_row").alias("h")).select("h"), filter_bits)
     names = [x.split()[0] for x in schema.split(", ")]
     others = [c for c in docs.columns if c not in (text_col, row_col, "_row", "_text", "_h", "_spans", *names)]
@@ -223,7 +285,7 @@ def finish(docs: DataFrame, row_col: str, spans: DataFrame, measure, schema: str
     def cut(batches):
         for batch in batches:
             col = batch.column("_spans")
-            yield out(batch, range(batch.num_rows), lambda i, col=col: [(x["start"], x["end"]) for x in col[i].as_py() or []])
+            yield out(batch, range(batch.num_rows), lambda i, col=col: [(x >> LENGTH, (x >> LENGTH) + (x & (1 << LENGTH) - 1)) for x in col[i].as_py() or []])
 
     untouched = base.mapInArrow(clean, head + schema)
     touched = base.mapInArrow(forward, base.schema).join(spans, "_row", "left").mapInArrow(cut, head + schema)

@@ -1,14 +1,16 @@
 """Exact substring removal by a depth-limited radix sort (operator 6).
 
 Repeated byte strings of ``SIZE`` bytes across documents.  The suffixes that
-matter are sorted only through ``SIZE`` bytes, most significant digit first:
+matter are sorted only through ``SIZE`` bytes, digit by digit:
 
-* The first digit of a window is the 16-byte string of least hash in it (its
-  anchor), so equal windows fall into one group and only one suffix in 18 has
-  to be dealt out.  Groups of one end here (``repeats``, passes 1 and 2).
-* Inside a group, the windows' bytes through the threshold are the remaining
-  digits; they are told apart on the bytes themselves.  Equal groups are
-  exactly the repeated windows.
+* The first digit of a window is the ``DIGIT``-byte string of least hash in it
+  (its anchor), so equal windows fall into one group and only one suffix in 18
+  has to be dealt out.  Groups of one end here (``repeats``, steps 1 and 2), so
+  no bytes are sent for them.
+* Inside the groups that are left, passes over the windows' bytes, eight at a
+  time and most significant first, sort and split the groups; groups of one end
+  at each pass.  Groups that are left after ``SIZE`` bytes are exactly the
+  repeated windows (``repeats.equal_windows``).
 
 Anchors of a text are found in pieces of SEGMENT bytes that overlap by a
 window, so memory doesn't grow with the text.
@@ -23,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import SEGMENT, _BYTES, _powers, mix, stored, window_argmin
+from .common import SEGMENT, _BYTES, _powers, lanes, mix, stored, window_argmin
 from .repeats import Runs, finish, repeated_spans
 
 SIZE, DIGIT = 50, 16
@@ -32,12 +34,11 @@ _C1, _C2 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 def _digits(buf: np.ndarray) -> np.ndarray:
     """Hash of the DIGIT bytes from each place on."""
-    n = len(buf) - DIGIT + 1
-    word = np.empty(len(buf) - 7, np.uint64)
-    for o in range(min(8, len(word))):
-        part = buf[o:o + (len(buf) - o) // 8 * 8].view("<u8")
-        word[o::8] = part[:len(word[o::8])]
-    return mix(word[:n] * _C1 ^ mix(word[8:8 + n] + _C2))
+    n, word = len(buf) - DIGIT + 1, lanes(buf)
+    h = mix(word[:n] * _C1)
+    for o in range(8, DIGIT, 8):
+        h = (h ^ mix(word[o:o + n] + _C2)) * _C1
+    return mix(h)
 
 
 class _Bytes(Runs):
@@ -101,9 +102,10 @@ def measure(text: np.ndarray, spans: list[tuple[int, int]]) -> tuple[int, int, i
     return len(text), len(text) - len(data), len(spans), data
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = 2_000) -> DataFrame:
     """Per row: _row, its other columns, n_bytes, n_removed, n_spans (maximal
-    removed runs) and kept (the remaining bytes)."""
+    removed runs) and kept (the remaining bytes).  Anchors that occur
+    ``hot_rows`` times or more are dealt window by window."""
     docs, row = stored(docs)
-    spans = repeated_spans(docs, row, anchors, SIZE, id_col, text_col, across=True, width=SIZE, step=1)
+    spans = repeated_spans(docs, row, anchors, SIZE, id_col, text_col, across=True, width=SIZE, step=1, hot_rows=hot_rows)
     return finish(docs, row, spans, measure, "n_bytes long, n_removed long, n_spans long, kept binary", text_col)
