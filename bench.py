@@ -97,18 +97,27 @@ def main() -> None:
     wsum = bal.agg(F.sum("weight")).first()[0]
     fits = {}
 
-    def fit(name, pipe):
+    def fit(name, pipe, rows_per_task=None):
         def run():
-            fits[name] = M.fit(pipe, bal)[0]
+            fits[name] = M.fit(pipe, bal, rows_per_task)[0]
         timed(name, run)
-    fit("lr_fit", M.logistic_pipeline(FEATURE_COLUMNS, "weight", 100, 1.0 / wsum))
+    fit("lr_fit", M.logistic_pipeline(FEATURE_COLUMNS, "weight", reg_param=1.0 / wsum), M.LR_ROWS)
     fit("rf_fit", M.forest_pipeline(FEATURE_COLUMNS, 100, 10, "weight"))
-    fit("gbt_fit", M.gbt_pipeline(FEATURE_COLUMNS, 50, 5, 0.1, "weight"))
     bal.unpersist()
 
+    # Boosted trees as registered: all training rows, 600 rounds at most of depth
+    # 6, patience 20; and the scoring of all rows by the model found.
+    from paysift.operators import boosting as B
+    from paysift.operators import trees as T
+    train = spark.read.parquet(split_path).where("split = 'train'")
+    timed("gbt_fit", lambda: fits.update(gbt=B.fit(train, FEATURE_COLUMNS, {"n_estimators": 600, "max_depth": 6})))
     n = fm.count()
+
+    def score():
+        T.add_score(fm, fits["gbt"], ["txn_id"]).write.format("noop").mode("overwrite").save()
+    score()  # warm-up, as the reference has one
     t0 = time.time()
-    R.model_scorer(fits["gbt_fit"])(fm).write.format("noop").mode("overwrite").save()
+    score()
     sc_sec = time.time() - t0
     times["gbt_score_all_rows"] = round(sc_sec, 3)
 
@@ -121,6 +130,7 @@ def main() -> None:
         "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
         "rows": n,
         "gbt_scoring_rows_per_sec": round(n / sc_sec, 1) if sc_sec > 0 else None,
+        "gbt_rounds": len(fits["gbt"].root),
         "n_train_balanced": bal.count(),
         "cpus": int(cpus),
     }))

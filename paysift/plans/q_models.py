@@ -81,7 +81,7 @@ def _scored(spark, sf, rows, name="boosted_trees"):
 def _fit_lr(spark, sf):
     train, test, bal = training_sets(spark, sf)
     wsum = bal.agg(F.sum("weight")).first()[0]
-    m, _ = M.fit(M.logistic_pipeline(FEATURE_COLUMNS, "weight", reg_param=1.0 / wsum), bal)
+    m, _ = M.fit(M.logistic_pipeline(FEATURE_COLUMNS, "weight", reg_param=1.0 / wsum), bal, M.LR_ROWS)
     return m, train, test, bal
 
 
@@ -165,7 +165,7 @@ def validated_thresholds(spark, sf):
     parts = _written(spark, sf, "validation", lambda: S.stratified_folds(train, 5, seed=M.SEED + 2).withColumn("valid", F.col("fold") == 0).drop("fold"))
     fit, valid = parts.where("not valid").drop("valid"), parts.where("valid").drop("valid")
     bal = _written(spark, sf, "fit_balanced", lambda: S.with_weights(S.undersample(fit, 3)))
-    lr, _ = M.fit(M.logistic_pipeline(FEATURE_COLUMNS, "weight", reg_param=1.0 / bal.agg(F.sum("weight")).first()[0]), bal)
+    lr, _ = M.fit(M.logistic_pipeline(FEATURE_COLUMNS, "weight", reg_param=1.0 / bal.agg(F.sum("weight")).first()[0]), bal, M.LR_ROWS)
     rf, _ = M.fit(M.forest_pipeline(FEATURE_COLUMNS, weight_col="weight"), bal)
     boosted = B.fit(fit, FEATURE_COLUMNS, _BOOST)
 
