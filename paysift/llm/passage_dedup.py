@@ -162,7 +162,7 @@ def measure(text: np.ndarray, spans: list[tuple[int, int]]) -> tuple[int, int, b
     return len(s), len(s) - int(keep.sum()), kept
 
 
-def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = 2_000) -> DataFrame:
+def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = 4_000) -> DataFrame:
     """Per row: _row, its other columns, n_words, n_removed, kept (the words
     that stay, joined by one space, as UTF-8).  Anchors that occur ``hot_rows``
     times or more are dealt window by window."""

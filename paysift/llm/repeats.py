@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, discard, in_filter, lanes, mix, prepare, same_bytes, save, segments, signed, text_buffers
+from .common import bit_filter, discard, in_filter, lanes, mix, prepare, same_bytes, save, segments, signed, span_hash, text_buffers
 
 #: Stands for a null id in comparisons.
 NULL_ID = -(1 << 63)
@@ -148,7 +148,7 @@ def equal_windows(key, content, id0, at0, raw, off, width: int, step: int):
 
 
 def repeated_spans(docs: DataFrame, row_col: str, anchors, size: int, id_col: str, text_col: str, across: bool, width: int,
-                   step: int, filter_bits: int = 1 << 28, hot_bits: int = 1 << 24, hot_rows: int = 2_000) -> DataFrame:
+                   step: int, filter_bits: int = 1 << 28, hot_bits: int = 1 << 24, hot_rows: int = 4_000) -> DataFrame:
     """(_row, span) of spans (see LENGTH) covered by a window of ``size`` that also
     starts earlier: in a document of a smaller id (``across``), or there or
     earlier in the same document.  Window j of ``Runs.windows`` is its ``width``
@@ -209,17 +209,16 @@ def repeated_spans(docs: DataFrame, row_col: str, anchors, size: int, id_col: st
                 m = slice(ends[a], ends[b])
                 triples = np.stack((ids[row[m]], lines[row[m]], start[m]), 1).reshape(-1)
                 places = pa.ListArray.from_arrays(pa.array(((ends[a:b + 1] - ends[a]) * 3).astype(np.int32)), pa.array(triples))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key[heads[a:b]])), pa.array(signed(content[heads[a:b]])), pa.array(text[a:b], pa.binary()), places],
-                                                 ["key", "content", "text", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key[heads[a:b]])), pa.array(text[a:b], pa.binary()), places], ["key", "text", "places"])
 
     def spans(batch) -> pa.RecordBatch:
         """Repeats of whole groups (sorted by key)."""
-        key, content = (batch.column(i).to_numpy() for i in range(2))
-        raw, off = text_buffers(batch.column(2))
-        start = batch.column(3).offsets.to_numpy().astype(np.int64) // 3
-        places = batch.column(3).values.to_numpy().reshape(-1, 3)
+        key = batch.column(0).to_numpy()
+        raw, off = text_buffers(batch.column(1))
+        start = batch.column(2).offsets.to_numpy().astype(np.int64) // 3
+        places = batch.column(2).values.to_numpy().reshape(-1, 3)
         id0, at0 = places[start[:-1], 0], places[start[:-1], 2]
-        i, a, b, gid, gat = equal_windows(key, content, id0, at0, raw, off, width, step)
+        i, a, b, gid, gat = equal_windows(key, span_hash(raw, off[:-1], off[1:]), id0, at0, raw, off, width, step)
         n = start[i + 1] - start[i]
         s = np.repeat(np.arange(len(i)), n)
         place = places[np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n) + start[i][s]]
@@ -233,7 +232,7 @@ def repeated_spans(docs: DataFrame, row_col: str, anchors, size: int, id_col: st
         held, windows = [], 0
         for batch in batches:
             held.append(batch)
-            windows += (batch.column(2).nbytes - batch.num_rows * width) // step + batch.num_rows
+            windows += (batch.column(1).nbytes - batch.num_rows * width) // step + batch.num_rows
             if windows < WINDOWS:
                 continue
             batch = pa.concat_batches(held)
@@ -246,7 +245,7 @@ def repeated_spans(docs: DataFrame, row_col: str, anchors, size: int, id_col: st
             yield spans(pa.concat_batches(held))
 
     rows = docs.select(F.col(row_col).alias("_row"), F.col(id_col), F.col(text_col)).mapInArrow(
-        scan, "key long, content long, text binary, places array<long>")
+        scan, "key long, text binary, places array<long>")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(judge, "_row long, span long")
 
 

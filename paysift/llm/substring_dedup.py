@@ -102,7 +102,7 @@ def measure(text: np.ndarray, spans: list[tuple[int, int]]) -> tuple[int, int, i
     return len(text), len(text) - len(data), len(spans), data
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = 2_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = 4_000) -> DataFrame:
     """Per row: _row, its other columns, n_bytes, n_removed, n_spans (maximal
     removed runs) and kept (the remaining bytes).  Anchors that occur
     ``hot_rows`` times or more are dealt window by window."""
