@@ -2,16 +2,16 @@
 only.
 
 Every rule has its own helper columns and a verdict over them.  ``plan_order``
-runs each rule alone on a bounded sample, takes its running time as cost and
+runs each rule alone on a bounded sample of the whole table, takes its running time as cost and
 its share of rejected rows as selectivity, and orders the rules by rejection
 per cost.  ``cascade`` chains them: the helper columns of a rule are computed
 only for rows that all rules before it passed.  The verdict doesn't depend on
 the order, only the work does.
 
 Nulls have no words.  Empty texts and texts of white space fail ``too_short``.
-Repeated rows are judged each on their own; other columns stay as they are
-(helper columns start with ``_q_``).  There is no shuffle: a text is judged in
-its own row.
+Repeated rows are judged each on their own.  Other columns stay as they are,
+whatever their names; one that has the name of a result (``kept``, a metric asked
+for) is replaced.  There is no shuffle: a text is judged in its own row.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import discard, save
 
 #: Word separators, as a Java pattern and as a set of characters.
 GAP = r"[\\x20\\x09-\\x0D]+"
@@ -80,11 +80,14 @@ def _base(docs: DataFrame, text_col: str) -> DataFrame:
     return _with(df, METRICS["words"] + METRICS["n_words"], None)
 
 
-def plan_order(docs: DataFrame, rules=RULES, text_col: str = "text", fraction: float = 0.02,
-               sample_rows: int = 1000) -> list[Rule]:
-    """The rules by rejection per second on at most ``sample_rows`` rows, a
-    ``fraction`` of the first partitions' rows.  Ties keep the given order."""
-    sample = save(_base(docs.select(text_col).sample(fraction, 7).limit(sample_rows), text_col), "rule_sample")
+def plan_order(docs: DataFrame, rules=RULES, text_col: str = "text", sample_rows: int = 1000) -> list[Rule]:
+    """The rules by rejection per second on ``sample_rows`` rows drawn from the
+    whole table (all rows if there are fewer).  Rows are thinned where they are
+    read, to twice the number wanted on average, so one task gets a bounded number
+    of texts, whatever the table.  Ties keep the given order."""
+    share = 2 * sample_rows / max(docs.count(), 1)
+    drawn = docs.select(F.col(text_col).alias("text"), F.rand(7).alias("_at"))
+    sample = save(_base(drawn.where(F.col("_at") < share).orderBy("_at").limit(sample_rows).select("text"), "text"), "rule_sample")
     found = []
     for rule in rules:
         run = _with(sample, METRICS.get(rule.needs, []), None).agg(F.expr(f"count_if({rule.fails})"))
@@ -92,28 +95,35 @@ def plan_order(docs: DataFrame, rules=RULES, text_col: str = "text", fraction: f
         began = time.perf_counter()
         rejected = run.collect()[0][0]
         found.append((rejected / max(time.perf_counter() - began, 1e-3), rule))
+    discard(sample)
     return [rule for _, rule in sorted(found, key=lambda x: -x[0])]
 
 
 def _judge(df: DataFrame, rules, metrics: tuple[str, ...], order: list[Rule]) -> DataFrame:
     for m in metrics:
         df = _with(df, METRICS[m], None)
-    df = df.withColumn("_q_failed", F.lit(None).cast("string"))
+    df = df.withColumn("_q_failed", F.lit(False))
     for rule in order:
         if rule.needs not in metrics:
-            df = _with(df, METRICS.get(rule.needs, []), "_q_failed is null")
-        df = df.withColumn("_q_failed", F.expr(f"case when _q_failed is not null then _q_failed when {rule.fails} then '{rule.name}' end"))
+            df = _with(df, METRICS.get(rule.needs, []), "not _q_failed")
+        df = df.withColumn("_q_failed", F.expr(f"_q_failed or coalesce({rule.fails}, false)"))
     return df
 
 
 def cascade(docs: DataFrame, rules=RULES, text_col: str = "text", metrics: tuple[str, ...] = (),
             order: list[Rule] | None = None) -> DataFrame:
-    """``docs`` and failed_rule (string, null where every rule passes) and
-    ``kept``, which replace columns of these names; ``metrics``: entries of
-    METRICS to compute for all rows."""
+    """``docs``, the ``metrics`` (names of METRICS, computed for all rows) and
+    ``kept``: no rule fails."""
     order = plan_order(docs, rules, text_col) if order is None else order
-    df = _judge(_base(docs, text_col), rules, metrics, order)
-    return df.withColumn("failed_rule", F.col("_q_failed")).withColumn("kept", F.col("_q_failed").isNull())
+    judged = _judge(_base(_whole(docs, text_col), "_text"), rules, tuple(m for m in metrics if m != "n_words"), order)
+    others = [c for c in docs.columns if c not in (*metrics, "kept")]
+    return judged.select(*[F.col("_doc").getField(c).alias(c) for c in others], *[F.col(METRICS[m][-1][0]).alias(m) for m in metrics],
+                         (~F.col("_q_failed")).alias("kept"))
+
+
+def _whole(docs: DataFrame, text_col: str) -> DataFrame:
+    """The row as one column, so that no name of it meets a helper's."""
+    return docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_text"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -122,7 +132,6 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     filter, which also keeps the optimizer from moving the verdict below the
     helper columns, where it would compute each of them many times.)"""
     order = plan_order(docs, RULES, text_col)
-    whole = docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_text"))
-    judged = _judge(_base(whole, "_text"), RULES, (), order).select("_doc", "_q_failed")
-    counted = judged.observe("quality_rules", F.count(F.lit(1)).alias("rows"), F.count("_q_failed").alias("rejected"))
-    return counted.where("_q_failed is null").select("_doc.*")
+    judged = _judge(_base(_whole(docs, text_col), "_text"), RULES, (), order).select("_doc", "_q_failed")
+    counted = judged.observe("quality_rules", F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_q_failed")).alias("rejected"))
+    return counted.where("not _q_failed").select("_doc.*")

@@ -120,10 +120,9 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 @query("op8_quality_rules", QUALITY_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    judged = cascade(docs, metrics=("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
-    return judged.select("doc_id", F.col("_q_n").alias("n_words"), F.col("_q_chars").alias("word_chars"), F.col("_q_symbols").alias("n_symbols"),
-                         F.col("_q_dup_lines").alias("n_dup_lines"), F.col("_q_repeat").alias("n_repeat_words"),
-                         F.expr("_q_n < 20 or 100 * _q_repeat > 30 * _q_n").alias("base_failed"), "kept")
+    judged = cascade(docs, metrics=("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words").alias("base_failed"), "kept")
 
 
 @query("op3_best_fit_packing")

@@ -2,6 +2,7 @@
 plain Python."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -9,14 +10,16 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from brute import WORD, contaminated, near
 from test_exact import corpus, order
 
 import corpus_pipeline
 from paysift.llm.chat_tree import parse, prefix_tree, read_back, render
-from paysift.llm.line_quality import fit, score, train
+from paysift.llm.line_quality import fit, forward_backward, score, train
 from paysift.llm.packing import best_fit_plan, pack
-from paysift.llm.quality_rules import RULES, cascade
+from paysift.llm import quality_rules
+from paysift.llm.quality_rules import RULES, cascade, keep_good
 from paysift.llm.secrets import KINDS, redact, scan
 from paysift.llm.token_counts import token_counts
 
@@ -113,12 +116,31 @@ def quality(text):
 def test_quality(docs, rows):
     want = order((i, *quality(t)) for i, t in rows)
     for order_ in (None, list(RULES)[::-1]):
-        got = cascade(docs, metrics=("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), order=order_).collect()
-        assert order((x.doc_id, x._q_n, x._q_chars, x._q_symbols, x._q_dup_lines, x._q_repeat, x.kept) for x in got) == want
+        got = cascade(docs, metrics=("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), order=order_).collect()
+        assert order((x.doc_id, x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.kept) for x in got) == want
         lazy = cascade(docs, order=order_).collect()
         assert order((x.doc_id, x.kept) for x in lazy) == order((x[0], x[-1]) for x in want)
 
 
+def test_quality_keeps_the_callers_columns(spark):
+    row = spark.createDataFrame([(1, "a b", "mine", "too", "replaced")], "doc_id long, text string, _q_n string, _q_failed string, kept string")
+    got = cascade(row, order=list(RULES))
+    assert sorted(got.columns) == sorted(row.columns) and got.first().asDict() == {"doc_id": 1, "text": "a b", "_q_n": "mine", "_q_failed": "too", "kept": False}
+    assert keep_good(row.withColumn("text", F.lit(" ".join(f"word{i}" for i in range(30))))).first()._q_n == "mine"
+    assert cascade(row.limit(0)).count() == 0
+
+
+def test_rule_sample_is_drawn_from_the_whole_table(spark, monkeypatch):
+    """Of a table whose first partitions hold only bad rows, the sample has others."""
+    taken = []
+    monkeypatch.setattr(quality_rules, "save", lambda df, name, real=quality_rules.save: taken.append(real(df, name)) or taken[-1])
+    monkeypatch.setattr(quality_rules, "discard", lambda df: None)
+    docs = spark.range(0, 40_000, 1, 16).select(F.when(F.col("id") < 30_000, "bad").otherwise("fine").alias("text"))
+    assert len(quality_rules.plan_order(docs, sample_rows=400)) == len(RULES)
+    kinds = {r["_q_text"]: r["count"] for r in taken[0].groupBy("_q_text").count().collect()}
+    assert sum(kinds.values()) == 400 and 60 < kinds["fine"] < 140
+
+
 def secrets_of(text):
     text, spans = text or "", []
     for rank, (name, pattern, group, least) in enumerate(KINDS):
@@ -218,3 +240,22 @@ def test_pipeline(spark, tmp_path, rows):
     want = expected_pieces([(i, masked(t)) for i, t in clean], 2048)
     assert order((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in got) == order(want)
     check_packing(got, 2048)
+
+
+def test_marginals_equal_enumeration():
+    """Marginals of lines and pairs against the sum over all labelings."""
+    r = np.random.RandomState(5)
+    counts = np.array([1, 3, 0, 6, 2, 5])
+    unary, trans = r.randn(counts.sum()) * 2, r.randn(2, 2)
+    line, pair = forward_backward(unary, counts, trans)
+    want_line, want_pair, at = np.zeros(counts.sum()), np.zeros((2, 2)), 0
+    for n in counts[counts > 0]:
+        u, total, one, two = unary[at:at + n], 0.0, np.zeros(n), np.zeros((2, 2))
+        for labels in itertools.product((0, 1), repeat=int(n)):
+            w = np.exp(sum(u[i] * y for i, y in enumerate(labels)) + sum(trans[a, b] for a, b in zip(labels, labels[1:])))
+            total += w
+            one += w * np.array(labels)
+            for a, b in zip(labels, labels[1:]):
+                two[a, b] += w
+        want_line[at:at + n], want_pair, at = one / total, want_pair + two / total, at + n
+    assert np.allclose(line, want_line) and np.allclose(pair, want_pair)
