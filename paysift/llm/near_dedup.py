@@ -6,10 +6,10 @@ row before anything is compared).  24 bands of 4 minima choose candidates.
 A signature packs, in 4 bits each, the minima of 512 bins of the shingle hashes
 (0: no shingle in the bin); the similarity of a candidate pair is estimated by
 counting equal nibbles.  Bins draw from the set without replacement, so small
-sets are compared almost exactly, and the standard error is 0.018 at most.
-Chance agreement (1/15) only raises the estimate; pairs whose estimate is under
-the threshold by 5 standard errors (1 in 3 million) are not links, all others
-are confirmed on full sets.
+sets are compared almost exactly.  Bins of different minima agree by chance once
+in 15; the estimate takes that off, which leaves a standard error of 0.02 at
+most.  Pairs whose estimate is under the threshold by 5 standard errors (1 in 3
+million) are not links, all others are confirmed on full sets.
 
 Candidates without all pairs: each bucket's pivot, its member that shares the
 most buckets, is compared with the others.  Links make components; buckets
@@ -127,7 +127,8 @@ def sketches(docs: DataFrame, row_col: str, id_col: str, text_col: str) -> DataF
 
 
 def estimate(a: str, b: str) -> Column:
-    """Share of equal nibbles among the bins that either signature has."""
+    """Similarity: the share of equal nibbles among the bins that either signature
+    has, less the chance agreement of the others (1 in 15)."""
     low = F.lit(0x1111111111111111)
 
     def any_bit(x):  # a 1 per nibble that isn't 0
@@ -138,14 +139,15 @@ def estimate(a: str, b: str) -> Column:
     for s in SIG:
         x, y = F.col(f"{a}.{s}"), F.col(f"{b}.{s}")
         used, differ = used + any_bit(x.bitwiseOR(y)), differ + any_bit(x.bitwiseXOR(y))
-    return 1 - differ / used
+    return 1 - differ / used * (15 / 14)
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
     """May the pair reach the threshold: sizes exactly, similarity by estimate
     less 5 standard errors."""
     t = percent / 100
-    margin = 5 * (t * (1 - t) / BINS) ** 0.5 + 0.005
+    share = t + (1 - t) / 15  # of equal nibbles, at the threshold
+    margin = 5 * (share * (1 - share) / BINS) ** 0.5 * 15 / 14 + 0.005
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
     return (small * 100 >= large * percent) & (estimate(a, b) >= t - margin)
 
