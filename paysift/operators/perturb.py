@@ -147,13 +147,24 @@ def shuffle_subset(df: DataFrame, frac: float = 0.10, cols=("amount", "oldbalanc
     Both ranks come from the two-level prefix (no single-partition window),
     and the value move is an equi-join on the rank, which is uniformly
     spread.  The multiset of each column is unchanged."""
-    q = Fraction(str(frac)).limit_denominator(10 ** 9)
-    n = df.agg(F.expr(f"count(1) * {q.numerator} div {q.denominator}").alias("_quota"))
-    r = below_quota(df, n, [], key, seed, "subset")
+    r, moved = shuffled_values(df, frac, cols, key, seed)
+    changed = r.where("_in").join(moved, key).withColumns({c: F.col(f"_new_{c}") for c in cols}).select(*df.columns)
+    return r.where("not _in").select(*df.columns).union(changed)
+
+
+def shuffled_values(df: DataFrame, frac: float, cols, key: str = "txn_id", seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``_in`` (is the row in the subset), and (key, ``_new_<c>``...)
+    of the subset's rows: the value that each column gets."""
+    r = in_subset(df, df, frac, key, seed)
     moved = hash_rank(r.where("_in").select(key, *cols), [], key, seed, "subset", rank_col="_pos")
     for c in cols:
         src = hash_rank(moved.select(F.col(key).alias("_key"), F.col(c).alias(f"_new_{c}")), [], "_key", seed, f"perm|{c}", rank_col="_pos")
         moved = moved.join(src.drop("_key"), "_pos")
-    moved = moved.select(F.col(key), *[F.col(f"_new_{c}") for c in cols])
-    changed = r.where("_in").join(moved, key).withColumns({c: F.col(f"_new_{c}") for c in cols}).select(*df.columns)
-    return r.where("not _in").select(*df.columns).union(changed)
+    return r, moved.select(F.col(key), *[F.col(f"_new_{c}") for c in cols])
+
+
+def in_subset(df: DataFrame, of: DataFrame, frac: float, key: str = "txn_id", seed: int = SEED) -> DataFrame:
+    """``df`` with ``_in``: the floor(frac·n) rows of ``of`` that are shuffled."""
+    q = Fraction(str(frac)).limit_denominator(10 ** 9)
+    n = of.agg(F.expr(f"count(1) * {q.numerator} div {q.denominator}").alias("_quota"))
+    return below_quota(df, n, [], key, seed, "subset", of)

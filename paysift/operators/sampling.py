@@ -152,6 +152,17 @@ def rebalance_ratio(df: DataFrame, ratio: float, label: str = TARGET, key: str =
     return _keep_quota(df, label, 1, lambda n1, n0: F.least(F.floor(n0 * (ratio / (1 - ratio))), n1), key, seed, "ratio")
 
 
+def rebalance_flag(df: DataFrame, of: DataFrame, ratio: float, name: str, label: str = TARGET, key: str = "txn_id", seed: int = SEED) -> DataFrame:
+    """I7 as a flag: whether ``rebalance_ratio`` of the stored table ``of``, which
+    has the rows of ``df``, keeps the row (all rows have a class of 0 or 1)."""
+    n1, n0 = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
+    quotas = of.agg(n1.alias("_n1"), n0.alias("_n0")).select(F.explode(F.array(
+        F.struct(F.lit(0).alias("c"), F.least(F.floor(F.col("_n1") * (1.0 / ratio - 1)), F.col("_n0")).cast("bigint").alias("_quota")),
+        F.struct(F.lit(1).alias("c"), (F.col("_n1") + F.col("_n0")).alias("_quota")))).alias("x"))
+    quotas = quotas.select(F.col("x.c").cast(df.schema[label].dataType).alias(label), "x._quota")
+    return below_quota(df, quotas, [label], key, seed, "ratio", of).withColumnRenamed("_in", name)
+
+
 def time_split(df: DataFrame, q: float = 0.70, col: str = "step") -> DataFrame:
     """I8: ``period`` = early (step <= exact q-quantile) / late."""
     p = quantile_row(df, col, {"_cut": q})

@@ -55,18 +55,21 @@ def hash_rank(df: DataFrame, by=(), key: str = "txn_id", seed=42, salt: str = "r
     return out
 
 
-def below_quota(df: DataFrame, quota: DataFrame, by=(), key: str = "txn_id", seed=42, salt: str = "rank") -> DataFrame:
+def below_quota(df: DataFrame, quota: DataFrame, by=(), key: str = "txn_id", seed=42, salt: str = "rank",
+                of: DataFrame | None = None) -> DataFrame:
     """Adds ``_in``: whether a row's rank within ``by`` (as in ``hash_rank``)
     is below its group's ``_quota`` (``quota``: by..., ``_quota``; one row per
     group, few groups).
 
     No wide row is shuffled: bucket counts give, per group, the one bucket
     that holds the quota-th row; only the keys of that bucket are ranked; the
-    row found is the group's bound, and rows are compared with it in place."""
+    row found is the group's bound, and rows are compared with it in place.  ``of``:
+    a stored table of the same keys to find the bounds in (``df`` itself if not
+    given), so that a chain of such flags doesn't read its own past again."""
     by = list(by)
     same = lambda a, b: reduce(and_, [a[c].eqNullSafe(b[f"_q_{c}"]) for c in by], F.lit(True))
     named = lambda t, *more: t.select(*[F.col(c).alias(f"_q_{c}") for c in by], *more)
-    d = with_hash(df.select(*by, key), key, seed, salt).withColumn("_b", F.substring("_h", 1, BUCKET_HEX))
+    d = with_hash((df if of is None else of).select(*by, key), key, seed, salt).withColumn("_b", F.substring("_h", 1, BUCKET_HEX))
     counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_bn"))
     upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("_off", F.sum("_bn").over(upto) - F.col("_bn"))

@@ -467,6 +467,22 @@ def consolidated_results(spark, sf):
     return _consolidated(spark, sf)
 
 
+@register("robustness_suite", _consolidated_sql())
+def robustness_suite(spark, sf):
+    """L14 in one exploded pass over the columns the scorer reads: the rows of
+    ``consolidated_results``."""
+    return R.robustness_suite(feature_table(spark, sf), R.feature_pseudo_scorer, THR, _USED, FEATURE_COLUMNS)
+
+
+@register("fitted_robustness", rounded=False)
+def fitted_robustness(spark, sf):
+    """L14 with the fitted boosted trees as the scorer, over all features; rows the
+    model was fitted on are left out."""
+    _, test, _ = training_sets(spark, sf)
+    model = _boosted(spark, sf)
+    return R.robustness_suite(test.drop("split"), lambda df: T.add_score(df, model, ["scenario", "is_adversarial", TARGET]), THR, FEATURE_COLUMNS, FEATURE_COLUMNS)
+
+
 @register("risk_flags", rnd(f"""WITH j AS (SELECT c.*, b.f1 AS bf1 FROM ({_consolidated_sql()}) c
   CROSS JOIN (SELECT f1 FROM ({_baseline_sql()})) b)
 SELECT arg_min(scenario, (recall, scenario)) AS worst_recall_scenario, min(recall) AS worst_recall,

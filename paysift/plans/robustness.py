@@ -11,11 +11,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.core import hash_normal, hash_uniform
 from ..operators import metrics as K
 from ..operators import perturb as L
 from ..operators import sampling as S
@@ -220,6 +223,94 @@ def permutation_importance(features: DataFrame, scorer: Scorer, threshold,
              .orderBy(F.desc("f1_drop_pct"), "feature"))
 
 
+def _scenario_columns(columns: list[str], feature_cols: list[str], kinds: dict, key: str, seed: int) -> tuple[dict, dict]:
+    """Per column: the noisy value before its repair, and the value in each
+    scenario (``scenario`` names the row's)."""
+    at = lambda name: F.col("scenario") == name
+    noisy = {k: v for k, v in L.NOISE_LEVELS.items() if any(v)}
+    drawn, value = {}, {}
+    for c in columns:
+        cases = []
+        if c == "amount" or c in L.BALANCE_COLS:
+            level = F.substring_index("scenario", "noise_", -1)
+            sigma = F.create_map(*[F.lit(x) for k, (a, b) in noisy.items() for x in (f"noise_{k}", float(a if c == "amount" else b))])
+            drawn[f"_d_{c}"] = F.when(F.col("scenario").isin([f"noise_{k}" for k in noisy]),
+                                      F.greatest(F.col(c) * (1 + F.element_at(sigma, F.col("scenario")) * hash_normal(F.col(key), seed, "noise", level, c)), F.lit(0.0)))
+            cases.append((F.col("scenario").isin([f"noise_{k}" for k in noisy]), L._finite_or_zero(F.col(f"_d_{c}"))))
+        if c == "amount":
+            cases.append((at("drift_3x_fraud_amount"), F.when(F.col(TARGET) == 1, F.col(c) * 3.0).otherwise(F.col(c))))
+        if c in ("oldbalanceOrg", "newbalanceOrig"):
+            cases.append((at("drift_30pct_zero_balance"), F.when(hash_uniform(F.col(key), seed, "drift_zero") < 0.3, F.lit(0.0)).otherwise(F.col(c))))
+        if c.startswith("type_") or c == "is_high_risk_type":
+            cases.append((at("drift_all_transfer"), F.lit(int(c in ("type_TRANSFER", "is_high_risk_type")))))
+        if c in feature_cols:
+            for r in MISSING_RATES:
+                if r > 0:
+                    kept = F.when(~(hash_uniform(F.col(key), seed, "missing", str(r), c) < r), F.col(c))
+                    cases.append((at(f"missing_{r}"), F.coalesce(kept, F.lit(0.0).cast(kinds[c]))))
+        swap = {"oldbalanceOrg": "oldbalanceDest", "oldbalanceDest": "oldbalanceOrg", "newbalanceOrig": "newbalanceDest", "newbalanceDest": "newbalanceOrig"}
+        if c in swap:
+            cases.append((at("swap_balances"), F.col(swap[c])))
+        if c in L.BALANCE_COLS:
+            cases.append((at("zero_balances"), F.lit(0).cast(kinds[c])))
+        if c in ("amount", "oldbalanceOrg"):
+            cases.append((at("shuffle_10pct") & F.col("_in"), F.col(f"_new_{c}")))
+        if cases:
+            chain = F.when(*cases[0])
+            for cond, v in cases[1:]:
+                chain = chain.when(cond, v)
+            value[c] = chain.otherwise(F.col(c)).cast(kinds[c])
+    return drawn, value
+
+
+def robustness_suite(features: DataFrame, scorer: Scorer, threshold: float, columns: list[str], feature_cols: list[str],
+                     n_adv: int = N_ADVERSARIAL, key: str = "txn_id", seed: int = 42) -> DataFrame:
+    """All scenarios of L1-L11 (rows of ``consolidated_results``) in one pass.
+
+    The ``columns`` that the scorer reads are written once with what the scenarios
+    need of a row (kept at each ratio, late or not, shuffled values); its rows are
+    then exploded by scenario, each column taking its scenario's value, scored
+    once, and the narrow scores written for one metrics aggregate."""
+    columns = list(dict.fromkeys([*columns, "amount", *L.BALANCE_COLS]))  # swaps read all balances
+    stored = _materialise(features.select(key, TARGET, "step", *[c for c in columns if c != "step"]))
+    kinds = {f.name: f.dataType for f in stored.schema}
+    base = S.time_split(stored).withColumn("_late", F.col("period") == "late").drop("period")
+    for i, r in enumerate(IMBALANCE_RATIOS):
+        base = S.rebalance_flag(base, stored, r, f"_keep{i}", key=key, seed=seed)
+    base = L.in_subset(base, stored, 0.10, key, seed)
+    shuffled = ("amount", "oldbalanceOrg")
+    moved = _materialise(L.shuffled_values(stored.select(key, *shuffled), 0.10, shuffled, key, seed)[1])
+    none = {f"_new_{c}": F.lit(None).cast(kinds[c]) for c in shuffled}
+    base = _materialise(base.where("_in").join(moved, key).unionByName(base.where("not _in").withColumns(none)))
+    everywhere = ["baseline", "imbalance_base", *[f"noise_{k}" for k in L.NOISE_LEVELS], *[f"missing_{r}" for r in MISSING_RATES],
+                  "swap_balances", "zero_balances", "shuffle_10pct", "adversarial_mix"]
+    drifts = ["drift_none", "drift_3x_fraud_amount", "drift_30pct_zero_balance", "drift_all_transfer"]
+    names = F.concat(F.array(*map(F.lit, everywhere)), F.when(F.col("_late"), F.array(*map(F.lit, drifts))).otherwise(F.array().cast("array<string>")),
+                     *[F.when(F.col(f"_keep{i}"), F.array(F.lit(f"imbalance_{r}"))).otherwise(F.array().cast("array<string>")) for i, r in enumerate(IMBALANCE_RATIOS)])
+    drawn, value = _scenario_columns(columns, feature_cols, kinds, key, seed)
+    rows = base.withColumn("scenario", F.explode(names)).withColumns(drawn).withColumns(value)
+    rows = rows.select("scenario", F.lit(0).alias("is_adversarial"), TARGET, *columns)
+    adv = L.adversarial_rows(base, n_adv, key=key, seed=seed).withColumn("scenario", F.lit("adversarial_mix"))
+    scored = scorer(rows.unionByName(adv.select("scenario", "is_adversarial", F.col(TARGET).cast(kinds[TARGET]).alias(TARGET), *[F.col(c).cast(kinds[c]).alias(c) for c in columns])))
+    scored = _materialise(_scores(scored, "scenario", "is_adversarial"))
+    m = _materialise(K.compute_metrics(scored, threshold, ["scenario"]))  # a row per scenario
+    found = scored.where("is_adversarial = 1").agg(F.count(F.lit(1)).cast("double").alias("_rows"), F.count_if(F.col("score") >= threshold).cast("double").alias("_hit"))
+    f1 = {s: m.where(F.col("scenario") == s).select(F.col("f1").alias(f"_f_{i}"), F.col("recall").alias(f"_r_{i}")) for i, s in enumerate(("baseline", "noise_none", "missing_0.0"))}
+    for t in (*f1.values(), found):
+        m = m.crossJoin(F.broadcast(t))  # one row each
+    starts = lambda *p: reduce(or_, [F.col("scenario").startswith(x) for x in p])
+    corrupted = starts("missing_") | F.col("scenario").isin("swap_balances", "zero_balances", "shuffle_10pct")
+    drop = lambda k: F.when(starts("noise_"), K.degradation_pct(F.col(f"_{k[0]}_1"), F.col(k))).when(corrupted, K.degradation_pct(F.col(f"_{k[0]}_2"), F.col(k)))
+    mix, positives = F.col("scenario") == "adversarial_mix", F.col("tp") + F.col("fn")
+    ratio = F.coalesce(*[F.when(F.col("scenario") == f"imbalance_{r}", F.lit(float(r))) for r in IMBALANCE_RATIOS])
+    return m.select("scenario", "recall", "precision", "f1", "roc_auc", "pr_auc", "fpr", "tp", "fp", "fn", "tn", ratio.alias("target_ratio"),
+                    F.when(starts("imbalance_"), positives / (positives + F.col("fp") + F.col("tn"))).alias("actual_ratio"),
+                    drop("f1").alias("f1_drop_pct"), drop("recall").alias("recall_drop_pct"),
+                    F.when(starts("drift_"), F.col("_f_0") - F.col("f1")).alias("drift_impact"),
+                    F.when(mix, F.col("_rows")).alias("adv_rows"), F.when(mix, F.col("_hit")).alias("adv_detected"),
+                    F.when(mix, F.col("_rows") - F.col("_hit")).alias("adv_missed"), F.when(mix, F.try_divide(F.col("_hit"), F.col("_rows"))).alias("adv_recall"))
+
+
 def consolidated_results(*tables: DataFrame) -> DataFrame:
     """Union of ragged scenario tables by name."""
     out = tables[0]
