@@ -93,6 +93,8 @@ def hash_ntile(df: DataFrame, k: int, by=(), key: str = "txn_id", seed=42, salt:
     As in ``below_quota`` no wide row is shuffled: bucket counts locate the k - 1
     first rows of the later tiles, only the keys of those buckets are ranked, and
     all rows are compared in place with their group's bounds."""
+    if k < 2:
+        return df.withColumn(name, F.lit(0))
     by = list(by)
     same = lambda a, b: reduce(and_, [a[c].eqNullSafe(b[f"_q_{c}"]) for c in by], F.lit(True))
     named = lambda t, *more: t.select(*[F.col(c).alias(f"_q_{c}") for c in by], *more)
