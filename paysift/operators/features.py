@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegralType, NumericType
 
-from ..functions.core import as_flag, clip_lower, safe_div
+from ..functions.core import as_flag, clip_lower, existing, numeric_columns, safe_div
 from ..functions.quantile import quantile_row
 from ..plans.skew import HOT_ROWS, attach_group_aggregates, salted_left_join
 from ..session import checkpoint_dir
@@ -82,7 +82,8 @@ def create_temporal_features(df: DataFrame) -> DataFrame:
 # --- F5 - F7 (group features) ----------------------------------------------
 
 def create_sender_features(df: DataFrame, strategy: str = "join",
-                           hot_rows: int = HOT_ROWS) -> DataFrame:
+                           hot_rows: int = HOT_ROWS, row_key: list[str] | None = None,
+                           of: DataFrame | None = None) -> DataFrame:
     """per-sender count, mean, max and sample std (single row → 0)."""
     a = F.col("amount")
     out = attach_group_aggregates(df, ["nameOrig"], {
@@ -90,30 +91,32 @@ def create_sender_features(df: DataFrame, strategy: str = "join",
         "avg_amount_sender": F.avg(a),
         "max_amount_sender": F.max(a),
         "std_amount_sender": F.stddev_samp(a),
-    }, strategy, hot_rows)
+    }, strategy, hot_rows, row_key, of)
     return out.withColumn("std_amount_sender",
                           F.when(F.col("txn_count_sender").isNotNull(),
                                  F.coalesce(F.col("std_amount_sender"), F.lit(0.0))))
 
 
 def create_receiver_features(df: DataFrame, strategy: str = "join",
-                             hot_rows: int = HOT_ROWS) -> DataFrame:
+                             hot_rows: int = HOT_ROWS, row_key: list[str] | None = None,
+                             of: DataFrame | None = None) -> DataFrame:
     """per-receiver count and mean."""
     a = F.col("amount")
     return attach_group_aggregates(df, ["nameDest"], {
         "txn_count_receiver": F.count(a),
         "avg_amount_receiver": F.avg(a),
-    }, strategy, hot_rows)
+    }, strategy, hot_rows, row_key, of)
 
 
 def create_velocity_features(df: DataFrame, strategy: str = "join",
-                             hot_rows: int = HOT_ROWS) -> DataFrame:
+                             hot_rows: int = HOT_ROWS, row_key: list[str] | None = None,
+                             of: DataFrame | None = None) -> DataFrame:
     """per (sender, step) count and sum."""
     a = F.col("amount")
     return attach_group_aggregates(df, ["nameOrig", "step"], {
         "txn_per_step_sender": F.count(a),
         "amt_per_step_sender": F.sum(a),
-    }, strategy, hot_rows)
+    }, strategy, hot_rows, row_key, of)
 
 
 def sender_velocity_table(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -258,6 +261,7 @@ _ROW_FLOATS = ["amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "n
                "balance_diff_orig", "balance_diff_dest", "amount_to_balance_ratio",
                "error_orig", "error_dest", "abs_error_orig", "abs_error_dest"] + \
               [f"log_{c}" for c in LOG_TARGETS]
+_DERIVED_FLOATS = _ROW_FLOATS[5:]
 _SV_FLOATS = ["avg_amount_sender", "max_amount_sender", "std_amount_sender", "amt_per_step_sender"]
 _RV_FLOATS = ["avg_amount_receiver"]
 
@@ -279,12 +283,13 @@ def feature_matrix(df: DataFrame, group_strategy: str = "join",
       columns — so no join is re-run to clean the result.
 
     ``group_strategy="window"`` attaches F5-F7 with window aggregates
-    instead: fewer shuffles, but every row of a key lands in one task."""
+    instead; keys of more than ``hot_rows`` rows take their values from the
+    aggregated hot-key list and are spread over several window partitions."""
     base = _row_features(df)
     if group_strategy == "window":
-        out = (base.transform(lambda d: create_sender_features(d, "window"))
-                   .transform(lambda d: create_velocity_features(d, "window"))
-                   .transform(lambda d: create_receiver_features(d, "window")))
+        out, key = base, ["txn_id"] if "txn_id" in base.columns else base.columns
+        for attach in (create_sender_features, create_velocity_features, create_receiver_features):
+            out = attach(out, "window", hot_rows, key, base)
         out = out.transform(create_interaction_features).transform(drop_unused_columns)
         return clean_and_validate(select_features(out))
     key = ["txn_id"] if "txn_id" in base.columns else None
@@ -309,7 +314,29 @@ def feature_matrix(df: DataFrame, group_strategy: str = "join",
     return clean_and_validate(out, ext)
 
 
-# --- B1 ------------------------------------------------------------------
+def recompute_features(df: DataFrame, p95: DataFrame | float | None = None) -> DataFrame:
+    """A feature table whose raw columns were changed, with F1, F2 and F9 (and
+    F8, if the bound ``p95`` is given) derived from them anew; NaN and ±inf are
+    0 there.  Group features and types stay as they are."""
+    out = df.transform(create_basic_features).transform(create_balance_error_features).transform(create_log_features)
+    if p95 is not None:
+        out = create_interaction_features(out, p95)
+    repaired = {c: F.when(F.isnan(c) | (F.abs(F.col(c)) == F.lit(float("inf"))) | F.col(c).isNull(), F.lit(0.0)).otherwise(F.col(c))
+                for c in _DERIVED_FLOATS}
+    return out.withColumns(repaired).select(*df.columns)
+
+
+# --- B1, B4, B11 ---------------------------------------------------------
+
+def select_numeric(df: DataFrame, exclude=(), keep=()) -> DataFrame:
+    """``keep`` and the numeric columns but those of ``exclude``."""
+    return df.select(*keep, *numeric_columns(df, [*exclude, *keep]))
+
+
+def select_existing(df: DataFrame, cols) -> DataFrame:
+    """Those of ``cols`` that ``df`` has, in the order of ``cols``."""
+    return df.select(*existing(df, cols))
+
 
 _INT_RANGES = [("tinyint", -128, 127), ("smallint", -32768, 32767),
                ("int", -2**31, 2**31 - 1)]
@@ -343,6 +370,11 @@ def narrow_types(df: DataFrame) -> DataFrame:
     return stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def chosen_types(df: DataFrame) -> dict[str, str]:
+    """The narrow type of each numeric column (a row per column)."""
+    return {r["column"]: r["narrow_type"] for r in narrow_types(df).select("column", "narrow_type").collect()}
+
+
 def apply_narrow_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Cast columns to the types chosen by ``narrow_types`` (sink side)."""
     return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c)

@@ -8,7 +8,7 @@ from ..operators import features as FE
 from ..operators import profile as P
 from ..oracle import rnd, rnd_sig, with_events, with_txn
 from ..registry import register
-from ..sources.files import cut_lineage
+from ..sources.files import cut_lineage, read_parquet, save_dataset, scratch_path
 from ..sources.schema import FEATURE_COLUMNS, FEATURE_GROUPS, TARGET
 from ..sources.transactions import event_transactions, transactions
 
@@ -269,22 +269,50 @@ def clean_validate(spark, sf):
     return FE.clean_and_validate(d)
 
 
-@register("narrow_types", rnd(with_txn("\nUNION ALL\n".join(
-    f"SELECT '{c}' AS \"column\", CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value, "
-    + ("CASE WHEN min(step) >= -128 AND max(step) <= 127 THEN 'tinyint' "
-       "WHEN min(step) >= -32768 AND max(step) <= 32767 THEN 'smallint' "
-       "WHEN min(step) >= -2147483648 AND max(step) <= 2147483647 THEN 'int' ELSE 'bigint' END".replace("step", c)
-       if c in ("step", "isFraud") else
-       f"CASE WHEN coalesce(max(CAST(CAST(CAST({c} AS FLOAT) AS DOUBLE) <> {c} AS INT)), 0) = 0 "
-       f"THEN 'float' ELSE 'double' END")
-    + " AS narrow_type FROM transactions"
-    for c in ["step", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest",
-              "newbalanceDest", "isFraud"])), "min_value", "max_value"))
+def _narrow_sql(columns, head: str, kind: str) -> str:
+    """A row per column: ``head`` (of the column c) and the smallest type."""
+    def narrow(c):
+        if c in ("step", "isFraud"):
+            fits = lambda t, lo, hi: f"WHEN min({c}) >= {lo} AND max({c}) <= {hi} THEN '{t}' "
+            return "CASE " + fits("tinyint", -128, 127) + fits("smallint", -32768, 32767) + fits("int", -2147483648, 2147483647) + "ELSE 'bigint' END"
+        return f"CASE WHEN coalesce(max(CAST(CAST(CAST({c} AS FLOAT) AS DOUBLE) <> {c} AS INT)), 0) = 0 THEN 'float' ELSE 'double' END"
+    return "\nUNION ALL\n".join(f"SELECT '{c}' AS \"column\", {head.format(c=c)}, {narrow(c)} AS {kind} FROM transactions" for c in columns)
+
+
+_NUMERIC = ["step", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest", "isFraud"]
+_RANGE = "CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value"
+
+
+@register("narrow_types", rnd(with_txn(_narrow_sql(_NUMERIC, _RANGE, "narrow_type")), "min_value", "max_value"))
 def narrow_types(spark, sf):
     """B1: smallest lossless type per numeric column."""
     return FE.narrow_types(_txn(spark, sf).drop("txn_id"))
 
 
+@register("narrowed_parquet_roundtrip", rnd(with_txn(_narrow_sql(_NUMERIC, "count({c}) AS n_values, " + _RANGE, "stored_type")), "min_value", "max_value"))
+def narrowed_parquet_roundtrip(spark, sf):
+    """B1 at the sink: the payments written in narrow types and read back; type
+    in the file, values and range of each numeric column."""
+    path = scratch_path(spark, "narrowed")
+    save_dataset(cut_lineage(_txn(spark, sf), "payments"), path, narrow=True)
+    back = FE.select_numeric(read_parquet(spark, path))
+    rows = [F.struct(F.lit(f.name).alias("column"), F.count(f.name).alias("n_values"), F.min(f.name).cast("double").alias("min_value"),
+                     F.max(f.name).cast("double").alias("max_value"), F.lit(f.dataType.simpleString()).alias("stored_type")) for f in back.schema.fields]
+    return back.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+
+
+@register("select_numeric", rnd(with_txn(f"SELECT txn_id, {', '.join(_NUMERIC[:-1])} FROM transactions"), *_NUMERIC[1:-1]))
+def select_numeric(spark, sf):
+    """The numeric columns but the target, with the row's key."""
+    return FE.select_numeric(_txn(spark, sf), exclude=[TARGET], keep=_ID)
+
+
+@register("select_existing", rnd(with_txn(f"SELECT {', '.join(_NUMERIC)} FROM transactions"), *_NUMERIC[1:-1]))
+def select_existing(spark, sf):
+    """The feature columns and the target, as far as the payments have them."""
+    return FE.select_existing(_txn(spark, sf), [*FEATURE_COLUMNS, TARGET])
+
+
 _CATALOGUE_SQL = "WITH fm AS (" + _feature_matrix_sql() + ") " + " UNION ALL ".join(
     f"SELECT {i} AS ordinal, '{c}' AS feature, replace(lower(typeof(any_value({c}))), 'integer', 'int') AS dtype, count({c}) AS n_values FROM fm"
     for i, c in enumerate([*FEATURE_COLUMNS, TARGET], 1))
@@ -389,7 +417,6 @@ def stream_row_features(spark, sf):
     """F1/F2/F4 through Structured Streaming: the payment table is written
     as parquet files, consumed by a file stream (availableNow) into an
     exactly-once parquet sink, and the sink is read back."""
-    from ..sources.files import scratch_path
     from ..streaming.features import run_parquet_stream
     src, sink, ck = (scratch_path(spark, n) for n in ("stream-src", "stream-sink", "stream-ckpt"))
     transactions(spark, sf).write.parquet(src)

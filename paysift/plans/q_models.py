@@ -18,7 +18,7 @@ from ..operators import metrics as K
 from ..operators import models as M
 from ..operators import sampling as S
 from ..operators import trees as T
-from ..oracle import rnd, rnd_sig, with_txn
+from ..oracle import SPLIT_CTES, rnd, rnd_sig, with_txn
 from ..registry import finish, register
 from ..sources import files as IO
 from ..sources.schema import FEATURE_COLUMNS, TARGET
@@ -319,7 +319,9 @@ def imbalance_test(spark, sf):
     return R.imbalance_test(feature_table(spark, sf), R.feature_pseudo_scorer, THR)
 
 
-def _noise_test_sql() -> str:
+def _noise_test_sql(rows: str = "", source: str = "fm", then: str = "") -> str:
+    """``rows``: more CTEs, ``source``: the rows that get noise; ``then``:
+    columns derived anew from the noisy ones."""
     from ..operators.perturb import NOISE_LEVELS
     from ..oracle import normal
     lv = ", ".join(f"('noise_{k}', '{k}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for k, (a, b) in NOISE_LEVELS.items())
@@ -330,8 +332,8 @@ def _noise_test_sql() -> str:
         v = f"greatest({c} * (1 + {sig} * {z}), 0.0)"
         return f"CASE WHEN {sig} > 0 THEN (CASE WHEN isnan({v}) OR isinf({v}) THEN 0.0 ELSE {v} END) ELSE {c} END AS {c}"
     cols = ", ".join(noisy(c) for c in ["amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest"])
-    return rnd(_scenarios(f"""x0 AS (SELECT fm.*, o.scenario, o.lvl, o.sa, o.sb FROM fm CROSS JOIN (VALUES {lv}) o(scenario, lvl, sa, sb)),
-x AS (SELECT * REPLACE ({cols}) FROM x0)""") + _drops("noise_none"), *_RATES, "f1_drop_pct", "recall_drop_pct")
+    return rnd(_scenarios(f"""{rows}x0 AS (SELECT r.*, o.scenario, o.lvl, o.sa, o.sb FROM {source} r CROSS JOIN (VALUES {lv}) o(scenario, lvl, sa, sb)),
+x1 AS (SELECT * REPLACE ({cols}) FROM x0), x AS (SELECT *{then} FROM x1)""") + _drops("noise_none"), *_RATES, "f1_drop_pct", "recall_drop_pct")
 
 
 @register("noise_test", _noise_test_sql())
@@ -340,6 +342,26 @@ def noise_test(spark, sf):
     return R.noise_test(feature_table(spark, sf), R.feature_pseudo_scorer, THR)
 
 
+_HELD_OUT = SPLIT_CTES.replace("transactions", "fm") + f""",
+test AS (SELECT r.* FROM (SELECT fm.*, {_RANK.format(by="PARTITION BY isFraud ", salt="split")} AS _rank FROM fm) r JOIN k USING (isFraud) WHERE _rank < quota),
+"""
+# The columns of the scorer that come from a noisy one; rows without noise keep theirs.
+_ANEW = " REPLACE (" + ", ".join(
+    f"CASE WHEN sb > 0 THEN {x} ELSE {c} END AS {c}" for c, x in [
+        ("is_zero_balance", "CAST(newbalanceOrig = 0 AS INT)"),
+        ("log_oldbalanceDest", "ln(1 + greatest(oldbalanceDest, 0))"),
+        ("log_oldbalanceOrg", "ln(1 + greatest(oldbalanceOrg, 0))")]) + ")"
+
+
+@register("noise_test_recomputed", _noise_test_sql(_HELD_OUT, "test", _ANEW))
+def noise_test_recomputed(spark, sf):
+    """L2 scenarios on the rows that no model was fitted on, derived features
+    following the noisy columns."""
+    split = _written(spark, sf, "split", lambda: S.train_test_split(feature_table(spark, sf), 0.2))
+    train = split.where(F.col("split") == "train").select("txn_id")
+    return R.noise_test(feature_table(spark, sf), R.feature_pseudo_scorer, THR, recompute=True, exclude_train=train)
+
+
 def _drift_sql() -> str:
     from ..oracle import u
     uz = u("concat_ws('|', txn_id, '42', 'drift_zero')")

@@ -22,6 +22,7 @@ from ..functions.core import hash_normal, hash_uniform
 from ..operators import metrics as K
 from ..operators import perturb as L
 from ..operators import sampling as S
+from ..operators.features import recompute_features
 from ..session import checkpoint_dir
 from ..sources.schema import TARGET
 
@@ -90,17 +91,23 @@ def imbalance_test(features: DataFrame, scorer: Scorer, threshold,
 
 
 def noise_test(features: DataFrame, scorer: Scorer, threshold,
-               sample_n: int | None = None) -> DataFrame:
+               sample_n: int | None = None, recompute: bool = False,
+               exclude_train: DataFrame | None = None, key: str = "txn_id") -> DataFrame:
     """L2 + L13: noise levels on all rows (or on ``sample_n``), all levels in
     one exploded scoring pass; F1/recall degradation vs the same rows
-    without noise."""
+    without noise.  ``recompute``: features derived from the noisy columns
+    follow them (otherwise only the raw columns change); ``exclude_train``: keys
+    of rows that the scorer was fitted on, which are left out."""
+    if exclude_train is not None:
+        features = features.join(exclude_train.select(key), key, "left_anti")
     sub = _rows(features, sample_n)
     noisy = {k: v for k, v in L.NOISE_LEVELS.items() if any(v)}  # the others draw nothing
     lv = F.explode(F.array(*[F.struct(F.lit(f"noise_{k}").alias("scenario"), F.lit(k).alias("lvl"),
                                       F.lit(a).alias("sa"), F.lit(b).alias("sb"))
                              for k, (a, b) in noisy.items()]))
     x = sub.withColumn("_l", lv).select("*", "_l.scenario", "_l.lvl", "_l.sa", "_l.sb").drop("_l")
-    parts = [_scores(scorer(L.noise_inject_by_level(x, "lvl", "sa", "sb")), "scenario")]
+    x = L.noise_inject_by_level(x, "lvl", "sa", "sb")
+    parts = [_scores(scorer(recompute_features(x) if recompute else x), "scenario")]
     parts += [_scores(scorer(sub).withColumn("scenario", F.lit(f"noise_{k}")), "scenario") for k in L.NOISE_LEVELS if k not in noisy]
     # The scores, drawn once, feed several aggregates.
     m = K.compute_metrics(_materialise(S.union_samples(*parts)), threshold, ["scenario"])

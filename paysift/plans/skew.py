@@ -3,9 +3,12 @@
 The reference groups, aggregates and merges the aggregate back onto each row.
 Two Spark plans express it:
 
-* ``window``: ``agg.over(Window.partitionBy(keys))`` — one Exchange, but every
-  row of a key lands in one task.  Fine for near-unique keys, fatal for a key
-  that holds a third of the table.
+* ``window``: ``agg.over(Window.partitionBy(keys, salt))`` — one Exchange.  Keys
+  of at most ``hot_rows`` rows have one salt, so the window is theirs alone.  A
+  hot key's rows are dealt over ``ceil(rows / hot_rows)`` salts and take their
+  values from its row of the hot-key list, which carries the aggregates
+  (partial aggregation before its shuffle); no window partition exceeds
+  ~``hot_rows`` rows.
 * ``join`` (default): ``groupBy(keys).agg`` with partial (map-side)
   aggregation, then a left join back.  Hot keys — more than ``hot_rows`` rows —
   are split: their detail rows get a deterministic salt in
@@ -21,6 +24,9 @@ Two Spark plans express it:
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,13 +44,7 @@ def salted_left_join(detail: DataFrame, stats: DataFrame, keys: list[str],
     hot = F.broadcast(  # <= N / hot_rows rows
         stats.where(F.col(rows_col) > hot_rows)
              .select(*keys, F.ceil(F.col(rows_col) / F.lit(hot_rows)).cast("int").alias("_parts")))
-    null_key = F.lit(False)
-    for k in keys:
-        null_key = null_key | F.col(k).isNull()
-    row_hash = F.xxhash64(*row_key)
-    salt = (F.when(null_key, F.pmod(row_hash, F.lit(NULL_PARTS)))
-             .when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(row_hash, F.col("_parts"))))
-    d = detail.join(hot, keys, "left").withColumn("_salt", salt.cast("int")).drop("_parts")
+    d = detail.join(hot, keys, "left").withColumn("_salt", _row_salt(keys, row_key)).drop("_parts")
     s = (stats.join(hot, keys, "left")
               .withColumn("_salt", F.explode(F.sequence(
                   F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)))
@@ -52,19 +52,38 @@ def salted_left_join(detail: DataFrame, stats: DataFrame, keys: list[str],
     return d.join(s, keys + ["_salt"], "left").drop("_salt")
 
 
+def _row_salt(keys: list[str], row_key: list[str]) -> Column:
+    """Salt of a row joined with the hot-key list (``_parts``)."""
+    null_key = reduce(or_, [F.col(k).isNull() for k in keys])
+    row_hash = F.xxhash64(*row_key)
+    return (F.when(null_key, F.pmod(row_hash, F.lit(NULL_PARTS)))
+             .when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(row_hash, F.col("_parts")))).cast("int")
+
+
+def _attach_by_window(detail: DataFrame, keys: list[str], aggs: dict[str, Column], hot_rows: int,
+                      row_key: list[str], of: DataFrame) -> DataFrame:
+    notnull = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    hot = F.broadcast(  # <= N / hot_rows rows
+        of.where(notnull).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.struct(*[e.alias(n) for n, e in aggs.items()]).alias("_hot"))
+          .where(F.col("_rows") > hot_rows)
+          .select(*keys, F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("int").alias("_parts"), "_hot"))
+    d = detail.join(hot, keys, "left").withColumn("_salt", _row_salt(keys, row_key))
+    w = Window.partitionBy(*keys, "_salt")
+    return d.select(*detail.columns, *[F.when(F.col("_parts").isNotNull(), F.col(f"_hot.{n}")).when(notnull, e.over(w)).alias(n)
+                                       for n, e in aggs.items()])
+
+
 def attach_group_aggregates(detail: DataFrame, keys: list[str], aggs: dict[str, Column],
                             strategy: str = "join", hot_rows: int = HOT_ROWS,
-                            row_key: list[str] | None = None) -> DataFrame:
+                            row_key: list[str] | None = None, of: DataFrame | None = None) -> DataFrame:
     """Append ``aggs`` (name → aggregate expression) computed per ``keys`` to
     every row of ``detail``.  Rows whose key is NULL get NULL aggregates (the
-    reference's group-by drops NULL keys, so the merge leaves them missing)."""
+    reference's group-by drops NULL keys, so the merge leaves them missing).
+    ``of``: a table with the same rows to aggregate from, where ``detail`` is
+    a longer plan over it (``detail`` itself if not given)."""
+    of = detail if of is None else of
     if strategy == "window":
-        w = Window.partitionBy(*keys)
-        notnull = None
-        for k in keys:
-            c = F.col(k).isNotNull()
-            notnull = c if notnull is None else notnull & c
-        return detail.select("*", *[F.when(notnull, e.over(w)).alias(n) for n, e in aggs.items()])
-    stats = detail.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()],
-                                      F.count(F.lit(1)).alias("_rows"))
+        return _attach_by_window(detail, keys, aggs, hot_rows, row_key or detail.columns, of)
+    stats = of.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()],
+                                  F.count(F.lit(1)).alias("_rows"))
     return salted_left_join(detail, stats, keys, "_rows", hot_rows, row_key)

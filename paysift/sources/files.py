@@ -53,8 +53,13 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def save_dataset(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """A3: parquet, snappy, overwrite, no index column."""
+def save_dataset(df: DataFrame, path: str, partition_by: list[str] | None = None, narrow: bool = False) -> None:
+    """A3: parquet, snappy, overwrite, no index column.  ``narrow`` (B1): numeric
+    columns are written in the smallest type that holds all their values
+    (one more pass over ``df`` finds it)."""
+    if narrow:
+        from ..operators.features import apply_narrow_types, chosen_types
+        df = apply_narrow_types(df, chosen_types(df))
     w = df.write.option("compression", "snappy").mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)

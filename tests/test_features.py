@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paysift.operators import features as FE
+from paysift.sources.files import save_dataset
 
 SCHEMA = ("txn_id STRING, step INT, type STRING, amount DOUBLE, nameOrig STRING, "
           "oldbalanceOrg DOUBLE, newbalanceOrig DOUBLE, nameDest STRING, oldbalanceDest DOUBLE, "
@@ -100,3 +101,44 @@ def test_feature_matrix_hot_receivers(spark, txn):
     ra = sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in a.collect())
     rb = sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in b.collect())
     assert ra == rb
+
+
+def test_feature_matrix_window_hot_keys(spark, txn):
+    """hot_rows=5: most senders and all receivers take the split path of the window plan."""
+    a = FE.feature_matrix(txn, group_strategy="window", hot_rows=5)
+    b = FE.feature_matrix(txn)
+    ra = sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in a.collect())
+    rb = sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in b.collect())
+    assert ra == rb
+
+
+def test_narrowed_sink(spark, tmp_path):
+    rows = [(1, 300, 0.5, None, "a"), (2, -70000, 0.25, None, None), (None, 5, None, None, "b")]
+    df = spark.createDataFrame(rows, "a long, b long, c double, d long, e string")
+    save_dataset(df, str(tmp_path / "t"), narrow=True)
+    back = spark.read.parquet(str(tmp_path / "t"))
+    kinds = dict(back.dtypes)
+    assert (kinds["a"], kinds["b"], kinds["c"], kinds["e"]) == ("tinyint", "int", "float", "string")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    save_dataset(df.withColumn("c", F.lit(0.1)), str(tmp_path / "u"), narrow=True)
+    assert dict(spark.read.parquet(str(tmp_path / "u")).dtypes)["c"] == "double"
+    save_dataset(df.limit(0), str(tmp_path / "v"), narrow=True)
+    assert spark.read.parquet(str(tmp_path / "v")).count() == 0
+
+
+def test_select_by_type_and_presence(spark):
+    df = spark.createDataFrame([("x", 1, 2.0, True)], "k string, a int, b double, y boolean")
+    assert FE.select_numeric(df, exclude=["b"], keep=["k"]).columns == ["k", "a"]
+    assert FE.select_numeric(df, keep=["a"]).columns == ["a", "b"]
+    assert FE.select_existing(df, ["b", "none", "k"]).columns == ["b", "k"]
+
+
+def test_recomputed_features_follow_their_columns(spark, txn):
+    fm = FE.feature_matrix(txn)
+    same = FE.recompute_features(fm)
+    assert same.columns == fm.columns
+    diff = same.join(fm.alias("f"), "txn_id").where(F.abs(same["log_amount"] - F.col("f.log_amount")) > 1e-9).count()
+    assert diff == 0
+    moved = FE.recompute_features(fm.withColumn("newbalanceOrig", F.lit(0.0)).withColumn("amount", F.lit(9.0)))
+    r = moved.select(F.min("is_zero_balance"), F.max(F.abs(F.col("error_orig") - (F.col("oldbalanceOrg") - 9.0))), F.max("log_amount"), F.min("log_amount")).first()
+    assert r[0] == 1 and r[1] < 1e-9 and abs(r[2] - math.log(10)) < 1e-12 and r[2] == r[3]

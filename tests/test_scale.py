@@ -60,3 +60,21 @@ def test_score_buckets_near_zero_and_above_one(spark):
     auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
     assert abs(got["roc_auc"] - auc) < 1e-12
     assert score_cumulants(df).agg(F.max("cpos"), F.max("cneg")).first() == (len(pos), len(neg))
+
+
+def test_window_form_splits_hot_keys(spark):
+    """A third of the rows has one key, another third none: no window partition is far above the mean."""
+    df = spark.range(30_000).select(
+        F.col("id").alias("txn_id"), (F.col("id") % 97).cast("double").alias("x"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id") % 500)).alias("k"))
+    aggs = {"n": F.count("x"), "s": F.sum("x"), "m": F.max("x")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = attach_group_aggregates(df, ["k"], aggs, "window", hot_rows=200, row_key=["txn_id"])
+        assert out.columns == [*df.columns, *aggs]
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 30_000 and max(sizes) < 2 * 30_000 / 8
+        want = df.join(df.groupBy("k").agg(*[e.alias(n) for n, e in aggs.items()]), "k", "left").select(out.columns)
+        assert out.exceptAll(want).count() == want.exceptAll(out).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
