@@ -3,6 +3,7 @@ repeated rows, copies, near copies and extra columns."""
 
 import hashlib
 import random
+import tempfile
 
 import pytest
 from brute import contaminated, near, passages, substring
@@ -96,6 +97,18 @@ def test_contamination(spark, stored, rows):
     assert drop_contaminated(stored, bench).count() == sum(not x[5] for x in want)
 
 
+def test_equal_items_and_a_common_word(spark):
+    """Many items of one text, and a word that is an item by itself in every place of a document."""
+    tail = "one two three four five six seven eight nine ten eleven twelve"
+    items = [(i, "Word!") for i in range(40)] + [(100 + i, tail) for i in range(30)] + [(200, "x " + tail + " y"), (201, "one two three four five six")]
+    rows = [(i, "word " * 300 + tail) for i in range(12)] + [(50, tail), (51, "word other " * 50), (52, "one two three four five"), (53, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    docs.write.mode("overwrite").parquet(path := tempfile.mkdtemp(prefix="run-common-") + "/d")
+    found = contamination(spark.read.parquet(path), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = [(x.doc_id, x.n_words, x.n_hit, len(x["items"]), hashlib.sha256(",".join(x["items"]).encode()).hexdigest(), x.n_hit > 0) for x in found]
+    assert order(got) == order(contaminated(rows, items))
+
+
 def test_empty_tables(spark, stored):
     none = stored.limit(0)
     assert remove_repeats(none).count() == 0
