@@ -290,8 +290,11 @@ def feature_matrix(df: DataFrame, group_strategy: str = "join",
         out, key = base, ["txn_id"] if "txn_id" in base.columns else base.columns
         for attach in (create_sender_features, create_velocity_features, create_receiver_features):
             out = attach(out, "window", hot_rows, key, base)
-        out = out.transform(create_interaction_features).transform(drop_unused_columns)
-        return clean_and_validate(select_features(out))
+        out = select_features(drop_unused_columns(create_interaction_features(out, amount_p95(base))))
+        if materialise:  # read twice: by the extremes and by the result
+            from ..sources.files import cut_lineage
+            out = cut_lineage(out, "window-features")
+        return clean_and_validate(out)
     key = ["txn_id"] if "txn_id" in base.columns else None
     a = F.col("amount")
     sv = sender_velocity_table(base, hot_rows)
