@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import prepare, save
 
 ASSISTANT = "assistant"
+#: Rows of a node that one task of a join takes; nodes with more are dealt out.
+HOT_ROWS = 20_000
 _ESCAPE = re.compile(r"[\\<]")
 _ESCAPE_ROLE = re.compile(r"[\\<>]")
 _PLAIN = re.compile(r"\\(.)", re.S)
@@ -64,10 +66,23 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
+def _with_nodes(paths: DataFrame, nodes: DataFrame, by: str, hot_rows: int) -> DataFrame:
+    """``paths`` joined with ``nodes`` on node.  A node of more than ``hot_rows``
+    rows (a first turn that many conversations share) is sent to as many tasks
+    as its rows need, which are dealt by ``by``."""
+    parts = F.ceil(F.col("count") / F.lit(hot_rows)).cast("int").alias("_parts")
+    hot = F.broadcast(paths.groupBy("node").count().where(F.col("count") > hot_rows).select("node", parts))  # <= rows / hot_rows rows
+    salt = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"))
+    dealt = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    left = paths.join(hot, "node", "left").withColumn("_salt", salt).drop("_parts")
+    return left.join(nodes.join(hot, "node", "left").withColumn("_salt", dealt).drop("_parts"), ["node", "_salt"]).drop("_salt")
+
+
 _INTERVALS = "array<struct<start:long,end:long>>"
 
 
-def prefix_tree(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def prefix_tree(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
+                hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes: node, parent, depth, start, length, position (of the first token),
     attends (intervals), loss_start and loss_end (places, null without loss),
     text; paths: leaf, depth, node; members: conv_id, leaf (its last node)."""
@@ -122,7 +137,7 @@ def prefix_tree(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
     segment = (segment.withColumn("sum", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(F.broadcast(of_part), "part")  # a row per partition
                .select("owner", (F.col("base") + F.col("sum") - F.col("from")).alias("shift")))
     at = owned.join(segment, "owner").select("node", "owner", (F.col("shift") + F.col("position")).alias("start"))
-    lines = path.join(at, "node").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("depth", "parent", "node", "position", "length", "owner", "start"))).alias("nodes"))
+    lines = _with_nodes(path, at, "row", hot_rows).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("depth", "parent", "node", "position", "length", "owner", "start"))).alias("nodes"))
 
     def emit(batches):
         for batch in batches:
@@ -151,11 +166,11 @@ def prefix_tree(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
     return save(nodes, "prefix_tree"), path.select("leaf", "depth", "node"), placed.select(conv_id, "leaf")
 
 
-def read_back(nodes: DataFrame, paths: DataFrame, members: DataFrame, conv_id: str = "conv_id") -> DataFrame:
+def read_back(nodes: DataFrame, paths: DataFrame, members: DataFrame, conv_id: str = "conv_id", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per conversation, read from the tree alone: n_turns, turns_sha256,
     loss_chars, loss_sha256, formatted_chars (see the contract of operator 1)."""
     parts = F.sort_array(F.collect_list(F.struct("depth", "text", "start", "loss_start", "loss_end"))).alias("parts")
-    whole = paths.join(nodes.drop("depth"), "node").groupBy("leaf").agg(parts)
+    whole = _with_nodes(paths, nodes.drop("depth"), "leaf", hot_rows).groupBy("leaf").agg(parts)
 
     def digest(batches):
         for batch in batches:
