@@ -16,6 +16,7 @@ their own; which of two equal rows takes which of their slots is free.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 
@@ -37,6 +38,27 @@ MEMORY = 4_000_000
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _TABLES: dict[str, "ChunkIds"] = {}
+#: What the tokenizer file must do for the cuts above to be exact.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def check_tokenizer(spec: dict) -> None:
+    """Raises where ``ChunkIds`` would not give the library's ids: it cuts texts
+    at white space and sends lower-case words straight to the byte-level model."""
+    normal, pre, model = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    steps, parts = normal.get("normalizers", []), pre.get("pretokenizers", [])
+    space = [(x.get("pattern"), x.get("content")) for x in steps if x.get("type") == "Replace"]
+    if [x.get("type") for x in steps] != NORMALIZERS or space != [({"Regex": r"\s+"}, " ")]:
+        raise ValueError("this tokenizer's normalizer is not NFC, white space to one space, lower case")
+    if [x.get("type") for x in parts] != ["Split", "ByteLevel"] or parts[0].get("pattern") != {"Regex": SPLIT} \
+            or (parts[0].get("behavior"), parts[0].get("invert")) != ("Removed", True) \
+            or parts[1].get("add_prefix_space") or parts[1].get("use_regex", True):
+        raise ValueError("this tokenizer's words are not those that packing cuts texts into")
+    if model.get("type") != "BPE" or model.get("dropout"):
+        raise ValueError("this tokenizer's model is not a BPE model without dropout")
+    if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized") or set(x["content"]) & set(" \t\n\r") for x in spec.get("added_tokens", [])):
+        raise ValueError("an added token of this tokenizer depends on the text around it")
 
 
 class ChunkIds:
@@ -46,6 +68,7 @@ class ChunkIds:
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        check_tokenizer(json.loads(self.tokenizer.to_str()))
         self.clear()
 
     def clear(self) -> None:
@@ -198,7 +221,7 @@ def assign(pieces_df: DataFrame, capacity: int = 2048, id_col: str = "doc_id", p
     spark = pieces_df.sparkSession
     counts = pieces_df.groupBy("length").count().collect()  # at most capacity rows
     events, _ = best_fit_plan({r["length"]: r["count"] for r in counts}, capacity)
-    plan = spark.createDataFrame(events or [(0, 0, 0, 1, 0, 0)], "length long, r0 long, r1 long, per long, s0 long, o0 long")
+    plan = spark.sparkContext.broadcast(_plan_arrays(events))  # a bounded number of rows (see best_fit_plan)
     buckets = max(16, sum(r["count"] for r in counts) // per_bucket)
     rows = pieces_df.withColumn("_b", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -206,12 +229,33 @@ def assign(pieces_df: DataFrame, capacity: int = 2048, id_col: str = "doc_id", p
                .select("length", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
     inside = Window.partitionBy("length", "_b").orderBy(id_col, "piece")
     ranked = (rows.withColumn("_i", F.row_number().over(inside) - 1).join(offsets, ["length", "_b"])
-              .withColumn("_rank", F.col("_before") + F.col("_i")))
-    # The plan has a bounded number of rows (see best_fit_plan).
-    slot = ranked.join(F.broadcast(plan), "length").where("_rank >= r0 and _rank < r1")
-    return slot.select(*pieces_df.columns,
-                       (F.col("s0") + F.expr("(_rank - r0) div per")).cast("long").alias("sequence_id"),
-                       (F.col("o0") + (F.col("_rank") - F.col("r0")) % F.col("per") * F.col("length")).cast("long").alias("offset"))
+              .select(*pieces_df.columns, F.col("length").cast("long").alias("_length"), (F.col("_before") + F.col("_i")).cast("long").alias("_rank")))
+
+    def take(batches):
+        for batch in batches:
+            rank, length = batch.column("_rank").to_numpy(), batch.column("_length").to_numpy()
+            sequence, offset = slots(plan.value, length, rank)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:-2], "sequence_id", "offset"])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pieces_df.schema.fields)
+    return ranked.mapInArrow(take, kinds + "sequence_id long, offset long")
+
+
+def _plan_arrays(events: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The events by length and first rank as columns, and their first places
+    when pieces are counted through by length, then rank."""
+    plan = np.array(sorted(events) or [(0, 0, 0, 1, 0, 0)], np.int64)
+    size = plan[:, 2] - plan[:, 1]
+    return plan, np.cumsum(size) - size
+
+
+def slots(plan: tuple[np.ndarray, np.ndarray], length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of the pieces of these lengths and ranks, each event
+    found by bisection: the events of a length hold all its ranks in order."""
+    events, first = plan
+    place = first[np.searchsorted(events[:, 0], length)] + rank
+    n, r0, _, per, s0, o0 = events[np.searchsorted(first, place, "right") - 1].T
+    return s0 + (rank - r0) // per, o0 + (rank - r0) % per * n
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id",
