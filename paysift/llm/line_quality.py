@@ -8,7 +8,8 @@ its document's label.  A document's score is the mean over its lines, weighted
 by length, of the forward-backward probability of "good".
 
 Training: on a bounded sample (``max_docs``: the labelled documents of least id
-hash, so it is the same at every run), on the driver, by gradient ascent.  It
+hash, so it is the same at every run), on the driver, by gradient ascent.  Where ids
+repeat, it reads at most twice as many rows, in the order of id and text.  It
 is the only part that is bounded; scoring reads every line of every text.
 Scoring is one pass without a shuffle; a document is scored in its own row.
 
@@ -30,28 +31,39 @@ from .common import WS_MASK, prepare, segments, text_buffers, words
 _CLASSES = [b"#*$%&<>^~=+@", b"|", b"!?", bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100)), bytes(range(0x30, 0x3A)), b" \t", b".,;:"]
 _CLASS_MASK = np.array([[b in c for b in range(256)] for c in _CLASSES])
 N_OWN = 13
+#: Bytes whose classes are counted at a time.
+PIECE = 1 << 18
 N_FEATURES = 3 * N_OWN + 3
 
 
+def _class_counts(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
+    """Bytes of each class in each line, a piece of the text at a time: a text's
+    lines need no more memory for it than one piece does."""
+    counts = np.zeros((len(_CLASSES), len(start)), np.int64)
+    for p in range(int(start[0]), int(stop[-1]), PIECE):
+        buf = raw[p:min(p + PIECE, int(stop[-1]))]
+        lines = slice(int(np.searchsorted(stop, p, "right")), int(np.searchsorted(start, p + len(buf), "left")))
+        a, b = np.clip(start[lines] - p, 0, len(buf)), np.clip(stop[lines] - p, 0, len(buf))
+        for c, mask in enumerate(_CLASS_MASK):
+            cum = np.concatenate([[0], np.cumsum(mask[buf], dtype=np.int64)])
+            counts[c, lines] += cum[b] - cum[a]
+    return list(counts)
+
+
 def line_features(raw, offsets, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, length, features) of the lines with text of rows lo..hi-1."""
     a, b = int(offsets[lo]), int(offsets[hi])
     row, s, e, h = words(raw, offsets, lo, hi, WS_MASK, fold=False)
     if not len(row):
         return np.zeros(0, np.int64), np.zeros(0), np.zeros((0, N_FEATURES))
-    buf = raw[a:b]
-    breaks = np.unique(np.concatenate([np.flatnonzero(buf == 10) + 1 + a, offsets[lo:hi]]))
+    breaks = np.unique(np.concatenate([np.flatnonzero(raw[a:b] == 10) + 1 + a, offsets[lo:hi]]))
     of_word = np.searchsorted(breaks, s, "right") - 1  # a word never spans lines
     used, line = np.unique(of_word, return_inverse=True)
     start = breaks[used]
     stop = np.append(breaks, b)[used + 1]
     stop -= (stop > start) & (raw[np.maximum(stop - 1, 0)] == 10)
     size, n = (stop - start).astype(float), np.bincount(line).astype(float)
-    share = []
-    for mask in _CLASS_MASK:
-        cum = np.concatenate([[0], np.cumsum(mask[buf], dtype=np.int64)])
-        share.append(cum[stop - a] - cum[start - a])
-    symbols, bars, bangs, upper, lower, digits, spaces, marks = share
+    symbols, bars, bangs, upper, lower, digits, spaces, marks = _class_counts(raw, start, stop)
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (line[1:] == line[:-1])
     order = np.lexsort((h, line))
