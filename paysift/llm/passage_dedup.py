@@ -12,8 +12,9 @@ kept with each symbol (the edge of a document counts as unknown).  The anchor of
 a window is the symbol of the highest round whose stretch lies inside the
 window, of those the one of least name hash.  A single word always qualifies,
 so every window has an anchor and equal windows have the same one: shared
-symbols reveal every repeat.  ``repeats`` joins them and verifies the windows
-(by 64-bit hashes of 20 words among windows of one 64-bit anchor key).
+symbols reveal every repeat.  ``repeats`` joins them and verifies the windows:
+those of one anchor with one 64-bit hash of their 20 words are compared on the
+words themselves, which travel with each run of windows.
 
 Nulls, empty texts and texts of fewer than SIZE words lose nothing.  Rows that
 repeat an id count as one document when places are compared; windows at the
@@ -25,8 +26,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import WS_MASK, _powers, gram_hash, mix, row_counts, stored, words
-from .repeats import Runs, finish, repeated_spans
+from .common import WS_MASK, _powers, gram_hash, lanes, mix, row_counts, same_bytes, segments, stored, words
+from .repeats import Runs, finish, ordered_ids, repeated_spans
 
 SIZE, ROUNDS = 20, 2
 #: Window starts handled at a time.
@@ -88,12 +89,60 @@ def _least(order: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Words(Runs):
+    """``text``: the words of the segment joined by one space, word i from
+    ``begin[i]`` on."""
+
     def window_hash(self, runs, first):
         return self.hashes[self.at[runs] + first]
 
     def windows(self, runs, first, count):
         a = self.at[runs] + first
-        return [self.hashes[i:i + n].tobytes() for i, n in zip(a.tolist(), count.tolist(), strict=True)]
+        return [self.text[i:j].tobytes() for i, j in zip(self.begin[a].tolist(), (self.begin[a + count + SIZE - 1] - 1).tolist(), strict=True)]
+
+
+def joined(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words s..e, a space after each, and where they begin there (and end)."""
+    begin = np.concatenate([np.zeros(1, np.int64), np.cumsum(e - s + 1)])
+    text = np.full(int(begin[-1]), 0x20, np.uint8)
+    if len(s):
+        inside = np.ones(len(text), bool)
+        inside[begin[1:] - 1] = False
+        buf = raw[s[0]:e[-1]]
+        text[inside] = buf[WS_MASK[buf]]
+    return text, begin.astype(np.int32) if begin[-1] < 1 << 31 else begin
+
+
+def unit(h: np.ndarray) -> np.ndarray:
+    """Hash of each window of consecutive words."""
+    return gram_hash(h, SIZE)
+
+
+def window_units(raw: np.ndarray, off: np.ndarray):
+    """The windows of texts (words joined by one space) for ``equal_windows``: an
+    8-byte hash each, and the comparison of their words."""
+    parts = [words(raw, off, lo, hi, WS_MASK, fold=False) for lo, hi in segments(off)] or [words(raw, off, 0, 0, WS_MASK, fold=False)]
+    row, s, e, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+    count = np.bincount(row, minlength=len(off) - 1)
+    first = np.cumsum(count) - count
+    at = np.flatnonzero(row[:len(h) - SIZE + 1] == row[SIZE - 1:])
+    hashes, start = unit(h)[at].view(np.uint8), np.concatenate([np.zeros(1, np.int64), np.cumsum(count - SIZE + 1)])
+    lane = lanes(np.concatenate([raw[:off[-1]], np.zeros(8, np.uint8)]))
+
+    def bounds(i, j):
+        a = first[i] + j
+        return s[a], e[a + SIZE - 1]
+
+    def whole(i, j):
+        a, b = bounds(i, j)
+        return raw[a:b].tobytes()
+
+    def same(i, j, k, m):
+        (a, b), (c, d) = bounds(i, j), bounds(k, m)
+        out = b - a == d - c
+        out[out] = same_bytes(lane, a[out], c[out], (b - a)[out])
+        return out
+
+    return hashes, start * 8, whole, same
 
 
 def choose(h: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +175,7 @@ def choose(h: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> Runs:
-    row, _, _, h = words(raw, offsets, lo, hi, WS_MASK, fold=False)
+    row, s, e, h = words(raw, offsets, lo, hi, WS_MASK, fold=False)
     hashes = gram_hash(h, SIZE)
     parts = []
     for a in range(0, len(hashes), CHUNK):  # pieces of a long text overlap by a window
@@ -149,6 +198,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> Runs:
     at_row = row[begin] if len(begin) else begin
     runs = _Words(at_row, key, begin - starts[at_row - lo], count, content)
     runs.at, runs.hashes = begin, hashes
+    runs.text, runs.begin = joined(raw, s, e)
     return runs
 
 
@@ -163,9 +213,10 @@ def measure(text: np.ndarray, spans: list[tuple[int, int]]) -> tuple[int, int, b
 
 
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = 4_000) -> DataFrame:
-    """Per row: _row, its other columns, n_words, n_removed, kept (the words
+    """Per row: its number (_row, or with more underscores), its other columns, n_words, n_removed, kept (the words
     that stay, joined by one space, as UTF-8).  Anchors that occur ``hot_rows``
     times or more are dealt window by window."""
+    docs, number = ordered_ids(docs, id_col)
     docs, row = stored(docs)
-    spans = repeated_spans(docs, row, anchors, SIZE, id_col, text_col, across=False, width=8, step=8, hot_rows=hot_rows)
-    return finish(docs, row, spans, measure, "n_words long, n_removed long, kept binary", text_col)
+    spans = repeated_spans(docs, row, anchors, SIZE, number, text_col, across=False, width=8, step=8, hot_rows=hot_rows, units=window_units)
+    return finish(docs, row, spans, measure, "n_words long, n_removed long, kept binary", text_col, drop=() if number == id_col else (number,))

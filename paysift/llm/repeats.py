@@ -12,7 +12,7 @@ keys wherever they stand.  How anchors are chosen is the operators' own method.
 3. Rows are dealt and sorted by key.  Whole groups, some at a time, are split by
    the windows' bytes, eight at a time and most significant first; groups of one
    end at each pass, and what is left are the equal windows, compared on all
-   their bytes (``equal_windows``).  A window that is not the earliest of its
+   their bytes, or words (``equal_windows``).  A window that is not the earliest of its
    group is a repeat.  Keys that occur ``hot_rows`` times or more (a second bit
    filter of a fixed size; a false hit only splits a key that needn't be) are
    dealt by window, not by key, so a passage in a third of all documents is
@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import bit_filter, discard, in_filter, lanes, mix, prepare, same_bytes, save, segments, signed, span_hash, text_buffers
 
@@ -42,6 +43,35 @@ NULL_ID = -(1 << 63)
 LENGTH = 20
 #: Windows sorted at a time (whole groups, so one group may be larger).
 WINDOWS = 1 << 19
+#: Bytes of text taken for a window where windows are words.
+TEXT_STEP = 16
+
+
+def ordered_ids(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` and a column of whole numbers in the order of the ids: the ids
+    themselves, or, of another type (strings, decimals), numbers of the sorted
+    distinct ids, joined to the rows (each id dealt over 16 tasks)."""
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
+        return docs, id_col
+    prepare(docs.sparkSession)
+    name = free_name("_id", docs.columns)
+    ids = docs.select(F.col(id_col).alias("_v")).where("_v is not null").distinct()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbers = save(ids.repartitionByRange(parts, "_v").sortWithinPartitions("_v").select("_v", F.monotonically_increasing_id().alias(name)), "ordered_ids")
+    key = free_name("_k", [*docs.columns, name])
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.lit(16)).cast("int")
+    dealt = (numbers.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(15))))
+                    .select(F.struct("_v", "_s").alias(key), name))
+    rows = docs.withColumn(key, F.struct(F.col(id_col).alias("_v"), salt.alias("_s")))
+    return rows.join(dealt, key, "left").drop(key), name
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores added until none of ``columns`` has it."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 @dataclass
@@ -97,14 +127,17 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def equal_windows(key, content, id0, at0, raw, off, width: int, step: int):
+def equal_windows(key, content, id0, at0, raw, off, width: int, step: int, units=None):
     """Rows of one key (sorted) are a group: (row, first window, last window + 1,
     id and shift of the earliest place) of each stretch of windows with one
     earliest place.  Window j of row i is the ``width`` bytes (8 at least) from
     j x ``step`` on in raw[off[i]:off[i + 1]]; it stands at at0[i] + j in document
     id0[i].  Rows of one text (found by ``content``, a hash, and compared) are
     looked at once.  A key with one text needs no passes: the windows of a text
-    have one anchor, so they differ from each other."""
+    have one anchor, so they differ from each other.  ``units``: where windows
+    are not bytes of the text itself, (their raw and off, content(i, j): bytes of
+    the whole window j of row i, same(i, j, k, l): are windows equal); windows with
+    equal units are then compared, and told apart where they differ."""
     size = np.diff(off)
     word = lanes(np.concatenate([raw[:off[-1]], np.zeros(8, np.uint8)]))
     order = np.lexsort((at0, id0, size, content, key))
@@ -115,7 +148,10 @@ def equal_windows(key, content, id0, at0, raw, off, width: int, step: int):
     of = np.empty(len(key), np.int64)  # each row's text
     of[order] = text
     head = np.concatenate([first, order[differ]])  # the earliest row of each text
-    n = (size[head] - width) // step + 1
+    if units:
+        raw, off, whole, same = units
+        word = lanes(np.concatenate([raw[:off[-1]], np.zeros(8, np.uint8)]))
+    n = (np.diff(off)[head] - width) // step + 1
     group = _dense(_heads(key))[head]
     some = np.bincount(group, minlength=1)[group] > 1
     several, one = np.flatnonzero(some), np.flatnonzero(~some)
@@ -133,6 +169,15 @@ def equal_windows(key, content, id0, at0, raw, off, width: int, step: int):
     by = np.lexsort(((gat + j)[left], gid[left], g))
     left, g = left[by], g[by]
     least = left[_heads(g)][_dense(_heads(g))] if len(g) else left
+    if units and len(g):
+        wrong = np.isin(g, g[~same(head[t[left]], j[left], head[t[least]], j[least])])
+        if wrong.any():  # units equal by chance: by the windows themselves
+            names: dict[tuple, int] = {}
+            g[wrong] = [names.setdefault((x, whole(int(head[t[i]]), int(j[i]))), len(names)) + int(g[-1]) + 1
+                        for x, i in zip(g[wrong].tolist(), left[wrong].tolist(), strict=True)]
+            by = np.argsort(g, kind="stable")  # places stay in order
+            left, g = left[by], g[by]
+            least = left[_heads(g)][_dense(_heads(g))]
     gid[left], gat[left] = id0[head[t[least]]], at0[head[t[least]]] + j[least] - j[left]
     begin = np.flatnonzero(_heads(t, gid, gat))
     end = np.append(begin[1:], len(t))[:len(begin)] - 1
@@ -148,12 +193,13 @@ def equal_windows(key, content, id0, at0, raw, off, width: int, step: int):
 
 
 def repeated_spans(docs: DataFrame, row_col: str, anchors, size: int, id_col: str, text_col: str, across: bool, width: int,
-                   step: int, filter_bits: int = 1 << 28, hot_bits: int = 1 << 24, hot_rows: int = 4_000) -> DataFrame:
+                   step: int, filter_bits: int = 1 << 28, hot_bits: int = 1 << 24, hot_rows: int = 4_000, units=None) -> DataFrame:
     """(_row, span) of spans (see LENGTH) covered by a window of ``size`` that also
     starts earlier: in a document of a smaller id (``across``), or there or
     earlier in the same document.  Window j of ``Runs.windows`` is its ``width``
-    bytes from j x ``step`` on.  Null ids come before all others.  ``docs`` and
-    ``row_col``: from ``stored``."""
+    bytes from j x ``step`` on; or ``units(raw, off)`` makes the units of these
+    texts (see ``equal_windows``).  Null ids come before all others.  ``id_col``: a
+    whole number (see ``ordered_ids``).  ``docs`` and ``row_col``: from ``stored``."""
     spark = prepare(docs.sparkSession)
     keys = save(_keys(docs, anchors, text_col, across), "repeated_keys")
     known = bit_filter(keys.select("h"), filter_bits)
@@ -218,7 +264,7 @@ def repeated_spans(docs: DataFrame, row_col: str, anchors, size: int, id_col: st
         start = batch.column(2).offsets.to_numpy().astype(np.int64) // 3
         places = batch.column(2).values.to_numpy().reshape(-1, 3)
         id0, at0 = places[start[:-1], 0], places[start[:-1], 2]
-        i, a, b, gid, gat = equal_windows(key, span_hash(raw, off[:-1], off[1:]), id0, at0, raw, off, width, step)
+        i, a, b, gid, gat = equal_windows(key, span_hash(raw, off[:-1], off[1:]), id0, at0, raw, off, width, step, units and units(raw, off))
         n = start[i + 1] - start[i]
         s = np.repeat(np.arange(len(i)), n)
         place = places[np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n) + start[i][s]]
@@ -232,7 +278,7 @@ def repeated_spans(docs: DataFrame, row_col: str, anchors, size: int, id_col: st
         held, windows = [], 0
         for batch in batches:
             held.append(batch)
-            windows += (batch.column(1).nbytes - batch.num_rows * width) // step + batch.num_rows
+            windows += batch.column(1).nbytes // TEXT_STEP if units else (batch.column(1).nbytes - batch.num_rows * width) // step + batch.num_rows
             if windows < WINDOWS:
                 continue
             batch = pa.concat_batches(held)
@@ -249,29 +295,32 @@ def repeated_spans(docs: DataFrame, row_col: str, anchors, size: int, id_col: st
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(judge, "_row long, span long")
 
 
-def finish(docs: DataFrame, row_col: str, spans: DataFrame, measure, schema: str, text_col: str, filter_bits: int = 1 << 24) -> DataFrame:
+def finish(docs: DataFrame, row_col: str, spans: DataFrame, measure, schema: str, text_col: str, filter_bits: int = 1 << 24,
+           drop: tuple[str, ...] = ()) -> DataFrame:
     """``measure(text bytes, merged spans) -> tuple`` (of ``schema``) per row of
-    ``docs``, with its ``_row`` and other columns (one with the name of a result
-    is replaced)."""
+    ``docs``, with its ``row_col`` and other columns but those of ``drop`` (one
+    with the name of a result is replaced)."""
     spans = save(spans.groupBy("_row").agg(F.collect_list("span").alias("_spans")), "spans")
     known = bit_filter(spans.select(F.col("_row").alias("_r"), F.xxhash64("_row").alias("h")).select("h"), filter_bits)
     names = [x.split()[0] for x in schema.split(", ")]
-    others = [c for c in docs.columns if c not in (text_col, row_col, "_row", "_text", "_h", "_spans", *names)]
-    base = docs.select(F.col(row_col).alias("_row"), *others, F.col(text_col).alias("_text")).withColumn("_h", F.xxhash64("_row"))
-    head = "_row long, " + "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
+    others = [c for c in docs.columns if c not in (text_col, row_col, *drop, *names)]
+    text, h, found = (free_name(c, docs.columns) for c in ("_text", "_h", "_spans"))
+    spans = spans.select(F.col("_row").alias(row_col), F.col("_spans").alias(found))
+    base = docs.select(row_col, *others, F.col(text_col).alias(text)).withColumn(h, F.xxhash64(row_col))
+    head = f"`{row_col}` long, " + "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
 
     def out(batch, keep, spans_of):
-        raw, off = text_buffers(batch.column("_text"))
-        found = [measure(raw[off[i]:off[i + 1]], merged(spans_of(i))) for i in keep]
-        cols = list(zip(*found, strict=True)) if found else [[] for _ in names]
+        raw, off = text_buffers(batch.column(text))
+        results = [measure(raw[off[i]:off[i + 1]], merged(spans_of(i))) for i in keep]
+        cols = list(zip(*results, strict=True)) if results else [[] for _ in names]
         kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         types = [kinds[x.split()[1]] for x in schema.split(", ")]
         idx = pa.array(keep, pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(c).take(idx) for c in ["_row", *others]] + [pa.array(c, t) for c, t in zip(cols, types, strict=True)],
-                                          ["_row", *others, *names])
+        return pa.RecordBatch.from_arrays([batch.column(c).take(idx) for c in [row_col, *others]] + [pa.array(c, t) for c, t in zip(cols, types, strict=True)],
+                                          [row_col, *others, *names])
 
     def may(batch):
-        return in_filter(known.value, batch.column("_h").to_numpy().view(np.uint64))
+        return in_filter(known.value, batch.column(h).to_numpy().view(np.uint64))
 
     def clean(batches):
         for batch in batches:
@@ -283,11 +332,11 @@ def finish(docs: DataFrame, row_col: str, spans: DataFrame, measure, schema: str
 
     def cut(batches):
         for batch in batches:
-            col = batch.column("_spans")
+            col = batch.column(found)
             yield out(batch, range(batch.num_rows), lambda i, col=col: [(x >> LENGTH, (x >> LENGTH) + (x & (1 << LENGTH) - 1)) for x in col[i].as_py() or []])
 
     untouched = base.mapInArrow(clean, head + schema)
-    touched = base.mapInArrow(forward, base.schema).join(spans, "_row", "left").mapInArrow(cut, head + schema)
+    touched = base.mapInArrow(forward, base.schema).join(spans, row_col, "left").mapInArrow(cut, head + schema)
     return untouched.union(touched)
 
 

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import SEGMENT, _BYTES, _powers, lanes, mix, stored, window_argmin
-from .repeats import Runs, finish, repeated_spans
+from .repeats import Runs, finish, ordered_ids, repeated_spans
 
 SIZE, DIGIT = 50, 16
 _C1, _C2 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -103,9 +103,11 @@ def measure(text: np.ndarray, spans: list[tuple[int, int]]) -> tuple[int, int, i
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = 4_000) -> DataFrame:
-    """Per row: _row, its other columns, n_bytes, n_removed, n_spans (maximal
+    """Per row: its number (_row, or with more underscores), its other columns, n_bytes, n_removed, n_spans (maximal
     removed runs) and kept (the remaining bytes).  Anchors that occur
     ``hot_rows`` times or more are dealt window by window."""
+    docs, number = ordered_ids(docs, id_col)
     docs, row = stored(docs)
-    spans = repeated_spans(docs, row, anchors, SIZE, id_col, text_col, across=True, width=SIZE, step=1, hot_rows=hot_rows)
-    return finish(docs, row, spans, measure, "n_bytes long, n_removed long, n_spans long, kept binary", text_col)
+    spans = repeated_spans(docs, row, anchors, SIZE, number, text_col, across=True, width=SIZE, step=1, hot_rows=hot_rows)
+    return finish(docs, row, spans, measure, "n_bytes long, n_removed long, n_spans long, kept binary", text_col,
+                  drop=() if number == id_col else (number,))

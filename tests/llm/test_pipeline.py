@@ -3,12 +3,15 @@ plain Python."""
 
 import hashlib
 import itertools
+import json
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from brute import WORD, contaminated, near
@@ -16,9 +19,10 @@ from test_exact import corpus, order
 
 import corpus_pipeline
 from paysift.llm.chat_tree import parse, prefix_tree, read_back, render
-from paysift.llm.line_quality import fit, forward_backward, score, train
-from paysift.llm.packing import best_fit_plan, pack
-from paysift.llm import quality_rules
+from paysift.llm.common import text_buffers
+from paysift.llm.line_quality import fit, forward_backward, line_features, score, train
+from paysift.llm.packing import _plan_arrays, best_fit_plan, check_tokenizer, pack, slots
+from paysift.llm import line_quality, quality_rules
 from paysift.llm.quality_rules import RULES, cascade, keep_good
 from paysift.llm.secrets import KINDS, redact, scan
 from paysift.llm.token_counts import token_counts
@@ -78,6 +82,44 @@ def test_packing(docs, rows, capacity):
     check_packing(got, capacity)
 
 
+def test_slots_are_those_of_the_events():
+    r = random.Random(4)
+    histogram = {n: r.randint(1, 400) for n in r.sample(range(1, 65), 40)}
+    events, _ = best_fit_plan(histogram, 64)
+    length, rank = (np.array(x) for x in zip(*[(n, k) for n, c in histogram.items() for k in range(c)], strict=True))
+    sequence, offset = slots(_plan_arrays(events), length, rank)
+    for n, k, q, o in zip(length.tolist(), rank.tolist(), sequence.tolist(), offset.tolist(), strict=True):
+        r0, _, per, s0, o0 = next(e[1:] for e in events if e[0] == n and e[1] <= k < e[2])
+        assert (q, o) == (s0 + (k - r0) // per, o0 + (k - r0) % per * n)
+
+
+def test_other_tokenizer_files_are_refused():
+    spec = json.load(open(WORD_BPE))
+    check_tokenizer(spec)
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"dropout": 0.1}},
+                   {"normalizer": {"type": "Sequence", "normalizers": spec["normalizer"]["normalizers"][:2]}},
+                   {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError):
+            check_tokenizer(spec | change)
+    with pytest.raises(ValueError):
+        check_tokenizer(json.load(open(WORD_BPE.replace("word_bpe_49k", "byte_bpe_50k"))))
+
+
+def test_line_features_in_pieces(monkeypatch):
+    """Counts of a long text's lines don't depend on where it is cut."""
+    r = random.Random(8)
+    text = ["\n".join("".join(r.choices("ab C1#|!. é", k=r.choice([0, 3, 400]))) for _ in range(60)) for _ in range(3)] + ["", "\n\n", "one"]
+    raw, offsets = text_buffers(pa.array(text))
+    want = line_features(raw, offsets, 0, len(text))
+    lines = [x for t in text for x in t.split("\n") if x.strip(" ")]
+    assert len(want[0]) == len(lines) and [int(x) for x in want[1]] == [len(x.encode()) for x in lines]
+    assert np.allclose(want[2][:, 1], [sum(c in "#*$%&<>^~=+@" for c in x) / len(x.encode()) for x in lines])
+    for size in (1, 7, 333):
+        monkeypatch.setattr(line_quality, "PIECE", size)
+        for a, b in zip(want, line_features(raw, offsets, 0, len(text)), strict=True):
+            assert np.array_equal(a, b)
+
+
 def test_best_fit_plan():
     rng = np.random.default_rng(1)
     for _ in range(40):
@@ -175,8 +217,8 @@ def test_chat(spark):
     texts = ["\\### Assistant: </turn> ok", "", None, "<turn user>\nx</turn>\n", "\\", "a\nb", "é<é"]
     rows = [(c, t, r, texts[(c * t + t) % len(texts)]) for c in range(25) for t, r in enumerate(["system", "user", "assistant", "user", "assistant"][:c % 6])]
     rows += [(None, 0, "user", "n"), (None, 0, "user", "n"), (99, None, None, "x"), (99, 1, "a>b\n", "y"), (98, 0, "user", "same"), (97, 0, "user", "same")]
-    nodes, paths, members = prefix_tree(spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, node string"))
-    got = {x.conv_id: x for x in read_back(nodes, paths, members).collect()}
+    nodes, paths, members = prefix_tree(spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, node string"), hot_rows=2)
+    got = {x.conv_id: x for x in read_back(nodes, paths, members, hot_rows=2).collect()}
     convs = {}
     for c, t, r, x in rows:
         convs.setdefault(c, []).append((t is not None, t or 0, r or "", x or ""))
