@@ -93,3 +93,34 @@ def test_query_equals_the_library(spark, library):
         want[r.doc_id] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op11_trie_bpe"](spark, sf).collect()}
     assert got == want
+
+
+def test_memory_is_bounded_and_what_is_in_use_stays(library, monkeypatch):
+    monkeypatch.setattr(trie_bpe, "MEMORY", 300)
+    model = trie_bpe.Vocabulary(PATH)
+    walked, walk = [], model.walk
+    model.walk = lambda words: walked.extend(words) or walk(words)
+    for k in range(40):
+        text = " always here" + "".join(f" w{k}x{i}" for i in range(50))
+        assert memoryview(model.encode_texts([text])[0]).cast("i").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert max(len(model.of_pieces), len(model.of_words)) <= 300 + 60
+    assert walked.count(b" always") == 1  # before, all was forgotten at once
+
+
+def test_decoding_reads_no_merges(library, monkeypatch):
+    """A worker that decodes holds the bytes of the tokens alone."""
+    import pyarrow as pa
+    monkeypatch.setattr(trie_bpe, "_with", lambda df, name, kind, source, make: make)
+    monkeypatch.setattr(trie_bpe, "vocabulary", None)
+    ids = library.encode("some text, <|endoftext|> more", add_special_tokens=False).ids
+    made = list(trie_bpe.decode(None, PATH)(pa.array([ids, None], pa.list_(pa.int32()))))
+    assert [t for _, _, texts in made for t in texts.to_pylist()] == ["some text, <|endoftext|> more", ""]
+    assert sum(x.nbytes for x in trie_bpe.token_bytes(PATH)) < 2_000_000
+
+
+def test_a_batch_is_held_a_group_at_a_time(library, monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(trie_bpe, "PART", 10)
+    column = pa.array(["é" * 4, None, "abc", "", "x" * 30, "y"])
+    assert list(trie_bpe._groups(column)) == [(0, 3), (3, 5), (5, 6)]
+    assert list(trie_bpe._groups(column.slice(2))) == [(0, 3), (3, 4)]
