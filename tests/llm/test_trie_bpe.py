@@ -5,6 +5,7 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from paysift.llm import trie_bpe
@@ -124,3 +125,18 @@ def test_a_batch_is_held_a_group_at_a_time(library, monkeypatch):
     column = pa.array(["é" * 4, None, "abc", "", "x" * 30, "y"])
     assert list(trie_bpe._groups(column)) == [(0, 3), (3, 5), (5, 6)]
     assert list(trie_bpe._groups(column.slice(2))) == [(0, 3), (3, 4)]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Rows that are long together come in several batches, to encoding and to decoding."""
+    import pyarrow as pa
+    docs = spark.range(0, 60, 1, 1).select("id", F.repeat(F.lit("some words "), 20_000).alias("text"))  # 13 MB
+
+    def size(column):
+        yield 0, len(column), pa.array([column.nbytes] * len(column), pa.int64())
+
+    got = trie_bpe._with(docs, "size", "long", "text", size).collect()
+    assert len(got) == 60 and max(r["size"] for r in got) < 2 * trie_bpe.BATCH
+    ids = docs.select("id", F.array_repeat(F.lit(7), 60_000).alias("ids"))
+    got = trie_bpe._with(ids, "size", "long", "ids", size).collect()
+    assert len(got) == 60 and max(r["size"] for r in got) < 2 * trie_bpe.BATCH
