@@ -140,3 +140,24 @@ def test_batches_are_bounded_by_bytes(spark):
     ids = docs.select("id", F.array_repeat(F.lit(7), 60_000).alias("ids"))
     got = trie_bpe._with(ids, "size", "long", "ids", size).collect()
     assert len(got) == 60 and max(r["size"] for r in got) < 2 * trie_bpe.BATCH
+
+
+def test_words_of_a_large_vocabulary_are_walked_once(library):
+    """A worker meets some hundred thousand different words; they are remembered."""
+    model = trie_bpe.Vocabulary(PATH)
+    texts = [" ".join(f"{i}" for i in range(k, k + 1000)) for k in range(0, 250_000, 1000)]
+    for text in texts:
+        model.encode_texts([text])
+    walked, walk = [], model.walk
+    model.walk = lambda words: walked.extend(words) or walk(words)
+    again = [model.encode_texts([text])[0] for text in texts]
+    assert not walked
+    for text, got in zip(texts[::50], again[::50], strict=True):
+        assert memoryview(got).cast("i").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_endings_of_words_before_a_stop(library):
+    model = trie_bpe.Vocabulary(PATH)
+    texts = ["a.", " a,", " don't; stop!", "é:", " é?", ".", " .", " ж.", "the 's. x's, 'll!", "1. 2, a1;", "a.\nb", "퟿."]
+    for text, got in zip(texts, model.encode_texts(texts), strict=True):
+        assert memoryview(got).cast("i").tolist() == library.encode(text, add_special_tokens=False).ids
