@@ -343,13 +343,13 @@ def histogram_columns(df: DataFrame, cols=MONEY_COLS, bins: int = HIST_BINS) ->
 def histogram_clipped(df: DataFrame, label: str = TARGET, bins: int = HIST_BINS) -> DataFrame:
     """Per (error column, class) histogram after clipping to that
     group's p1..p99."""
-    e = eda_errors(df).select(label, "errorOrig", "errorDest")
+    from ..sources.files import cut_lineage
+    e = cut_lineage(eda_errors(df).select(label, "errorOrig", "errorDest"), "errors")  # read four times
     lf = e.select(label, F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).alias("value"))
         for c in ["errorOrig", "errorDest"]])).alias("_kv")).select(label, "_kv.*")
     lf = lf.where(F.col("value").isNotNull())
     b = Buckets(lf, "value", ["column", label])
-    from ..sources.files import cut_lineage
     q = cut_lineage(b.quantile_row({"_p1": 0.01, "_p99": 0.99}), "clips")  # a row per column and class
     c = (lf.join(F.broadcast(q), ["column", label])
            .withColumn("value", F.least(F.greatest(F.col("value"), F.col("_p1")), F.col("_p99"))))

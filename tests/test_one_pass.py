@@ -74,3 +74,27 @@ def test_histogram_of_known_ranges(table):
     assert plain == P.histogram(table, "v", bins=7, ranges=known).orderBy("bin").collect()
     x = [r["v"] for r in table.collect()]
     assert [r["count"] for r in plain] == np.histogram(x, 7)[0].tolist()
+
+
+def test_clipped_histogram_computes_its_source_once(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    names = ["amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest"]
+    raw = spark.range(200).select(*[(F.col("id") * (i + 1) % 17).cast("double").alias(c) for i, c in enumerate(names)], (F.col("id") % 5 == 0).cast("int").alias("isFraud"))
+    out = P.histogram_clipped(raw.mapInArrow(counted, raw.schema), bins=4).collect()
+    assert rows.value == 200
+    assert sum(r["count"] for r in out) == 400
+
+
+def test_adversarial_rows_read_the_shared_matrix(spark, monkeypatch):
+    from paysift.plans import q_models
+    from paysift.registry import QUERIES
+    asked, table = [], q_models.feature_table
+    monkeypatch.setattr(q_models, "feature_table", lambda s, d: asked.append(d) or table(s, d))
+    assert QUERIES["adversarial_rows"](spark, "/root/testdata/sf0.001").count() == 1000
+    assert len(asked) == 1
