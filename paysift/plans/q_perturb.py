@@ -141,5 +141,5 @@ FROM pick CROSS JOIN p""", "amount", "balance_diff_orig", "balance_diff_dest", "
 @register("adversarial_rows", _adv_sql())
 def adversarial_rows(spark, sf):
     """1,000 stealth-fraud rows synthesised from legit feature rows."""
-    fm = FE.feature_matrix(transactions(spark, sf))
-    return L.adversarial_rows(fm, 1000).select(*_ADV_COLS)
+    from . import q_models  # its table is shared: the payments are joined once
+    return L.adversarial_rows(q_models.feature_table(spark, sf), 1000).select(*_ADV_COLS)
