@@ -66,3 +66,11 @@ def test_metrics_of_counts_are_those_of_rows(spark):
     sc = spark.createDataFrame([("a", 1, .9), ("a", 0, .9), ("a", None, .2), ("a", 1, None), ("b", 1, .4), ("b", 0, .7), ("b", 0, .1)], "g string, label int, score double")
     want = K.compute_metrics(sc, 0.5, ["g"]).orderBy("g").collect()
     assert K.compute_metrics(K.score_counts(sc, ["g"]), 0.5, ["g"], counted=True).orderBy("g").collect() == want
+
+
+def test_features_are_permuted_a_few_at_a_time(rows, monkeypatch):
+    want = R.permutation_importance(rows, R.feature_pseudo_scorer, 0.5, RAW).collect()
+    freed = []
+    monkeypatch.setattr(R, "PERMUTED", 2)
+    monkeypatch.setattr(R, "free_shuffles", freed.append)
+    assert R.permutation_importance(rows, R.feature_pseudo_scorer, 0.5, RAW).collect() == want and len(freed) == 3
