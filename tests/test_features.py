@@ -142,3 +142,13 @@ def test_recomputed_features_follow_their_columns(spark, txn):
     moved = FE.recompute_features(fm.withColumn("newbalanceOrig", F.lit(0.0)).withColumn("amount", F.lit(9.0)))
     r = moved.select(F.min("is_zero_balance"), F.max(F.abs(F.col("error_orig") - (F.col("oldbalanceOrg") - 9.0))), F.max("log_amount"), F.min("log_amount")).first()
     assert r[0] == 1 and r[1] < 1e-9 and abs(r[2] - math.log(10)) < 1e-12 and r[2] == r[3]
+
+
+def test_names_are_not_written_with_the_group_features(spark, txn, monkeypatch):
+    from paysift.operators import features as FE
+    from paysift.sources import files
+    written, plain = {}, files.cut_lineage
+    monkeypatch.setattr(files, "cut_lineage", lambda df, name="cut": written.update({name: df.columns}) or plain(df, name))
+    for strategy in ("join", "window"):
+        assert FE.feature_matrix(txn, strategy).count() == txn.count()
+        assert "txn_id" in written["group-features"] and not {"nameOrig", "nameDest"} & set(written["group-features"])
